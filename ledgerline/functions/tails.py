@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -94,22 +95,22 @@ def _by_row(fn, *series: pd.Series) -> pd.Series:
     return pd.Series([None if any(v != v for v in row) else fn(*row) for row in rows], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _normal_udf(z: pd.Series) -> pd.Series:
     return _by_row(normal_two_sided, z)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _t_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return _by_row(t_two_sided, t, df)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _f_udf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _by_row(f_upper, f, d1, d2)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _chi2_udf(h: pd.Series, df: pd.Series) -> pd.Series:
     return _by_row(chi2_upper, h, df)
 

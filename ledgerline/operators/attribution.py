@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.functions import scalars as S
 from ledgerline.operators.ordering import quantiles, with_cdf
@@ -20,8 +21,8 @@ def linear_attributions(df: DataFrame, coefficients: dict[str, float], intercept
     Long table (key, feature, feature_value, shap, base_value, y_pred_model_output).
     """
     features = list(coefficients)
-    mean = df.agg(F.struct(*[F.avg(f).alias(f) for f in features])).scalar()
-    base = sum((mean[f] * c for f, c in coefficients.items()), F.lit(float(intercept)))
+    mean = df.agg(*[F.avg(f).alias(f) for f in features]).first().asDict()  # one number per feature
+    base = F.lit(float(intercept) + sum(mean[f] * c for f, c in coefficients.items()))
     output = sum((F.col(f) * c for f, c in coefficients.items()), F.lit(float(intercept)))
     cells = [
         F.struct(F.lit(f).alias("feature"), F.col(f).alias("feature_value"), ((F.col(f) - mean[f]) * c).alias("shap"))
@@ -41,7 +42,8 @@ def sampled_shapley(df: DataFrame, background: DataFrame, features: list[str], p
     sample = background.orderBy(F.xxhash64(*features, F.lit(seed))).limit(background_rows).select(*features).toPandas()
     reference = sample.to_numpy(dtype=float)
     d = len(features)
-    schema = df.select(key).schema.add("feature", "string").add("shap", "double").add("base_value", "double")
+    added = [T.StructField("feature", T.StringType()), T.StructField("shap", T.DoubleType()), T.StructField("base_value", T.DoubleType())]
+    schema = T.StructType([*df.select(key).schema.fields, *added])
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(seed)

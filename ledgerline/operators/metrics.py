@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
-from ledgerline.operators.ordering import quantiles, top_fraction, with_average_rank
+from ledgerline.operators.ordering import quantiles, top_fraction, with_average_ranks
 
 TOP_FRACTION = 0.1
 EVENT_THRESHOLDS = (0.3, 0.5)
@@ -73,7 +73,7 @@ def metric_table(long: DataFrame, metrics: dict, by: list[str] = ("model",)) ->
 
 def spearman_table(long: DataFrame, by: list[str] = ("model",)) -> DataFrame:
     by = list(by)
-    ranked = with_average_rank(with_average_rank(long, "y_true", "_ry", by), "y_pred", "_rp", by)
+    ranked = with_average_ranks(long.select(*by, "y_true", "y_pred"), {"y_true": "_ry", "y_pred": "_rp"}, by)
     return ranked.groupBy(*by).agg(pearson(F.col("_ry"), F.col("_rp")).alias("spearman"))
 
 
@@ -220,9 +220,9 @@ def quantile_edges(df: DataFrame, value: str, buckets: int) -> DataFrame:
 
 def with_quantile_bucket(df: DataFrame, value: str, buckets: int = 5, name: str = "bucket") -> DataFrame:
     """Closed-right quantile bucket (1-based, lowest value included, duplicate edges merged) and its text label."""
-    edges = quantile_edges(df, value, buckets).scalar()
-    inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
-    tagged = df.withColumns({"_edges": edges, name: F.size(F.filter(inner, lambda e: e < F.col(value))) + 1})
+    edges = quantile_edges(df, value, buckets).first()["edges"]  # at most buckets + 1 numbers
+    inner = F.array(*[F.lit(e) for e in edges[1:-1]]).cast("array<double>")
+    tagged = df.withColumns({"_edges": F.array(*[F.lit(e) for e in edges]), name: F.size(F.filter(inner, lambda e: e < F.col(value))) + 1})
     text = lambda at: F.round(F.try_element_at("_edges", at), 3).cast("string")
     label = F.concat(F.lit("("), text(F.col(name)), F.lit(", "), text(F.col(name) + 1), F.lit("]"))
     return tagged.withColumn(f"{name}_label", label).drop("_edges")

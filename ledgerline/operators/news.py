@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.functions import lists as L
 from ledgerline.functions import scalars as S
@@ -134,7 +135,7 @@ def score_articles(lists: DataFrame, keys: list[str], column: str = "news_descri
 def score_with(lists: DataFrame, keys: list[str], scorer, column: str = "news_description") -> DataFrame:
     """As `score_articles` with any batch scorer `list of texts -> list of floats`, through Arrow batches."""
     flat = lists.select(*keys, F.posexplode(column).alias("pos", "text"))
-    schema = flat.drop("text").schema.add("score", "double")
+    schema = T.StructType([*flat.drop("text").schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

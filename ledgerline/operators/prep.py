@@ -153,11 +153,12 @@ def scaler_stats(df: DataFrame, features: list[str]) -> DataFrame:
 
 def scale(df: DataFrame, train: DataFrame, features: list[str]) -> DataFrame:
     """Standardized features with the training statistics; a missing value takes the mean, so it becomes 0."""
-    stats = train.agg(F.struct(*[F.struct(F.avg(f).alias("mu"), F.stddev_pop(f).alias("sigma")).alias(f) for f in features])).scalar()
+    fitted = {r["feature"]: (r["mu"], r["sigma"]) for r in scaler_stats(train, features).collect()}  # two numbers per feature
+
     def z(f):
-        mu = F.coalesce(stats[f]["mu"], F.lit(0.0))
-        sigma = F.when(stats[f]["sigma"] >= S.EPS, stats[f]["sigma"]).otherwise(F.lit(1.0))
-        return (F.coalesce(F.col(f), mu) - mu) / sigma
+        mu, sigma = fitted[f]
+        return (F.coalesce(F.col(f), F.lit(mu)) - mu) / sigma
+
     return df.withColumns({f: z(f) for f in features})
 
 
@@ -165,9 +166,11 @@ def target_correlations(df: DataFrame, features: list[str], target: str) -> Data
     """Correlation of each zero-filled feature with the target, 0 for a constant side."""
     filled = df.select(*[S.zero_filled(f).alias(f) for f in features], S.zero_filled(target).alias("_y"))
     sy = F.stddev_pop("_y")
+
     def corr(f):
         sx = F.stddev_pop(f)
         return F.when((sx >= S.EPS) & (sy >= S.EPS), F.covar_pop(f, "_y") / (sx * sy + S.EPS)).otherwise(F.lit(0.0))
+
     return filled.agg(*[corr(f).alias(f) for f in features]).unpivot([], features, "feature", "corr")
 
 
@@ -219,7 +222,8 @@ def fit_pca(scaled: DataFrame, features: list[str], explained: float = 0.95, max
 
 
 def pca_scores(scaled: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    mean = scaled.agg(F.struct(*[F.avg(f).alias(f) for f in model["features"]])).scalar()
+    mean = scaled.agg(*[F.avg(f).alias(f) for f in model["features"]]).first().asDict()  # one number per feature
+
     def score(c):
         terms = [(F.col(f) - mean[f]) * w for f, w in zip(model["features"], c)]
         return sum(terms[1:], terms[0])

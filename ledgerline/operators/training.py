@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.functions import scalars as S
 from ledgerline.operators import metrics as M
@@ -145,7 +146,7 @@ def fit_network(df: DataFrame, features: list[str], label: str = "label", weight
             cuts = np.split(flat, np.cumsum(sizes)[:-1])
             parameters = [c.reshape(s) for c, s in zip(cuts, shapes)]
             val_loss = _validation_loss(val, features, label, parameters, delta)
-            history.append({"epoch": epoch, "train_loss": loss / mass, "val_loss": val_loss})
+            history.append({"epoch": epoch, "train_loss": float(loss / mass), "val_loss": val_loss})
             if val_loss < best_loss - 1e-9:
                 best, best_loss, waited = parameters, val_loss, 0
             else:
@@ -173,7 +174,7 @@ def score_network(df: DataFrame, model: dict, name: str = "y_pred_model_output")
 
 def score_batches(df: DataFrame, scorer: Callable[[pd.DataFrame], np.ndarray], name: str) -> DataFrame:
     """The scorer protocol: any `batch -> vector` runs over Arrow batches inside the tasks."""
-    schema = df.schema.add(name, "double")
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -28,8 +28,7 @@ def _long(t):
 
 def _money(t):
     """The same predictions on a money scale."""
-    scaled = {c: F.col(c) * 500000 for c in MODELS}
-    return t.predictions.withColumn("y_true", F.col("amount")).withColumns(scaled)
+    return t.predictions.withColumns({c: F.col(c) * 500000 for c in ["y_true", *MODELS]})
 
 
 _MONEY = {"ml": "SELECT row_id, ticker, fiscal_year, model, y_true * 500000 AS y_true, y_pred * 500000 AS y_pred FROM plong"}
@@ -168,9 +167,9 @@ def _(t):
     return rounded(M.tail_rates(_long(t)))
 
 
-@query("E9_quantiles", f"SELECT {', '.join(R(f'quantile_cont(o_totalprice, {p})', 4, n) for n, p in [('q05', 0.05), ('q25', 0.25), ('q50', 0.5), ('q995', 0.995)])}, count(*) AS n_values FROM orders")
+@query("E9_quantiles", f"SELECT {', '.join(R(f'quantile_cont(o_totalprice, {p})', 6, n) for n, p in [('q05', 0.05), ('q25', 0.25), ('q50', 0.5), ('q995', 0.995)])}, count(*) AS n_values FROM orders")
 def _(t):
-    return rounded(G.quantiles(t.read("orders"), "o_totalprice", {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q995": 0.995}), 4)
+    return rounded(G.quantiles(t.read("orders"), "o_totalprice", {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q995": 0.995}), 6)
 
 
 @query("E10_fold_metrics", with_parts("plong", " UNION ALL ".join(f"SELECT '{m}' AS metric, {R(f'avg({m})', 6, 'mean')}, {R(f'stddev_pop({m})', 6, 'std')}, {R(f'min({m})', 6, 'min')}, {R(f'max({m})', 6, 'max')} FROM folds" for m in ("rmse", "mae", "r2")),
@@ -289,7 +288,7 @@ def _(t):
 _BUCKETS = {
     "ed": "SELECT list_distinct([" + ", ".join(f"quantile_cont(y_true, {i / 5})" for i in range(6)) + "]) AS e0 FROM pred",
     "ee": "SELECT list_sort(e0) AS e FROM ed",
-    "bk": "SELECT p.*, ee.e, len(list_filter(ee.e[2:len(ee.e) - 1], x -> x < y_true)) + 1 AS bucket FROM plong p, ee",
+    "bk": "SELECT p.*, ee.e, len(list_filter(ee.e[2:len(ee.e) - 1], lambda x: x < y_true)) + 1 AS bucket FROM plong p, ee",
     "bl": "SELECT *, '(' || round(e[bucket], 3) || ', ' || round(e[bucket + 1], 3) || ']' AS bucket_label, abs(y_pred - y_true) AS err FROM bk",
 }
 
@@ -367,7 +366,7 @@ _FL = {"fl": " UNION ALL ".join(f"SELECT '{c}' AS feature, split = 'train' AS tr
        "kc": "SELECT feature, value, sum(CAST(tr AS INT)) OVER w AS a, sum(CAST(NOT tr AS INT)) OVER w AS b, sum(CAST(tr AS INT)) OVER (PARTITION BY feature) AS ta, sum(CAST(NOT tr AS INT)) OVER (PARTITION BY feature) AS tb FROM fl WINDOW w AS (PARTITION BY feature ORDER BY value RANGE UNBOUNDED PRECEDING)",
        "ks": "SELECT feature, max(abs(CAST(a AS DOUBLE) / ta - CAST(b AS DOUBLE) / tb)) AS ks_stat FROM kc GROUP BY 1",
        "pe": "SELECT feature, list_sort(list_distinct([" + ", ".join(f"quantile_cont(value, {i / 10})" for i in range(11)) + "])) AS e FROM fl WHERE tr GROUP BY 1",
-       "pb": "SELECT f.feature, tr, len(list_filter(e[2:len(e) - 1], x -> x <= value)) AS bin FROM fl f JOIN pe ON pe.feature = f.feature",
+       "pb": "SELECT f.feature, tr, len(list_filter(e[2:len(e) - 1], lambda x: x <= value)) AS bin FROM fl f JOIN pe ON pe.feature = f.feature",
        "pc": "SELECT feature, bin, CAST(count(*) FILTER (tr) AS DOUBLE) AS a, CAST(count(*) FILTER (NOT tr) AS DOUBLE) AS b FROM pb GROUP BY 1, 2",
        "ps": "SELECT feature, greatest(a / sum(a) OVER (PARTITION BY feature), 1e-6) AS pa, greatest(b / sum(b) OVER (PARTITION BY feature), 1e-6) AS pp FROM pc",
        "psi_": "SELECT feature, sum((pp - pa) * ln(pp / pa)) AS psi FROM ps GROUP BY 1"}

@@ -92,13 +92,13 @@ PARTS: dict[str, tuple[str, str]] = {
     "base": ("", """
         SELECT *, 'S' || l_suppkey AS ticker, make_date(fiscal_year, 12, 31) AS period_end, 'CIK' || lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS cik FROM (
         SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS fiscal_year, count(*) AS n_lines,
-               sum(l_extendedprice * (1 - l_discount)) AS revenue, sum(l_extendedprice * (0.55 + l_tax)) AS cost,
-               sum(l_extendedprice * l_tax) AS tax, sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END) AS returned,
+               sum(l_extendedprice * (1 - l_discount) / 1.371713) AS revenue, sum(l_extendedprice * (0.55 + l_tax) / 1.371713) AS cost,
+               sum(l_extendedprice * l_tax / 1.371713) AS tax, sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice / 1.371713 ELSE 0 END) AS returned,
                sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS return_lines,
                sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS open_lines,
                sum(CAST(round(l_quantity) AS BIGINT)) AS qty, sum(CAST(round(l_discount * 100) AS BIGINT)) AS disc_pts,
                sum(CAST(round(l_tax * 100) AS BIGINT)) AS tax_pts
-        FROM lineitem GROUP BY 1, 2) JOIN (SELECT s_suppkey, s_acctbal AS acctbal FROM supplier) ON l_suppkey = s_suppkey"""),
+        FROM lineitem GROUP BY 1, 2) JOIN (SELECT s_suppkey, s_acctbal / 1.371713 AS acctbal FROM supplier) ON l_suppkey = s_suppkey"""),
     "articles": ("", """
         SELECT doc_id AS arrival, 'S' || (doc_id % 100) AS dir_ticker, CASE WHEN lang <> 'fr' THEN 'D' || doc_id END AS id,
                'http://news.example/' || n_chars AS article_url,
@@ -113,7 +113,7 @@ PARTS: dict[str, tuple[str, str]] = {
                0.75 * y_true + 0.30 * u_a AS model_a, floor((0.60 * y_true + 0.10 + 0.45 * u_b * u_b) * 200) / 200 AS model_b,
                round(avg(y_true) OVER (PARTITION BY segment), 6) AS baseline
         FROM (SELECT o_orderkey AS row_id, 'C' || o_custkey AS ticker, CAST(year(o_orderdate) AS INTEGER) AS fiscal_year,
-                     CAST(o_orderdate AS DATE) AS period_end, o_orderpriority AS segment, o_totalprice AS amount, o_totalprice / 500000.0 AS y_true,
+                     CAST(o_orderdate AS DATE) AS period_end, o_orderpriority AS segment, o_totalprice AS amount, o_totalprice / 510007.0 AS y_true,
                      CAST(CAST('0x' || substr(md5(o_orderkey || 'a'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u_a,
                      CAST(CAST('0x' || substr(md5(o_orderkey || 'b'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u_b
               FROM orders)"""),

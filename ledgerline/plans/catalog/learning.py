@@ -179,7 +179,7 @@ def _(t):
 
 def _risk(t):
     """Scaled risk rows with a label and a split, kept for the repeated passes of a trainer."""
-    data = P.risk_dataset(t.observations, t.bars).withColumn("row_id", F.xxhash64("ticker", "period_end"))
+    data = P.risk_dataset(t.observations, t.bars).withColumn("row_id", F.xxhash64("ticker", "period_end")).persist()
     split = N.latest_years_split(data, ["row_id"], min_rows=50).withColumn("label", F.col("drawdown_severity"))
     split = split.withColumn("raw_drawdown_126d", F.col("drawdown_126d"))
     return N.scale(split, split.where("split = 'train'"), FEATURE_SQL).persist()
@@ -227,7 +227,7 @@ def _(t):
     return t.predictions.select("row_id", r(T.tiny_base_regime("model_a", "y_true", 0.2), 6, "p"))
 
 
-@query("O7_baselines", with_parts("risk", f"SELECT ticker, CAST(fiscal_year AS BIGINT) AS fiscal_year, {R('coalesce(least(greatest(-drawdown_126d, 0), 1), (SELECT avg(drawdown_severity) FROM risk WHERE fiscal_year < 1999))', 6, 'y_pred_baseline')} FROM risk"))
+@query("O7_baselines", with_parts("risk", f"SELECT ticker, CAST(fiscal_year AS BIGINT) AS fiscal_year, {R('coalesce(CASE WHEN drawdown_126d IS NOT NULL THEN least(greatest(-drawdown_126d, 0), 1) END, (SELECT avg(drawdown_severity) FROM risk WHERE fiscal_year < 1999))', 6, 'y_pred_baseline')} FROM risk"))
 def _(t):
     data = P.risk_dataset(t.observations, t.bars)
     return rounded(T.current_drawdown_baseline(data, data.where("fiscal_year < 1999")).select("ticker", "fiscal_year", "y_pred_baseline"))

@@ -74,7 +74,7 @@ def _(t):
 @query("F14_average_ranks", f"SELECT o_orderkey, {R('rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0', 1, 'avg_rank')} FROM (SELECT o_orderkey, round(o_totalprice / 1000, 0) AS v FROM orders)")
 def _(t):
     o = t.read("orders").select("o_orderkey", F.round(F.col("o_totalprice") / 1000, 0).alias("v"))
-    return G.with_average_rank(o, "v", "avg_rank").select("o_orderkey", r("avg_rank", 1))
+    return G.with_average_ranks(o, {"v": "avg_rank"}).select("o_orderkey", r("avg_rank", 1))
 
 
 @query("F15_ecdf", f"SELECT DISTINCT v, {R('cume_dist() OVER (ORDER BY v)', 8, 'cdf')}, count(*) OVER (PARTITION BY v) AS n FROM (SELECT o_orderkey, round(o_totalprice / 1000, 0) AS v FROM orders)")

@@ -15,7 +15,7 @@ from ledgerline.sources.sinks import csv_ready
 from ledgerline.sources.tables import DEMO_NEGATIVE, DEMO_POSITIVE
 
 _KEY = "coalesce(nullif(id, ''), sha256(coalesce(article_url, '') || '|' || coalesce(published_utc, '') || '|' || coalesce(title, '')))"
-_MATCH = "(len(tickers) = 0 OR list_contains(list_transform(tickers, x -> upper(trim(x))), dir_ticker))"
+_MATCH = "(len(tickers) = 0 OR list_contains(list_transform(tickers, lambda x: upper(trim(x))), dir_ticker))"
 _PARTS = {
     "typed": "SELECT * REPLACE (trim(coalesce(published_utc, '')) AS published_utc, trim(coalesce(description, '')) AS description) FROM articles",
     "reasoned": f"""SELECT *, {_KEY} AS news_key, try_cast(substr(published_utc, 1, 10) AS DATE) AS published_date,
@@ -24,7 +24,7 @@ _PARTS = {
     "uniq": "SELECT *, CAST(year(published_date) AS INTEGER) AS y FROM reasoned WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY dir_ticker, year(published_date), news_key ORDER BY arrival) = 1",
     "newest": "SELECT *, row_number() OVER (PARTITION BY dir_ticker, y ORDER BY published_date DESC, published_utc DESC, arrival) AS position FROM uniq QUALIFY position <= 4",
 }
-_COUNT_WORDS = lambda words: f"len(list_filter(regexp_split_to_array(lower(description), '[^a-z]+'), t -> t IN ({', '.join(repr(w) for w in words)})))"
+_COUNT_WORDS = lambda words: f"len(list_filter(regexp_split_to_array(lower(description), '[^a-z]+'), lambda t: t IN ({', '.join(repr(w) for w in words)})))"
 _SCORED = {
     **_PARTS,
     "counted": f"SELECT *, {_COUNT_WORDS(DEMO_POSITIVE)} AS p, {_COUNT_WORDS(DEMO_NEGATIVE)} AS n FROM newest",
@@ -98,9 +98,9 @@ def _scored(t):
     return scores, lists
 
 
-@query("M4_article_scores", with_parts("base articles", f"SELECT {KEYS_SQL}, coalesce(list_aggregate(list_transform(s, x -> printf('%.6f', x)), 'string_agg', ','), '') AS scores FROM company_lists", _SCORED))
+@query("M4_article_scores", with_parts("base articles", f"SELECT {KEYS_SQL}, coalesce(list_aggregate(list_transform(s, lambda x: printf('%.12f', x)), 'string_agg', ','), '') AS scores FROM company_lists", _SCORED))
 def _(t):
-    text = F.array_join(F.transform("news_sentiment_score", lambda x: F.format_string("%.6f", x)), ",")
+    text = F.array_join(F.transform("news_sentiment_score", lambda x: F.format_string("%.12f", x)), ",")
     return rounded(_scored(t)[0].select("ticker", "fiscal_year", text.alias("scores")))
 
 
@@ -110,7 +110,7 @@ def _(t):
 
 
 def _share(test: str) -> str:
-    return f"CASE WHEN len(s) = 0 THEN 0 ELSE CAST(len(list_filter(s, x -> x {test})) AS DOUBLE) / len(s) END"
+    return f"CASE WHEN len(s) = 0 THEN 0 ELSE CAST(len(list_filter(s, lambda x: x {test})) AS DOUBLE) / len(s) END"
 
 
 _SENTIMENT = {
@@ -135,7 +135,7 @@ _TRIMMED = {**_SCORED, "trimmed": "SELECT ticker, fiscal_year, k, CASE WHEN fisc
 _B_SQL = {
     "news_items_n": "CASE WHEN len(s) > 0 THEN len(s) ELSE k END", "news_items_from_scores_n": "len(s)", "news_items_from_text_n": "k",
     "news_sent_mean": "coalesce(list_avg(s), 0)", "news_sent_min": "coalesce(list_min(s), 0)", "news_sent_max": "coalesce(list_max(s), 0)",
-    "news_sent_std": "coalesce(list_stddev_pop(s), 0)", "news_sent_sum": "coalesce(list_sum(s), 0)", "news_sent_abs_mean": "coalesce(list_avg(list_transform(s, x -> abs(x))), 0)",
+    "news_sent_std": "coalesce(list_stddev_pop(s), 0)", "news_sent_sum": "coalesce(list_sum(s), 0)", "news_sent_abs_mean": "coalesce(list_avg(list_transform(s, lambda x: abs(x))), 0)",
     "news_sent_pos_share": _share("> 0"), "news_sent_neg_share": _share("< 0"),
     "news_sent_text_coverage": "CASE WHEN k > 0 THEN len(s) / k WHEN len(s) > 0 THEN 1 ELSE 0 END",
 }

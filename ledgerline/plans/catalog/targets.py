@@ -61,8 +61,7 @@ _RISK_OUT = f"ticker, CAST(fiscal_year AS BIGINT) AS fiscal_year, {D('period_end
 @query("L12_risk_dataset", with_parts("risk", f"SELECT {_RISK_OUT} FROM risk"))
 def _(t):
     out = P.risk_dataset(t.observations, t.bars)
-    six = ["future_1y_max_drawdown", "drawdown_severity"]
-    return rounded(out.withColumns({c: F.round(c, 6) for c in six}).select(*out.columns), 6).withColumns({c: F.round(c, 5) for c in FEATURE_SQL})
+    return rounded(out.withColumns({c: F.round(c, 5) for c in FEATURE_SQL}), 6)
 
 
 @query("L12_stage_counts", with_parts("labelled", "SELECT count(*) AS rows_input, count(*) FILTER (lower(timeframe) = 'annual') AS rows_after_timeframe_filter, count(future_1y_max_drawdown) AS rows_after_non_null_target, count(*) FILTER (future_1y_max_drawdown IS NOT NULL AND target_usable) AS rows_after_usable_target_filter FROM labelled"))

@@ -24,11 +24,6 @@ def build_session(cpus: int | None = None, partitions: int | None = None, app: s
     return spark
 
 
-def shuffle_pieces(spark: SparkSession) -> int:
-    """How many range pieces a global ordering is cut into: one per shuffle partition of the session."""
-    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
 def truncate_lineage(df, eager: bool = True):
     """Cut lineage with a reliable checkpoint in the folder the cluster names.
 

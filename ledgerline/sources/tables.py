@@ -144,15 +144,16 @@ class Tables:
 
     @cached_property
     def company_base(self) -> DataFrame:
+        """Sums per supplier and ship year, amounts converted at a fixed rate of 1.371713."""
         per_year = (
             self.read("lineitem")
             .groupBy("l_suppkey", F.year("l_shipdate").alias("fiscal_year"))
             .agg(
                 F.count("*").alias("n_lines"),
-                F.sum(F.expr("l_extendedprice * (1 - l_discount)")).alias("revenue"),
-                F.sum(F.expr("l_extendedprice * (0.55 + l_tax)")).alias("cost"),
-                F.sum(F.expr("l_extendedprice * l_tax")).alias("tax"),
-                F.sum(F.expr("CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END")).alias("returned"),
+                F.sum(F.expr("l_extendedprice * (1 - l_discount) / 1.371713D")).alias("revenue"),
+                F.sum(F.expr("l_extendedprice * (0.55D + l_tax) / 1.371713D")).alias("cost"),
+                F.sum(F.expr("l_extendedprice * l_tax / 1.371713D")).alias("tax"),
+                F.sum(F.expr("CASE WHEN l_returnflag = 'R' THEN l_extendedprice / 1.371713D ELSE 0.0D END")).alias("returned"),
                 F.sum(F.expr("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END")).alias("return_lines"),
                 F.sum(F.expr("CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END")).alias("open_lines"),
                 F.sum(F.expr("CAST(round(l_quantity) AS BIGINT)")).alias("qty"),
@@ -160,7 +161,7 @@ class Tables:
                 F.sum(F.expr("CAST(round(l_tax * 100) AS BIGINT)")).alias("tax_pts"),
             )
         )
-        supplier = self.read("supplier").select("s_suppkey", F.col("s_acctbal").alias("acctbal"))
+        supplier = self.read("supplier").select("s_suppkey", (F.col("s_acctbal") / 1.371713).alias("acctbal"))
         return per_year.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).withColumns(
             {
                 "ticker": F.concat(F.lit("S"), F.col("l_suppkey")),
@@ -225,7 +226,7 @@ class Tables:
                 F.to_date("o_orderdate").alias("period_end"),
                 F.col("o_orderpriority").alias("segment"),
                 F.col("o_totalprice").alias("amount"),
-                (F.col("o_totalprice") / 500000.0).alias("y_true"),
+                (F.col("o_totalprice") / 510007.0).alias("y_true"),
                 noise("a").alias("u_a"),
                 noise("b").alias("u_b"),
             )
