@@ -9,6 +9,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, by: list[str]) -> DataFrame:
+    """Hash partitions on `by`, one per shuffle partition of the session.
+
+    Rolling windows cost far more per byte than adaptive execution assumes when it merges small partitions; a stated
+    number keeps the work spread, and it is the same shuffle the windows would ask for.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str,
                   values: list[str], time_name: str) -> DataFrame:
     """For each left row the last right row of its group at or before `left_time`; nulls where there is none.
@@ -17,7 +26,7 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_time: s
     `keep_latest`), so a group is bounded by the calendar and not by the size of the raw data.
     """
     payload = F.struct(F.col(right_time).alias(time_name), *values)
-    marked_left = left.withColumns({"_at": F.col(left_time), "_side": F.lit(1)})
+    marked_left = spread(left, by).withColumns({"_at": F.col(left_time), "_side": F.lit(1)})
     marked_right = right.select(*by, F.col(right_time).alias("_at"), F.lit(0).alias("_side"), payload.alias("_seen"))
     w = W.partitionBy(*by).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
     both = marked_left.unionByName(marked_right, allowMissingColumns=True)

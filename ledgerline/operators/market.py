@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerline.operators.joins import asof_backward
+from ledgerline.operators.joins import asof_backward, spread
 
 TRADING_DAYS = 252
 MARKET_FEATURES = [
@@ -24,19 +24,9 @@ def by_day():
     return W.partitionBy("ticker").orderBy("date")
 
 
-def _rows(n: int):
-    return by_day().rowsBetween(-(n - 1), W.currentRow)
-
-
-def full_frame(aggregate, value: str, n: int) -> Column:
-    """Rolling aggregate over `n` rows, missing unless all `n` values are present."""
-    frame = _rows(n)
-    return F.when(F.count(value).over(frame) == n, aggregate(value).over(frame))
-
-
 def daily_inputs(bars: DataFrame) -> DataFrame:
     log_close = F.when(F.col("close") > 0, F.ln("close"))
-    return bars.withColumns(
+    return spread(bars, ["ticker"]).withColumns(
         {
             "log_return": log_close - F.lag(log_close).over(by_day()),
             "dollar_volume": F.col("close") * F.col("volume"),
@@ -45,21 +35,65 @@ def daily_inputs(bars: DataFrame) -> DataFrame:
     )
 
 
+# Rolling features as (input, rows, statistic).
+ROLLING = {
+    "volatility_21d": ("log_return", 21, "std"),
+    "volatility_63d": ("log_return", 63, "std"),
+    "avg_dollar_volume_63d": ("dollar_volume", 63, "mean"),
+    "avg_transactions_21d": ("transactions", 21, "mean"),
+    "high_low_range_21d": ("day_range", 21, "mean"),
+}
+
+
+def rolling(df: DataFrame, specs: dict[str, tuple[str, int, str]]) -> DataFrame:
+    """Rolling mean or sample standard deviation per ticker, missing unless the frame holds `rows` values.
+
+    Running counts, sums and sums of squares are taken once per input and a frame is the difference of two of them,
+    so a row costs the same for any frame length. (A sliding frame is summed anew for every row.)
+    """
+    inputs = sorted({c for c, _, _ in specs.values()})
+    squared = {c for c, _, kind in specs.values() if kind == "std"}
+    running = by_day().rowsBetween(W.unboundedPreceding, W.currentRow)
+    totals = {}
+    for c in inputs:
+        totals[f"_n_{c}"] = F.count(c).over(running)
+        totals[f"_s_{c}"] = F.coalesce(F.sum(c).over(running), F.lit(0.0))
+        if c in squared:
+            totals[f"_q_{c}"] = F.coalesce(F.sum(F.col(c) * F.col(c)).over(running), F.lit(0.0))
+    summed = df.withColumns(totals)
+
+    def within(name: str, rows: int) -> Column:
+        return F.col(name) - F.coalesce(F.lag(name, rows).over(by_day()), F.lit(0))
+
+    out = {}
+    for name, (c, rows, kind) in specs.items():
+        full = within(f"_n_{c}", rows) == rows
+        total = within(f"_s_{c}", rows)
+        if kind == "mean":
+            value = total / rows
+        else:
+            value = F.sqrt(F.greatest(within(f"_q_{c}", rows) - total * total / rows, F.lit(0.0)) / (rows - 1))
+        out[name] = F.when(full, value)
+    return summed.withColumns(out).drop(*totals)
+
+
 def market_features(bars: DataFrame) -> DataFrame:
     """The seven features for every bar: all windows share one partitioning and one sort.
 
     `bars` has one row per (ticker, date), hence a ticker's window holds at most its trading days.
     """
+    d = rolling(daily_inputs(bars), ROLLING)
+    year = F.sqrt(F.lit(float(TRADING_DAYS)))
+    frame = by_day().rowsBetween(-125, W.currentRow)
+    top = F.when(F.count("close").over(frame) == 126, F.max("close").over(frame))
     columns = {
-        "volatility_21d": full_frame(F.stddev_samp, "log_return", 21) * F.sqrt(F.lit(float(TRADING_DAYS))),
-        "volatility_63d": full_frame(F.stddev_samp, "log_return", 63) * F.sqrt(F.lit(float(TRADING_DAYS))),
-        "drawdown_126d": F.try_divide(F.col("close"), full_frame(F.max, "close", 126)) - 1,
+        **{c: F.col(c) for c in ROLLING},
+        "volatility_21d": F.col("volatility_21d") * year,
+        "volatility_63d": F.col("volatility_63d") * year,
+        "drawdown_126d": F.try_divide(F.col("close"), top) - 1,
         "return_63d": F.try_divide(F.col("close"), F.lag("close", 63).over(by_day())) - 1,
-        "avg_dollar_volume_63d": full_frame(F.avg, "dollar_volume", 63),
-        "avg_transactions_21d": full_frame(F.avg, "transactions", 21),
-        "high_low_range_21d": full_frame(F.avg, "day_range", 21),
     }
-    return daily_inputs(bars).select("ticker", "date", "close", *[c.alias(n) for n, c in columns.items()])
+    return d.select("ticker", "date", "close", *[columns[n].alias(n) for n in MARKET_FEATURES])
 
 
 def attach_market_features(obs: DataFrame, bars: DataFrame) -> DataFrame:

@@ -123,24 +123,32 @@ def quantiles(df: DataFrame, value: str, probabilities: dict[str, float], by: li
 def top_fraction(df: DataFrame, score: str, key: str, fraction: float, by: list[str] | None = None) -> DataFrame:
     """The max(1, bround(n * fraction)) rows with the highest score; equal scores are taken in `key` order.
 
-    Two cut values (score, then key among the rows on the cut) turn the selection into a filter, so no task
-    holds or sorts the selected rows. `key` is numeric and unique inside a group.
+    Two cut values per group (score, then key among the rows on the cut) are found first and fetched, one row per
+    group; the selection itself is then a filter, so no task holds or sorts the selected rows. `key` is numeric and
+    unique inside a group.
     """
     by = list(by or [])
     groups = by or ["_all"]
     base = (df if by else df.withColumn("_all", F.lit(0))).withColumn("_down", -F.col(score))
-    ranked = cumulative_counts(base, "_down", groups)
     k = fraction_rows("n_total", fraction)
-    # One row per group.
-    cut = ranked.where((F.col("n_before") < k) & (F.col("n_before") + F.col("n") >= k)).select(
-        *groups, F.col("_down").alias("_cut"), (k - F.col("n_before")).alias("_need")
+    cut = _fetched(
+        cumulative_counts(base, "_down", groups)
+        .where((F.col("n_before") < k) & (F.col("n_before") + F.col("n") >= k))
+        .select(*groups, F.col("_down").alias("_cut"), (k - F.col("n_before")).alias("_need"))
     )
     on_cut = base.join(F.broadcast(cut), groups).where(F.col("_down") == F.col("_cut"))
     tied = cumulative_counts(on_cut.select(*groups, "_cut", "_need", key), key, [*groups, "_cut", "_need"])
-    key_cut = tied.where(
-        (F.col("n_before") < F.col("_need")) & (F.col("n_before") + F.col("n") >= F.col("_need"))
-    ).select(*groups, "_cut", F.col(key).alias("_key_cut"))
+    key_cut = _fetched(
+        tied.where((F.col("n_before") < F.col("_need")) & (F.col("n_before") + F.col("n") >= F.col("_need"))).select(
+            *groups, "_cut", F.col(key).alias("_key_cut")
+        )
+    )
     chosen = base.join(F.broadcast(key_cut), groups).where(
         (F.col("_down") < F.col("_cut")) | ((F.col("_down") == F.col("_cut")) & (F.col(key) <= F.col("_key_cut")))
     )
     return chosen.select(*df.columns)
+
+
+def _fetched(per_group: DataFrame) -> DataFrame:
+    """A table with one row per group as a local relation, so later plans do not repeat its computation."""
+    return per_group.sparkSession.createDataFrame(per_group.collect(), per_group.schema)

@@ -3,6 +3,10 @@
 Every derivation reads whole tables. Missing statements and missing fields follow from the values of a
 company-year itself (its average discount, tax or quantity in exact integer points), so gaps occur without
 dropping any input row.
+
+`bars` and `company_base` stand for stored tables that most plans read several times; they are persisted (memory
+and disk), so the raw tables are scanned and shuffled once, and a lost executor's blocks are computed again from
+the files.
 """
 
 from __future__ import annotations
@@ -108,6 +112,7 @@ class Tables:
                 F.sum("l_quantity").alias("volume"),
                 F.count("*").cast("double").alias("transactions"),
             )
+            .persist()
         )
 
     @cached_property
@@ -168,7 +173,7 @@ class Tables:
                 "period_end": F.make_date("fiscal_year", F.lit(12), F.lit(31)),
                 "cik": F.concat(F.lit("CIK"), F.lpad(F.col("l_suppkey").cast("string"), 10, "0")),
             }
-        )
+        ).persist()
 
     def statement(self, kind: str) -> DataFrame:
         fields, present = STATEMENTS[kind]
