@@ -79,7 +79,7 @@ def normal_two_sided(z: float) -> float:
 
 
 def t_two_sided(t: float, df: float) -> float:
-    return regularized_beta(df / 2.0, 0.5, df / (df + t * t))
+    return 0.0 if math.isinf(t) else regularized_beta(df / 2.0, 0.5, df / (df + t * t))
 
 
 def f_upper(f: float, d1: float, d2: float) -> float:

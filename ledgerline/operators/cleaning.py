@@ -88,6 +88,15 @@ def only_requested(df: DataFrame, requested: DataFrame, key: str = "ticker") ->
     return df.join(requested.select(key).distinct(), key, "left_semi")
 
 
+# Identifier columns that travel with predictions and reports.
+CARRIED = ["ticker", "cik", "fiscal_year", "period_end", "timeframe", "split"]
+
+
+def carried_columns(df: DataFrame) -> list[str]:
+    """The identifier columns this table has."""
+    return [c for c in CARRIED if c in df.columns]
+
+
 def without(df: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(excluded.select(*keys).distinct(), keys, "left_anti")
 

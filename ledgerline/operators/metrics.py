@@ -50,7 +50,9 @@ def r2_log(y: Column, p: Column) -> Column:
 
 
 def pearson(y: Column, p: Column) -> Column:
-    return F.when((F.stddev_pop(y) > 0) & (F.stddev_pop(p) > 0), F.corr(y, p))
+    """Missing when a side is constant (`corr` itself divides by zero in ANSI mode)."""
+    sy, sp = F.stddev_pop(y), F.stddev_pop(p)
+    return F.when((sy > 1e-8) & (sp > 1e-8), F.try_divide(F.covar_pop(y, p), sy * sp))
 
 
 # The extension point: a metric is a function of two columns giving an aggregate column.
@@ -171,7 +173,7 @@ def coverage_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """Non-null count and share per column."""
     counts = df.agg(F.count("*").alias("_rows"), *[F.count(c).alias(c) for c in columns])
     long = counts.unpivot(["_rows"], columns, "feature", "non_null_rows")
-    return long.select("feature", "non_null_rows", (F.col("non_null_rows") / F.col("_rows")).alias("coverage"))
+    return long.select("feature", "non_null_rows", F.try_divide("non_null_rows", "_rows").alias("coverage"))
 
 
 def recommended_features(coverage: DataFrame, wanted: list[str], minimum: float = 0.5) -> DataFrame:

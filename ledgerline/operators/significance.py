@@ -85,11 +85,17 @@ def wilcoxon(diffs: DataFrame, by: list[str], d: str = "d") -> DataFrame:
     return out.select(*by, "wilcoxon_statistic", "wilcoxon_z")
 
 
+def t_statistic(flat: Column, d: str = "d") -> Column:
+    """One-sample t of `d` against 0: 0 for all-zero differences, infinite for a constant one."""
+    mean, sd = F.avg(d), F.stddev_samp(d)
+    t = F.coalesce(F.try_divide(mean, sd / F.sqrt(F.count(d))), F.when(sd == 0, F.signum(mean) * float("inf")))
+    return F.when(flat, F.lit(0.0)).otherwise(t)
+
+
 def pairwise_statistics(aligned: DataFrame, models: list[str], views=risk_losses) -> DataFrame:
     """Everything of the pairwise table but the p-values."""
     p = paired_losses(aligned, models, views)
     n = F.count("d")
-    sd = F.stddev_samp("d")
     flat = F.max(F.abs("d")) <= 1e-8
     skew = F.when((n >= 3) & (F.stddev_pop("d") > 1e-8), F.skewness("d") * F.sqrt(n * (n - 1)) / (n - 2))
     basic = p.groupBy(*PAIR).agg(
@@ -100,7 +106,7 @@ def pairwise_statistics(aligned: DataFrame, models: list[str], views=risk_losses
         F.avg((F.col("a") < F.col("b")).cast("double")).alias("win_rate_a_lt_b"),
         F.avg((F.abs("d") <= 1e-8 + 1e-5 * F.abs("b")).cast("double")).alias("tie_rate"),
         skew.alias("diff_skewness"),
-        F.when(flat, F.lit(0.0)).otherwise(F.try_divide(F.avg("d"), sd / F.sqrt(n))).alias("paired_t_statistic"),
+        t_statistic(flat).alias("paired_t_statistic"),
     )
     median = quantiles(p, "d", {"median_diff_a_minus_b": 0.5}, PAIR).drop("n_values")
     out = basic.join(median, PAIR).join(wilcoxon(p, PAIR), PAIR)
@@ -147,24 +153,25 @@ def calibration_statistics(long: DataFrame) -> DataFrame:
     """Regression of the truth on the prediction with standard errors and the joint F for intercept 0, slope 1."""
     sums = long.groupBy("model").agg(
         F.count("*").cast("double").alias("n"),
-        F.regr_slope("y_true", "y_pred").alias("slope"),
-        F.regr_intercept("y_true", "y_pred").alias("intercept"),
         F.regr_sxx("y_true", "y_pred").alias("sxx"),
         F.regr_syy("y_true", "y_pred").alias("syy"),
+        F.regr_sxy("y_true", "y_pred").alias("sxy"),
         F.avg("y_pred").alias("mx"),
+        F.avg("y_true").alias("my"),
     )
+    sums = sums.withColumn("slope", F.try_divide("sxy", "sxx")).withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
     n, a, b, mx, sxx = (F.col(c) for c in ("n", "intercept", "slope", "mx", "sxx"))
     sse = F.col("syy") - b * b * sxx
     var = sse / F.greatest(n - 2, F.lit(1.0))
-    joint = (n * a * a + 2 * a * (b - 1) * n * mx + (b - 1) * (b - 1) * (sxx + n * mx * mx)) / (2 * var)
+    joint = F.try_divide(n * a * a + 2 * a * (b - 1) * n * mx + (b - 1) * (b - 1) * (sxx + n * mx * mx), 2 * var)
     return sums.select(
         "model",
         n.cast("long").alias("rows"),
         a.alias("intercept"),
-        F.sqrt(var * (1 / n + mx * mx / sxx)).alias("intercept_se"),
+        F.sqrt(var * (1 / n + F.try_divide(mx * mx, sxx))).alias("intercept_se"),
         b.alias("slope"),
-        F.sqrt(var / sxx).alias("slope_se"),
-        (1 - sse / F.col("syy")).alias("r2"),
+        F.sqrt(F.try_divide(var, sxx)).alias("slope_se"),
+        (1 - F.try_divide(sse, F.col("syy"))).alias("r2"),
         joint.alias("joint_f_statistic"),
     )
 
@@ -181,7 +188,7 @@ def bias_statistics(long: DataFrame) -> DataFrame:
         F.count("*").alias("rows"),
         F.avg("d").alias("mean_error"),
         F.avg(F.abs("d")).alias("mean_abs_error"),
-        F.when(flat, F.lit(0.0)).otherwise(F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("d")))).alias("mean_bias_t_statistic"),
+        t_statistic(flat).alias("mean_bias_t_statistic"),
     )
     median = quantiles(e, "d", {"median_error": 0.5}, ["model"]).drop("n_values")
     return basic.join(median, "model").join(wilcoxon(e, ["model"]), "model")
@@ -225,8 +232,8 @@ def bucket_ranks(long: DataFrame, error: Column, buckets: int = 5) -> DataFrame:
 def kruskal_table(ranks: DataFrame) -> DataFrame:
     n = F.first("n_total")
     raw = F.lit(12.0) / (n * (n + 1)) * F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n_rows")) - 3 * (n + 1)
-    tie = F.lit(1.0) - F.first("ties") / (n * n * n - n)
-    t = ranks.groupBy("model").agg(F.count("*").cast("int").alias("n_buckets"), (raw / tie).alias("kruskal_h_statistic"))
+    tie = F.lit(1.0) - F.try_divide(F.first("ties"), n * n * n - n)
+    t = ranks.groupBy("model").agg(F.count("*").cast("int").alias("n_buckets"), F.try_divide(raw, tie).alias("kruskal_h_statistic"))
     return t.withColumn("kruskal_h_statistic", F.when(F.col("n_buckets") >= 2, F.col("kruskal_h_statistic")).otherwise(F.lit(0.0)))
 
 
@@ -243,7 +250,7 @@ def dunn_statistics(ranks: DataFrame) -> DataFrame:
         F.col("n_rows").alias(f"_n_{s}"), F.col("n_total").alias(f"_total_{s}"), F.col("ties").alias(f"_ties_{s}"),
     )
     n = F.col("_total_a")
-    correction = F.greatest(F.lit(1.0) - F.col("_ties_a") / (n * n * n - n), F.lit(1e-12))
+    correction = F.greatest(F.lit(1.0) - F.try_divide(F.col("_ties_a"), n * n * n - n), F.lit(1e-12))
     base = n * (n + 1) / 12 * correction
     se = F.sqrt(base * (1 / F.col("_n_a") + 1 / F.col("_n_b")))
     pairs = side("a").join(side("b"), "model").where("group_a < group_b")

@@ -39,15 +39,15 @@ def _(t):
     return out.groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct("ticker").alias("tickers"))
 
 
-@query("N4_row_split")
+@query("N4_row_split", "SELECT split, CASE WHEN split = 'val' THEN greatest(1, n // 5) ELSE n - greatest(1, n // 5) END AS rows FROM (SELECT unnest(['train', 'val']) AS split, count(*) AS n FROM orders)")
 def _(t):
     p = t.predictions.drop("split")
     return N.hash_row_split(p, ["row_id"], max(1, p.count() // 5)).groupBy("split").agg(F.count("*").alias("rows"))
 
 
-@query("N5_group_kfold")
+@query("N5_group_kfold", "SELECT CAST(fold AS BIGINT) AS fold, CASE WHEN fold <= n % 5 THEN n // 5 + 1 ELSE n // 5 END AS tickers FROM range(1, 6) f(fold), (SELECT count(DISTINCT o_custkey) AS n FROM orders)")
 def _(t):
-    return N.group_kfold(t.predictions, 5).groupBy("fold").agg(F.count("*").alias("rows"), F.count_distinct("ticker").alias("tickers"))
+    return rounded(N.group_kfold(t.predictions, 5).groupBy("fold").agg(F.count_distinct("ticker").alias("tickers")))
 
 
 @query("N6_row_kfold", "SELECT CAST(fold AS BIGINT) AS fold, CASE WHEN fold <= n % 5 THEN n // 5 + 1 ELSE n // 5 END AS rows FROM range(1, 6) f(fold), (SELECT count(*) AS n FROM orders)")
