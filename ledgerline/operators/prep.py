@@ -17,10 +17,10 @@ NO_LOG_TOKENS = ("ratio", "_to_", "margin", "coverage", "roe", "roa")
 NOT_FEATURES = ("ticker", "cik", "period_end", "timeframe", "has_income_statement", "has_cash_flow", "fiscal_year")
 
 
-def year_counts(df: DataFrame, year: str) -> dict[int, int]:
-    """Rows per year on the driver: one entry per calendar year."""
-    rows = df.where(F.col(year).isNotNull()).groupBy(year).agg(F.count("*").alias("n")).collect()
-    return {int(r[year]): int(r["n"]) for r in rows}
+def year_counts(df: DataFrame, year: str) -> tuple[dict[int, int], int]:
+    """Rows per year and rows in all, on the driver: one entry per calendar year."""
+    rows = df.groupBy(year).agg(F.count("*").alias("n")).collect()
+    return {int(r[year]): int(r["n"]) for r in rows if r[year] is not None}, sum(int(r["n"]) for r in rows)
 
 
 def _flag(validation: Column) -> Column:
@@ -41,14 +41,14 @@ def hash_row_split(df: DataFrame, keys: list[str], rows: int, seed: int = 42) ->
 def time_aware_split(df: DataFrame, keys: list[str], year: str = "fiscal_year", min_val_rows: int = 20, seed: int = 42,
                      fallback_ratio: float = 0.2) -> DataFrame:
     """Last year validates; the last two when that is too few rows and three years exist; else a hash split."""
-    counts = year_counts(df, year)
+    counts, n = year_counts(df, year)
     years = sorted(counts)
     if len(years) >= 2:
         chosen = years[-1:]
         if counts[chosen[0]] < min_val_rows and len(years) >= 3:
             chosen = years[-2:]
         return df.withColumn("split", _flag(F.col(year).isin(chosen)))
-    return hash_row_split(df, keys, max(1, int(df.count() * fallback_ratio)), seed)
+    return hash_row_split(df, keys, max(1, int(n * fallback_ratio)), seed)
 
 
 def validation_target(n_rows: int, ratio: float = 0.15, minimum: int = 250) -> int:
@@ -58,8 +58,7 @@ def validation_target(n_rows: int, ratio: float = 0.15, minimum: int = 250) -> i
 def latest_years_split(df: DataFrame, keys: list[str], year: str = "fiscal_year", ratio: float = 0.15,
                        min_rows: int = 250, seed: int = 42) -> DataFrame:
     """Whole years downward until the validation target is met, never all rows; then tickers, then rows."""
-    counts = year_counts(df, year)
-    n = df.count()
+    counts, n = year_counts(df, year)
     target = validation_target(n, ratio, min_rows)
     chosen, taken = [], 0
     for y in sorted(counts, reverse=True) if len(counts) > 1 else []:
@@ -70,7 +69,9 @@ def latest_years_split(df: DataFrame, keys: list[str], year: str = "fiscal_year"
             break
     if chosen:
         return df.withColumn("split", _flag(F.col(year).isin(chosen)))
-    return ticker_split(df, target, seed, skip_last=True)
+    if df.select("ticker").distinct().limit(2).count() > 1:
+        return ticker_split(df, target, seed, skip_last=True)
+    return hash_row_split(df, keys, target, seed)
 
 
 def ticker_split(df: DataFrame, target_rows: int, seed: int = 42, skip_last: bool = False, ticker: str = "ticker",

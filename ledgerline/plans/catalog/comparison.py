@@ -209,11 +209,12 @@ def _(t):
     return rounded(Q.loss_table(_aligned(t), MODELS, "row_id"))
 
 
-@query("H4_model_pairs", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
+@query("H4_model_pairs", with_parts("plong", f"SELECT a.model AS model_a, b.model AS model_b, {R('a.rmse - b.rmse', 6, 'rmse_delta')} FROM per a JOIN per b ON a.model < b.model", {"per": f"SELECT model, {_RISK_SQL['rmse']} AS rmse FROM plong GROUP BY 1"}))
 def _(t):
-    n = t.read("nation")
-    a, b = n.alias("a"), n.alias("b")
-    return a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey"))).select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"))
+    table = M.metric_table(_long(t), {"rmse": M.rmse})
+    a = table.select(F.col("model").alias("model_a"), F.col("rmse").alias("a"))
+    b = table.select(F.col("model").alias("model_b"), F.col("rmse").alias("b"))
+    return a.join(b, F.col("model_a") < F.col("model_b")).select("model_a", "model_b", r(F.col("a") - F.col("b"), 6, "rmse_delta"))
 
 
 _BY = "model_a, model_b, loss_view"
@@ -245,7 +246,7 @@ def _(t):
     return rounded(Q.pairwise_statistics(_aligned(t), MODELS).select(*Q.PAIR, "diff_skewness", "approx_symmetric_diff"), 5)
 
 
-_P = {"pv": "SELECT p_partkey % 1000003 AS id, CASE WHEN p_size <> 7 THEN (p_retailprice - 899) / 100000 END AS p, p_brand FROM part",
+_P = {"pv": "SELECT CASE WHEN p_size <> 7 THEN (p_retailprice - 899) / 100000 END AS p, p_brand FROM part",
       "grp": "SELECT p_brand, min(p) AS p FROM pv GROUP BY 1",
       "ord": "SELECT p_brand, p, count(*) OVER () AS m, row_number() OVER (ORDER BY p, p_brand) AS i FROM grp WHERE p IS NOT NULL"}
 

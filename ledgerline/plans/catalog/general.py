@@ -281,10 +281,10 @@ def _(t):
     return t.read("orders").orderBy("o_custkey", "o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey", d(F.to_date("o_orderdate"), "day"))
 
 
-@query("H1_union_all", "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS region FROM nation UNION ALL SELECT r_regionkey, r_name, NULL FROM region")
+@query("H1_union_all", "SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier")
 def _(t):
-    n = t.read("nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
-    return n.unionByName(t.read("region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")), allowMissingColumns=True)
+    c = t.read("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return c.unionByName(t.read("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")), allowMissingColumns=True)
 
 
 @query("H2_wide_to_long", with_parts("bs", " UNION ALL ".join(f"SELECT ticker, CAST(fiscal_year AS BIGINT) AS fiscal_year, '{c}' AS metric, {R(c, 2, 'value')} FROM bs" for c in _COVER)))

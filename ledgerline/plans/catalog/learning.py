@@ -381,7 +381,7 @@ def _(t):
     return rounded(_scored(t).select("row_id", "y_pred", "abs_error", F.round("rel_error", 4).alias("rel_error"), "clip_applied"))
 
 
-@query("S6_additivity", with_parts("pred", "SELECT 0.0 AS mean_abs_gap, 0.0 AS max_abs_gap, count(*) AS rows FROM pred"))
+@query("S6_additivity", with_parts("pred", "SELECT CAST(0 AS DOUBLE) AS mean_abs_gap, CAST(0 AS DOUBLE) AS max_abs_gap, count(*) AS rows FROM pred"))
 def _(t):
     return rounded(A.additivity_table(_long(t), "row_id"), 9)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.operators import fundamentals as K
 from ledgerline.operators import joins as J
 from ledgerline.operators import metrics as M
 from ledgerline.operators import targets as L
@@ -12,6 +13,7 @@ from ledgerline.plans import risk as P
 from ledgerline.plans import valuation as V
 from ledgerline.plans.catalog import query
 from ledgerline.plans.catalog.ctes import FEATURE_SQL, with_parts
+from ledgerline.plans.catalog.fundamentals import _JOINED, _RATIO_SQL, _three
 from ledgerline.plans.catalog.shared import D, R, Rs, rounded
 
 
@@ -92,6 +94,15 @@ def _splits(t):
     return P.prepare({"train": o.where("fiscal_year <= 1997"), "val": o.where("fiscal_year BETWEEN 1998 AND 1999"), "test": o.where("fiscal_year >= 2000")}, t.bars)
 
 
+@query("L14_risk_with_fundamentals", with_parts("risk bs inc cf", f"""SELECT r.ticker, CAST(r.fiscal_year AS BIGINT) AS fiscal_year, {R('r.drawdown_severity', 6, 'drawdown_severity')}, {R('r.volatility_63d', 6, 'volatility_63d')}, {R('j.roa', 4, 'roa')}
+    FROM risk r JOIN rated j ON j.ticker = r.ticker AND j.period_end = r.period_end""", {"joined": _JOINED, "rated": f"SELECT *, {_RATIO_SQL['roa']} AS roa FROM joined"}))
+def _(t):
+    companies = K.company_years(*_three(t))
+    obs = companies.select("ticker", "period_end", "timeframe")
+    out = P.risk_dataset_with_fundamentals(companies, obs, t.bars)
+    return rounded(out.select("ticker", "fiscal_year", "drawdown_severity", "volatility_63d", F.round("roa", 4).alias("roa")))
+
+
 @query("E12_split_summary", with_parts("risk", f"SELECT split_name, count(*) AS rows, count(DISTINCT ticker) AS tickers, {D('min(period_end)', 'first_period_end')}, {D('max(period_end)', 'last_period_end')}, {R('min(drawdown_severity)', 6, 'target_min')}, {R('max(drawdown_severity)', 6, 'target_max')}, {R('avg(drawdown_severity)', 6, 'target_mean')} FROM (SELECT *, CASE WHEN fiscal_year <= 1997 THEN 'train' WHEN fiscal_year <= 1999 THEN 'val' ELSE 'test' END AS split_name FROM risk) GROUP BY 1"))
 def _(t):
     return rounded(P.split_summary(_splits(t)))

@@ -53,9 +53,11 @@ def typed_bars(raw: DataFrame, name: Column, keep: list[str] = ()) -> DataFrame:
 def read_daily_files(spark: SparkSession, root: str, tickers: DataFrame | None = None) -> DataFrame:
     """Flat daily files below `root`; the last row of a (ticker, date) in file order stays.
 
-    Files whose name is no date are skipped. The header of one file names the columns of all of them.
+    Files whose name is no date are skipped. One reader serves files with one header; a file whose header differs
+    raises instead of being read by position, so folders with different headers are read apart and united.
     """
-    raw = spark.read.csv(root, header=True, recursiveFileLookup=True, pathGlobFilter="*.csv*")
+    glob = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9].csv*"
+    raw = spark.read.csv(root, header=True, recursiveFileLookup=True, pathGlobFilter=glob, enforceSchema=False)
     named = raw.select("*", F.col("_metadata.file_name").alias("_name"), F.col("_metadata.file_path").alias("_path"))
     dated = named.where(file_date(F.col("_name")).isNotNull()).withColumn("_line", F.monotonically_increasing_id())
     kept = typed_bars(dated, F.col("_name"), ["_path", "_line"]).na.drop(subset=["ticker", "date", "close"])

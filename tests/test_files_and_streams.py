@@ -33,6 +33,13 @@ def test_daily_files(spark, root):
     assert got == {("AA", "2024-01-02"): 12.0, ("AA", "2024-01-03"): 13.0}
 
 
+def test_a_differing_header_is_not_read_by_position(spark, root):
+    put(root / "2024-01-02.csv", "ticker,close,high,low\nA,1,2,0\n")
+    put(root / "2024-01-03.csv", "ticker,high,close,low\nA,2,1,0\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        R.read_daily_files(spark, str(root)).collect()
+
+
 def test_ticker_day_json(spark, root):
     put(root / "AA/2024-01/02.json", json.dumps({"from": "2024-01-02", "close": 5}))
     put(root / "BB__SLASH__C/2024-01/03.json", json.dumps({"c": 7}))

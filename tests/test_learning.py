@@ -58,6 +58,15 @@ def test_ticker_split_is_disjoint_even_with_a_hot_ticker(data):
     assert both == 0 and sizes["val"] >= 100 and sizes["train"] > 0
 
 
+def test_split_fallbacks(data):
+    one_year = data.drop("split").withColumn("fiscal_year", F.lit(2010))
+    by_ticker = N.latest_years_split(one_year, ["row_id"], min_rows=50)
+    assert by_ticker.groupBy("ticker").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
+    one_ticker = one_year.withColumn("ticker", F.lit("A"))
+    assert N.latest_years_split(one_ticker, ["row_id"], min_rows=50).where("split = 'val'").count() == 90
+    assert N.time_aware_split(one_year, ["row_id"]).where("split = 'val'").count() == 120
+
+
 def test_folds(data):
     base = data.drop("split")
     groups = N.group_kfold(base, 4)
