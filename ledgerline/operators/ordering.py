@@ -23,9 +23,12 @@ _SHIFT = 1 << 23
 
 
 def grid_cell(value: Column) -> Column:
-    """Order-preserving cell of a number: equal or larger values never get a smaller cell."""
+    """Order-preserving cell of a number: equal or larger values never get a smaller cell.
+
+    Infinity and NaN share the outermost cell (Spark orders NaN last inside it).
+    """
     v = value.cast("double")
-    step = F.floor(F.ln(F.abs(v)) * RESOLUTION) + _SHIFT
+    step = F.floor(F.least(F.ln(F.abs(v)), F.lit(800.0)) * RESOLUTION) + _SHIFT
     return F.when(v > 0, step).when(v < 0, -step).otherwise(F.lit(0).cast("bigint"))
 
 

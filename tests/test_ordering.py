@@ -58,6 +58,14 @@ def test_cdf(skewed):
     assert all(abs(c - (pdf["v"] <= v).mean()) < 1e-12 for v, c in got.items())
 
 
+def test_infinities_and_nan_stay_last(spark):
+    values = [float("nan"), float("inf"), 1.0, float("-inf"), 1e300, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = G.cumulative_counts(df, "v").orderBy("n_before").collect()
+    assert [str(r["v"]) for r in rows] == ["-inf", "0.0", "1.0", "1e+300", "inf", "nan"]
+    assert [r["n_before"] for r in rows] == [0, 1, 2, 3, 4, 5]
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(allow_nan=False, allow_infinity=False), min_size=2, max_size=60))
 def test_grid_keeps_order(spark, values):
