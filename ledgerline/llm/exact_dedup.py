@@ -15,7 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from ledgerline.llm.shared import may_hold, new_folder, stored
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, only changes uploaded after a batch, log files without space reserved ahead.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 ARRIVAL = "doc_id long, digest string, n_bytes long, source_file string, arrival long"
 
 
@@ -43,8 +48,9 @@ def run_state(spark: SparkSession, landed: str, state: str, groups: str, files_p
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{groups}/batch={number}")
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
     try:
         stream = spark.readStream.schema(ARRIVAL).option("maxFilesPerTrigger", files_per_batch).parquet(landed)
         entries = stream.groupBy("digest").agg(
@@ -53,7 +59,8 @@ def run_state(spark: SparkSession, landed: str, state: str, groups: str, files_p
                  .option("checkpointLocation", state).trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def entries(spark: SparkSession, groups: str) -> DataFrame:
