@@ -72,7 +72,7 @@ def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
             continue
         cuts = np.array([(i << 64) // tiles for i in range(1, tiles)], U)
         at = np.concatenate(([0], np.searchsorted(s, cuts), [len(s)]))
-        name = mix((np.arange(tiles, dtype=U) + U(1)) * U(0x9FB21C651E98DF25) + U(b) * U(0xD1342543DE82EF95))
+        name = mix((np.arange(tiles, dtype=U) + U(1)) * U(0x9FB21C651E98DF25) + U(b * 0xD1342543DE82EF95 % (1 << 64)))
         full = at[1:] > at[:-1]
         out.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ name)[full])
         if tiles - int(full.sum()) > spare_tiles(percent, b, table):
