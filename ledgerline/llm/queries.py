@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import exact_dedup, jaccard_join, mixing
+from ledgerline.llm import bpe, exact_dedup, jaccard_join, mixing
 
 QUERIES = {
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op7_bpe": bpe.op7_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
