@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import bpe, exact_dedup, jaccard_join, mixing
+from ledgerline.llm import bpe, exact_dedup, jaccard_join, mixing, perplexity
 
 QUERIES = {
+    "op2_perplexity": perplexity.op2_perplexity,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op7_bpe": bpe.op7_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
