@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import bpe, exact_dedup, jaccard_join, mixing, perplexity
+from ledgerline.llm import bpe, exact_dedup, jaccard_join, mixing, perplexity, suffix_dedup
 
 QUERIES = {
     "op2_perplexity": perplexity.op2_perplexity,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op6_repeats": suffix_dedup.op6_repeats,
     "op7_bpe": bpe.op7_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
