@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import bpe, exact_dedup, jaccard_join, mixing, perplexity, suffix_dedup
+from ledgerline.llm import bpe, exact_dedup, jaccard_join, line_blocks, mixing, pairwise_quality, perplexity, personal_data, suffix_dedup
 
 QUERIES = {
+    "op1_pairwise_quality": pairwise_quality.op1_pairwise_quality,
+    "op3_line_blocks": line_blocks.op3_line_blocks,
     "op2_perplexity": perplexity.op2_perplexity,
+    "op4_personal_data": personal_data.op4_personal_data,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_repeats": suffix_dedup.op6_repeats,
     "op7_bpe": bpe.op7_bpe,
