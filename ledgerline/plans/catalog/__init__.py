@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.session import ship_package
 from ledgerline.sources.tables import Tables
 
 
@@ -41,4 +42,9 @@ def load() -> dict[str, Entry]:
 
 def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
     entry = load()[name]
-    return lambda spark, sf_dir: entry.run(Tables(spark, sf_dir))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return entry.run(Tables(spark, sf_dir))
+
+    return run

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,22 +25,38 @@ def build_session(cpus: int | None = None, partitions: int | None = None, app: s
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the executors, once a session, so that functions on them can import it from anywhere."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerline_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    if here.is_dir():  # else the package came as an archive that the submitter has shipped
+        archive = Path(tempfile.mkdtemp(prefix="ledgerline-")) / "ledgerline_package.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(here.rglob("*.py")):
+                z.write(file, file.relative_to(here.parent))
+        sc.addPyFile(str(archive))
+    sc._ledgerline_shipped = True
+
+
 def truncate_lineage(df, eager: bool = True):
     """Cut lineage with a reliable checkpoint in the folder the cluster names.
 
     `spark.checkpoint.dir` names a folder shared by all executors, so a lost executor does not lose the
-    data. Only where nothing is named (tests on one machine) a folder is made below /tmp.
+    data. Only a local session that names nothing gets a folder below /tmp; a cluster without one is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            import tempfile
-
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="ledgerline-checkpoint-", dir="/tmp")
         sc.setCheckpointDir(named)
     return df.checkpoint(eager=eager)
