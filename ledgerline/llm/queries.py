@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import bpe, exact_dedup, jaccard_join, line_blocks, mixing, pairwise_quality, perplexity, personal_data, suffix_dedup
+from collections.abc import Callable
 
-QUERIES = {
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerline.llm import bpe, exact_dedup, jaccard_join, line_blocks, mixing, pairwise_quality, perplexity, personal_data, secrets_forest, suffix_dedup
+from ledgerline.session import ship_package
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _shipped(query) for name, query in {
     "op1_pairwise_quality": pairwise_quality.op1_pairwise_quality,
     "op3_line_blocks": line_blocks.op3_line_blocks,
     "op2_perplexity": perplexity.op2_perplexity,
@@ -12,9 +26,10 @@ QUERIES = {
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_repeats": suffix_dedup.op6_repeats,
     "op7_bpe": bpe.op7_bpe,
+    "op9_secrets": secrets_forest.op9_secrets,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
-}
+}.items()}
 
 ORACLES = {
     "op8_exact_dedup": exact_dedup.OP8_SQL,
