@@ -11,12 +11,18 @@ EMPTY_TEXTS = "array<string>"
 EMPTY_NUMBERS = "array<double>"
 
 
+def _parsed(c) -> Column:
+    """The array of a list-like text, NULL if the text is no list. As written first; a bare None between commas or
+    brackets counts as null only where that fails, so words inside texts stay."""
+    text = F.trim(_col(c))
+    plain = F.regexp_replace(text, r"(?<=[\[,])\s*None\s*(?=[,\]])", "null")
+    read = lambda t: F.from_json(t, "array<string>")
+    return F.when(text.startswith("["), F.coalesce(read(text), read(plain)))
+
+
 def parse_list(c) -> Column:
     """List-like text (JSON, or a literal with single quotes or None) as an array; anything else is empty."""
-    text = F.trim(_col(c))
-    as_json = F.regexp_replace(text, r"\bNone\b", "null")
-    parsed = F.when(text.startswith("["), F.from_json(as_json, "array<string>"))
-    return F.coalesce(parsed, F.array().cast(EMPTY_TEXTS))
+    return F.coalesce(_parsed(c), F.array().cast(EMPTY_TEXTS))
 
 
 def finite_numbers(items) -> Column:
@@ -39,10 +45,10 @@ def parse_scores(c) -> Column:
 def parse_texts(c) -> Column:
     """JSON list of texts, else comma separated text with double quotes honoured; trimmed, non-empty."""
     text = F.trim(_col(c))
-    listed = parse_list(c)
+    listed = _parsed(c)
     fields = F.split(text, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
     unquoted = F.transform(fields, lambda x: F.trim(F.regexp_replace(F.trim(x), r"^[\"']+|[\"']+$", "")))
-    chosen = F.when(F.size(listed) > 0, F.transform(listed, lambda x: F.trim(x))).otherwise(unquoted)
+    chosen = F.when(listed.isNotNull(), F.transform(listed, lambda x: F.trim(x))).otherwise(unquoted)
     return F.coalesce(F.filter(chosen, lambda x: x != ""), F.array().cast(EMPTY_TEXTS))
 
 

@@ -48,14 +48,12 @@ def sampled_shapley(df: DataFrame, background: DataFrame, features: list[str], p
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(seed)
         orders = [rng.permutation(d) for _ in range(permutations)]
-        step = min(8, len(reference))
-        starts = [reference[(np.arange(step) + step * i) % len(reference)] for i in range(permutations)]
-        base = float(np.mean(predict(np.concatenate(starts))))
+        base = float(np.mean(predict(reference)))
         for pdf in batches:
             x = pdf[features].to_numpy(dtype=float)
             total = np.zeros((len(x), d))
-            for order, refs in zip(orders, starts):
-                for ref in refs:
+            for order in orders:
+                for ref in reference:
                     current = np.tile(ref, (len(x), 1))
                     before = predict(current)
                     for j in order:
@@ -67,7 +65,7 @@ def sampled_shapley(df: DataFrame, background: DataFrame, features: list[str], p
                 {
                     key: np.repeat(pdf[key].to_numpy(), d),
                     "feature": np.tile(features, len(x)),
-                    "shap": (total / (permutations * step)).reshape(-1),
+                    "shap": (total / (permutations * len(reference))).reshape(-1),
                     "base_value": base,
                 }
             )
@@ -87,9 +85,9 @@ def importance_table(long: DataFrame) -> DataFrame:
     return t.withColumn("rank", F.row_number().over(W.orderBy(F.desc("mean_abs_shap"), "feature")))
 
 
-def prediction_columns(df: DataFrame, output: str = "y_pred_model_output") -> DataFrame:
-    """Clipped prediction, absolute and relative error, and whether the clip changed anything."""
-    d = df.withColumn("y_pred", S.clip(output, 0.0, 1.0))
+def prediction_columns(df: DataFrame, bounds: tuple[float | None, float | None], output: str = "y_pred_model_output") -> DataFrame:
+    """Prediction clipped to `bounds`, absolute and relative error, and whether the clip changed anything."""
+    d = df.withColumn("y_pred", S.clip(output, *bounds))
     return d.withColumns(
         {
             "abs_error": F.abs(F.col("y_pred") - F.col("y_true")),

@@ -40,9 +40,10 @@ def forward_window_join(obs: DataFrame, bars: DataFrame, horizon_days: int = 365
 
     Both sides meet on (ticker, calendar year): an observation is repeated only for the years its horizon
     touches, so a bar is compared with the observations of its own year and not with the ticker's whole history.
+    Equal observations give one path.
     """
     reach = F.date_add("period_end", horizon_days)
-    keyed = obs.select("ticker", "period_end", reach.alias("horizon_end_date")).withColumn(
+    keyed = obs.select("ticker", "period_end", reach.alias("horizon_end_date")).distinct().withColumn(
         "_year", F.explode(F.sequence(F.year("period_end"), F.year("horizon_end_date")))
     )
     dated = bars.select("ticker", "date", *values).withColumn("_year", F.year("date"))
@@ -53,17 +54,26 @@ def forward_window_join(obs: DataFrame, bars: DataFrame, horizon_days: int = 365
     )
 
 
+def one_row_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with all keys; fails when it runs if a key has several rows. The shuffle is the one a join on the keys needs."""
+    others = [c for c in df.columns if c not in keys]
+    filled = df.na.drop(subset=keys)
+    held = filled.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*others) if others else F.lit(1)).alias("_row"))
+    single = F.when(F.col("_n") > 1, F.raise_error(F.lit(f"several rows for one key {keys}"))).otherwise(F.lit(True))
+    return held.where(single).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
+
+
 def merge_new_columns(main: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
     """Left merge that only adds columns the main table lacks. `extra` has one row per key."""
     fresh = [c for c in extra.columns if c not in main.columns]
-    return main.join(extra.select(*keys, *fresh), keys, "left")
+    return main.join(one_row_per_key(extra.select(*keys, *fresh), keys), keys, "left")
 
 
 def merge_fill(main: DataFrame, extra: DataFrame, keys: list[str], skip: tuple[str, ...] = ()) -> DataFrame:
     """Left merge: new columns are added, shared columns keep the main value and are filled where it is missing."""
     incoming = [c for c in extra.columns if c not in keys and c not in skip]
     renamed = extra.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in incoming])
-    joined = main.join(renamed, keys, "left")
+    joined = main.join(one_row_per_key(renamed, keys), keys, "left")
     kept = [F.coalesce(F.col(c), F.col(f"_new_{c}")).alias(c) if c in incoming else F.col(c) for c in main.columns]
     added = [F.col(f"_new_{c}").alias(c) for c in incoming if c not in main.columns]
     return joined.select(*kept, *added)

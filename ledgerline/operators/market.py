@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerline.functions.scalars import finite
 from ledgerline.operators.joins import asof_backward, spread
 
 TRADING_DAYS = 252
@@ -25,6 +26,9 @@ def by_day():
 
 
 def daily_inputs(bars: DataFrame) -> DataFrame:
+    """Bars with daily returns, turnover and range; values that are no finite number count as missing."""
+    numbers = [c for c, kind in bars.dtypes if kind in ("double", "float")]
+    bars = bars.withColumns({c: finite(c) for c in numbers})
     log_close = F.when(F.col("close") > 0, F.ln("close"))
     return spread(bars, ["ticker"]).withColumns(
         {
@@ -48,33 +52,14 @@ ROLLING = {
 def rolling(df: DataFrame, specs: dict[str, tuple[str, int, str]]) -> DataFrame:
     """Rolling mean or sample standard deviation per ticker, missing unless the frame holds `rows` values.
 
-    Running counts, sums and sums of squares are taken once per input and a frame is the difference of two of them,
-    so a row costs the same for any frame length. (A sliding frame is summed anew for every row.)
+    Frames are bounded, so an outlier or a gap touches only the frames that hold it; all share one partitioning and sort.
     """
-    inputs = sorted({c for c, _, _ in specs.values()})
-    squared = {c for c, _, kind in specs.values() if kind == "std"}
-    running = by_day().rowsBetween(W.unboundedPreceding, W.currentRow)
-    totals = {}
-    for c in inputs:
-        totals[f"_n_{c}"] = F.count(c).over(running)
-        totals[f"_s_{c}"] = F.coalesce(F.sum(c).over(running), F.lit(0.0))
-        if c in squared:
-            totals[f"_q_{c}"] = F.coalesce(F.sum(F.col(c) * F.col(c)).over(running), F.lit(0.0))
-    summed = df.withColumns(totals)
-
-    def within(name: str, rows: int) -> Column:
-        return F.col(name) - F.coalesce(F.lag(name, rows).over(by_day()), F.lit(0))
-
     out = {}
     for name, (c, rows, kind) in specs.items():
-        full = within(f"_n_{c}", rows) == rows
-        total = within(f"_s_{c}", rows)
-        if kind == "mean":
-            value = total / rows
-        else:
-            value = F.sqrt(F.greatest(within(f"_q_{c}", rows) - total * total / rows, F.lit(0.0)) / (rows - 1))
-        out[name] = F.when(full, value)
-    return summed.withColumns(out).drop(*totals)
+        frame = by_day().rowsBetween(1 - rows, W.currentRow)
+        value = F.avg(c) if kind == "mean" else F.stddev_samp(c)
+        out[name] = F.when(F.count(c).over(frame) == rows, value.over(frame))
+    return df.withColumns(out)
 
 
 def market_features(bars: DataFrame) -> DataFrame:

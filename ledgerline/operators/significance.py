@@ -5,6 +5,8 @@ Every sum runs as a Spark aggregate; only result tables (one row per model pair)
 
 from __future__ import annotations
 
+import math
+
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -264,11 +266,17 @@ def dunn_table(ranks: DataFrame) -> DataFrame:
     return adjust(t, "p_value", ["group_a", "group_b"], by=["model"], prefix="p")
 
 
-# Cumulative Poisson(1) probabilities of 0..8 draws.
-POISSON_CDF = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-    0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020,
-)
+def _poisson_cdf() -> tuple[float, ...]:
+    """Cumulative Poisson(1) probabilities of 0, 1, ... draws, as far as a 53-bit hash can tell them from one."""
+    out, term, k = [math.exp(-1)], math.exp(-1), 0
+    while 1 - out[-1] >= 2.0**-53:
+        k += 1
+        term /= k
+        out.append(out[-1] + term)
+    return tuple(c for c in out if c < 1)
+
+
+POISSON_CDF = _poisson_cdf()
 
 
 def _draws(key: str, iteration: Column, seed: int) -> Column:

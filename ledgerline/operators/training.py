@@ -249,11 +249,12 @@ def guard_rates(guarded: DataFrame) -> DataFrame:
     return guarded.agg(*[F.avg(F.col(f"fallback_{n}").cast("double")).alias(f"fallback_{n}_rate") for n in names])
 
 
-def prediction_frame(df: DataFrame, output: str, target: str, split: str, keep: list[str], raw_target: str | None = None,
-                     baseline: str | None = None) -> DataFrame:
-    columns = [F.lit(split).alias("split"), S.to_number(target).alias("y_true"), S.clip(output, 0.0, 1.0).alias("y_pred")]
+def prediction_frame(df: DataFrame, output: str, target: str, split: str, keep: list[str], bounds: tuple[float | None, float | None],
+                     raw_target: str | None = None, baseline: str | None = None) -> DataFrame:
+    """Predictions clipped to `bounds`: (0, 1) for severities, (0, None) for money."""
+    columns = [F.lit(split).alias("split"), S.to_number(target).alias("y_true"), S.clip(output, *bounds).alias("y_pred")]
     if baseline:
-        columns.append(S.clip(baseline, 0.0, 1.0).alias("y_pred_baseline"))
+        columns.append(S.clip(baseline, *bounds).alias("y_pred_baseline"))
     if raw_target:
         columns.append(S.to_number(raw_target).alias("y_true_raw_drawdown"))
     return df.select(*keep, *columns)
@@ -273,15 +274,16 @@ def generalization(metrics_by_split: DataFrame) -> DataFrame:
 
 
 def held_out_report(df: DataFrame, test_keys: DataFrame, keys: list[str], features: list[str], target: str, baseline: str,
-                    fit: Callable[[DataFrame], object], predict: Callable[[object, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Train without the held-out years or tickers, score them, compare with the baseline.
+                    fit: Callable[[DataFrame], object], predict: Callable[[object, DataFrame], DataFrame],
+                    bounds: tuple[float | None, float | None]) -> tuple[DataFrame, DataFrame]:
+    """Train without the held-out years or tickers, score them inside `bounds`, compare with the baseline.
 
     Returns (predictions with the value before clipping, metric table).
     """
     model = fit(without(df, test_keys, keys))
     test = df.join(test_keys.select(*keys).distinct(), keys, "left_semi")
     scored = predict(model, test).withColumn("y_true", F.col(target))
-    out = scored.withColumn("y_pred", S.clip("y_pred_model_output", 0.0, 1.0))
+    out = scored.withColumn("y_pred", S.clip("y_pred_model_output", *bounds))
     long = out.select("y_true", F.col("y_pred").alias("model"), F.col(baseline).alias("baseline")).unpivot(["y_true"], ["model", "baseline"], "model", "y_pred")
     return out, M.metric_table(long, M.RISK_METRICS)
 
@@ -300,15 +302,15 @@ def cross_validated(df: DataFrame, fold: str, label: str, fit: Callable[[DataFra
 
 
 def huber_sweep(df: DataFrame, features: list[str], label: str = "label", epsilons=(1.05, 1.2, 1.35, 1.5, 2.0, 3.0)) -> DataFrame:
-    """Validation error per Huber epsilon; the best has the lowest RMSE, then the lowest MAPE."""
+    """Validation error per Huber epsilon; the best has the lowest log RMSE, then the lowest MAPE."""
     val = df.where("split = 'val'")
     rows = None
     for e in epsilons:
         scored = predict_with(fit_robust_linear(df, features, label, epsilon=e), val, features)
         part = scored.select(F.lit(float(e)).alias("epsilon"), F.col(label).alias("y_true"), F.col("y_pred_model_output").alias("y_pred"))
         rows = part if rows is None else rows.unionByName(part)
-    table = M.metric_table(rows, {"rmse": M.rmse, "mape": M.mape}, ["epsilon"])
-    best = table.agg(F.min(F.struct("rmse", "mape", "epsilon"))["epsilon"]).scalar()
+    table = M.metric_table(rows, {"rmse": M.rmse, "rmse_log": M.rmse_log, "mape": M.mape}, ["epsilon"])
+    best = table.agg(F.min(F.struct("rmse_log", "mape", "epsilon"))["epsilon"]).scalar()
     return table.withColumn("best", F.col("epsilon") == best)
 
 

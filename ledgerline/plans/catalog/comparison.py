@@ -267,13 +267,13 @@ def _(t):
     return rounded(Q.adjust(_p_values(t), "p", ["p_brand"]).select("p_brand", "p_bh"))
 
 
-_MZ = {"mz": """SELECT model, CAST(count(*) AS DOUBLE) AS n, regr_slope(y_true, y_pred) AS b, regr_intercept(y_true, y_pred) AS a, regr_sxx(y_true, y_pred) AS sxx, regr_syy(y_true, y_pred) AS syy, avg(y_pred) AS mx FROM plong WHERE model <> 'baseline' GROUP BY 1""",
+_MZ = {"mz": """SELECT model, CAST(count(*) AS DOUBLE) AS n, regr_slope(y_true, y_pred) AS b, regr_intercept(y_true, y_pred) AS a, regr_sxx(y_true, y_pred) AS sxx, regr_syy(y_true, y_pred) AS syy, avg(y_pred) AS mx FROM plong GROUP BY 1""",
        "mv": "SELECT *, (syy - b * b * sxx) / (n - 2) AS v FROM mz"}
 
 
 @query("Q10_calibration", with_parts("plong", f"SELECT model, CAST(n AS BIGINT) AS rows, {R('a', 6, 'intercept')}, {R('sqrt(v * (1 / n + mx * mx / sxx))', 6, 'intercept_se')}, {R('b', 6, 'slope')}, {R('sqrt(v / sxx)', 6, 'slope_se')}, {R('b * b * sxx / syy', 6, 'r2')}, {R('(n * a * a + 2 * a * (b - 1) * n * mx + (b - 1) * (b - 1) * (sxx + n * mx * mx)) / (2 * v)', 3, 'joint_f_statistic')} FROM mv", _MZ))
 def _(t):
-    out = Q.calibration_statistics(_long(t).where("model <> 'baseline'"))
+    out = Q.calibration_statistics(_long(t))
     return rounded(out.withColumn("joint_f_statistic", F.round("joint_f_statistic", 3)))
 
 
@@ -345,7 +345,7 @@ def _(t):
 
 @query("Q14_calibration_suite")
 def _(t):
-    return Q.calibration_table(_long(t).where("model <> 'baseline'")).join(Q.bias_table(_long(t)), "model")
+    return Q.calibration_table(_long(t)).join(Q.bias_table(_long(t)).drop("rows"), "model")
 
 
 @query("Q14_valuation_pairwise")

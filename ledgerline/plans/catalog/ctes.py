@@ -104,7 +104,7 @@ PARTS: dict[str, tuple[str, str]] = {
                'http://news.example/' || n_chars AS article_url,
                CASE WHEN source <> 'src13' THEN strftime(make_date(CAST(1995 + doc_id % 7 AS INTEGER), CAST(n_chars % 12 + 1 AS INTEGER), CAST(n_chars % 28 + 1 AS INTEGER)), '%Y-%m-%d')
                     || 'T0' || (n_chars % 10) || ':00:00Z' END AS published_utc,
-               substring(text, 1, 40) AS title, CASE WHEN source <> 'src7' THEN text END AS description,
+               text AS title, CASE WHEN source <> 'src7' THEN text END AS description,
                CASE WHEN source = 'src1' THEN ['ELSEWHERE'] WHEN source = 'src2' THEN [] ELSE [lower('S' || (doc_id % 100)), 'OTHER', 'S' || (doc_id % 100)] END AS tickers
         FROM documents"""),
     "pred": ("", """

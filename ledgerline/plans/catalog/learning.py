@@ -280,7 +280,7 @@ def _(t):
 @query("O12_prediction_frame", with_parts("pred", f"SELECT row_id, 'val' AS split, {R('y_true')}, {R('least(greatest(model_a, 0), 1)', 6, 'y_pred')}, {R('least(greatest(baseline, 0), 1)', 6, 'y_pred_baseline')}, {R('-y_true', 6, 'y_true_raw_drawdown')} FROM pred WHERE split = 'val'"))
 def _(t):
     p = t.predictions.where("split = 'val'").withColumn("raw", -F.col("y_true"))
-    return rounded(T.prediction_frame(p, "model_a", "y_true", "val", ["row_id"], "raw", "baseline"))
+    return rounded(T.prediction_frame(p, "model_a", "y_true", "val", ["row_id"], (0.0, 1.0), "raw", "baseline"))
 
 
 @query("O13_generalization", with_parts("pred", f"""SELECT {R("exp(max(rl) FILTER (split = 'val'))", 6, 'model_factor')}, {R("max(rl) FILTER (split = 'val') - max(rl) FILTER (split = 'train')", 6, 'gap_rmse_log')}, {R("max(r2) FILTER (split = 'train') - max(r2) FILTER (split = 'val')", 6, 'gap_r2_log')}
@@ -302,7 +302,7 @@ def _(t):
     late = data.agg(F.max("fiscal_year").alias("fiscal_year"))
     _, metrics = T.held_out_report(data, late, ["fiscal_year"], FEATURE_SQL, "label", "baseline",
                                    lambda d: T.fit_robust_linear(d.withColumn("split", F.lit("train")), FEATURE_SQL, rounds=50),
-                                   lambda m, d: T.predict_with(m, d, FEATURE_SQL))
+                                   lambda m, d: T.predict_with(m, d, FEATURE_SQL), (0.0, 1.0))
     return metrics
 
 
@@ -333,7 +333,7 @@ def _long(t):
 
 
 def _scored(t):
-    return A.prediction_columns(t.predictions.withColumn("y_pred_model_output", T.linear_expression(COEFFICIENTS, INTERCEPT)))
+    return A.prediction_columns(t.predictions.withColumn("y_pred_model_output", T.linear_expression(COEFFICIENTS, INTERCEPT)), (0.0, 1.0))
 
 
 @query("S1_linear_attributions", with_parts("pred", f"SELECT row_id, feature, {R('feature_value')}, {R('shap')}, {R('base_value')}, {R('y_pred_model_output')} FROM sh", _SHAP))
@@ -348,7 +348,7 @@ def _(t):
     weights = np.array(list(COEFFICIENTS.values()))
     predict = lambda x: x @ weights + INTERCEPT + 0.1 * x[:, 0] * x[:, 1]
     p = t.predictions
-    long = A.sampled_shapley(p, p, list(COEFFICIENTS), predict, "row_id", permutations=4, background_rows=32)
+    long = A.sampled_shapley(p, p, list(COEFFICIENTS), predict, "row_id", permutations=16, background_rows=64)
     return long.groupBy("feature").agg(F.count("*").alias("rows"), F.avg(F.abs("shap")).alias("mean_abs_shap"), F.avg("base_value").alias("base_value"))
 
 

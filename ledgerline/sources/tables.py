@@ -207,7 +207,7 @@ class Tables:
             F.when(F.col("lang") != "fr", F.concat(F.lit("D"), F.col("doc_id"))).alias("id"),
             F.concat(F.lit("http://news.example/"), F.col("n_chars")).alias("article_url"),
             F.when(F.col("source") != "src13", published).alias("published_utc"),
-            F.substring("text", 1, 40).alias("title"),
+            F.col("text").alias("title"),
             F.when(F.col("source") != "src7", F.col("text")).alias("description"),
             F.when(F.col("source") == "src1", F.array(F.lit("ELSEWHERE")))
             .when(F.col("source") == "src2", F.array().cast("array<string>"))

@@ -124,7 +124,7 @@ def test_held_out_report_and_cross_validation(data):
     fit = lambda x: T.fit_robust_linear(x.withColumn("split", F.lit("train")), FEATURES)
     predict = lambda m, x: T.predict_with(m, x, FEATURES)
     late = d.select(F.max("fiscal_year").alias("fiscal_year"))
-    out, table = T.held_out_report(d, late, ["fiscal_year"], FEATURES, "label", "baseline", fit, predict)
+    out, table = T.held_out_report(d, late, ["fiscal_year"], FEATURES, "label", "baseline", fit, predict, (0.0, 1.0))
     r = {x["model"]: x["rmse"] for x in table.collect()}
     assert r["model"] < r["baseline"] and out.select("fiscal_year").distinct().count() == 1
     folds = T.cross_validated(N.group_kfold(d.drop("split"), 3), "fold", "label", lambda x: T.fit_robust_linear(x, FEATURES), predict)
