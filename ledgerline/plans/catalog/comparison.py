@@ -438,5 +438,5 @@ def _(t):
 
 @query("T3_day_bars", f"SELECT event_type, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, (max({{'t': ts, 'e': event_id, 'v': value}})).v AS close, max(value) AS high, min(value) AS low, {R('sum(value)', 2, 'volume')}, count(*) AS transactions FROM events GROUP BY 1, 2")
 def _(t):
-    bars = day_bars(t.day_events, lateness=None)
+    bars = day_bars(t.day_events, None)
     return bars.select("event_type", d("date"), "close", "high", "low", r("volume", 2), "transactions")

@@ -8,11 +8,13 @@ from ledgerline.operators import joins as J
 from ledgerline.operators import market as X
 from ledgerline.operators import metrics as M
 from ledgerline.operators import ordering as G
+from ledgerline.operators.cleaning import keep_latest
 from ledgerline.operators.prep import cumulative_share
 from ledgerline.operators.targets import anchor_prices
 from ledgerline.plans.catalog import query
 from ledgerline.plans.catalog.ctes import FEATURE_SQL, with_parts
 from ledgerline.plans.catalog.shared import D, R, Rs, d, r, rounded
+from ledgerline.sources.files import daily_bars
 
 
 @query("D1_asof_backward", with_parts("obs bars", f"SELECT o.ticker, {D('o.period_end', 'period_end')}, {D('b.date', 'anchor_trade_date')}, b.close AS anchor_close FROM obs o ASOF LEFT JOIN bars b ON o.ticker = b.ticker AND o.period_end >= b.date"))
@@ -88,3 +90,23 @@ def _(t):
     o = t.read("orders").groupBy(F.year("o_orderdate").cast("bigint").alias("y")).agg(F.count("*").alias("n"))
     share = o.select("y", (F.col("n") / o.agg(F.sum("n")).scalar()).alias("share"))
     return rounded(cumulative_share(share, "y", "share"))
+
+
+def _daily_lines(t):
+    """Events as lines of one CSV file per day; the days' headers differ in names and order."""
+    e = t.day_events.withColumn("day", F.to_date("ts"))
+    even = F.dayofmonth("day") % 2 == 0
+    v = F.col("value").cast("string")
+    line = F.when(even, F.concat_ws(",", "event_type", v, v, v, F.lit("7"), F.lit("1"))).otherwise(F.concat_ws(",", F.lit("1"), F.lit("7"), v, "event_type", v, v))
+    rows = e.select("day", line.alias("value"), F.col("event_id").cast("long").alias("at_line"))
+    header = F.when(even, F.lit("ticker,close,high,low,volume,transactions")).otherwise(F.lit("N,Volume,C,Symbol,H,L"))
+    heads = e.select("day", header.alias("value"), F.lit(-1).cast("long").alias("at_line")).distinct()
+    name = F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(".csv"))
+    return rows.unionByName(heads).select(name.alias("path"), name.alias("name"), F.lit(0).cast("long").alias("at_block"), "at_line", "value")
+
+
+@query("A1_daily_files", f"SELECT upper(trim(event_type)) AS ticker, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, {R('arg_max(value, event_id)', 6, 'close')}, {R('arg_max(value, event_id)', 6, 'high')}, CAST(7 AS DOUBLE) AS volume FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+def _(t):
+    bars = daily_bars(_daily_lines(t)).na.drop(subset=["ticker", "date", "close"])
+    latest = keep_latest(bars, ["ticker", "date"], ["path", "at_block", "at_line"])
+    return rounded(latest.select("ticker", "date", "close", "high", "volume"))

@@ -13,6 +13,7 @@ from ledgerline.plans.catalog.ctes import with_parts
 from ledgerline.plans.catalog.shared import R, rounded
 from ledgerline.sources.sinks import csv_ready
 from ledgerline.sources.tables import DEMO_NEGATIVE, DEMO_POSITIVE
+from ledgerline.streaming.feeds import distinct_articles
 
 _KEY = "coalesce(nullif(id, ''), sha256(coalesce(article_url, '') || '|' || coalesce(published_utc, '') || '|' || coalesce(title, '')))"
 _MATCH = "(len(tickers) = 0 OR list_contains(list_transform(tickers, lambda x: upper(trim(x))), dir_ticker))"
@@ -225,3 +226,8 @@ def _(t):
     return N.new_articles(a, stored, "1997-01-01", "2001-12-31").select("arrival")
 
 
+
+
+@query("T2_article_feed", with_parts("articles", f"SELECT arrival, dir_ticker, {_KEY} AS news_key FROM articles QUALIFY row_number() OVER (PARTITION BY dir_ticker, {_KEY} ORDER BY arrival) = 1"))
+def _(t):
+    return distinct_articles(t.articles).select("arrival", "dir_ticker", "news_key")

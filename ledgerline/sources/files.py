@@ -39,31 +39,53 @@ def path_ticker(level: int) -> Column:
     return S.normalize_ticker(F.replace(name, F.lit("__SLASH__"), F.lit("/")))
 
 
-def typed_bars(raw: DataFrame, name: Column, keep: list[str] = ()) -> DataFrame:
-    """Raw daily rows (text columns of any accepted naming) to typed bars; `name` is the file name."""
-    found = {n: resolve_column(raw.columns, c, n not in OPTIONAL_BAR_COLUMNS) for n, c in BAR_COLUMNS.items()}
-    number = lambda n: (S.to_number(found[n]) if found[n] else F.lit(None).cast("double")).alias(n)
-    date = S.trade_date(found["raw_date"]) if found["raw_date"] else file_date(name)
-    return raw.select(
-        S.normalize_ticker(found["ticker"]).alias("ticker"), date.alias("date"),
-        *[number(n) for n in ("close", "high", "low", "volume", "transactions")], *keep,
-    )
+def csv_fields(line: Column) -> Column:
+    """Fields of a CSV line; commas inside double quotes don't part."""
+    fields = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return F.transform(fields, lambda x: F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1"))
 
 
-def read_daily_files(spark: SparkSession, root: str, tickers: DataFrame | None = None) -> DataFrame:
-    """Flat daily files below `root`; the last row of a (ticker, date) in file order stays.
+def daily_bars(lines: DataFrame) -> DataFrame:
+    """Lines of daily files (path, name, at_block, at_line, value, ...) to typed bars; other columns stay.
 
-    Files whose name is no date are skipped. One reader serves files with one header; a file whose header differs
-    raises instead of being read by position, so folders with different headers are read apart and united.
+    Each file's first line names its columns, in any accepted naming and order, so files with different headers may be
+    mixed. Files whose name is no date are skipped; a file without a ticker or close column is an error.
     """
-    glob = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9].csv*"
-    raw = spark.read.csv(root, header=True, recursiveFileLookup=True, pathGlobFilter=glob, enforceSchema=False)
-    named = raw.select("*", F.col("_metadata.file_name").alias("_name"), F.col("_metadata.file_path").alias("_path"))
-    dated = named.where(file_date(F.col("_name")).isNotNull()).withColumn("_line", F.monotonically_increasing_id())
-    kept = typed_bars(dated, F.col("_name"), ["_path", "_line"]).na.drop(subset=["ticker", "date", "close"])
+    dated = lines.where(file_date(F.col("name")).isNotNull() & (F.trim("value") != ""))
+    first = dated.groupBy("path").agg(F.min(F.struct("at_block", "at_line", "value")).alias("_first"))
+    rows = dated.join(first, "path").where((F.col("at_block") != F.col("_first.at_block")) | (F.col("at_line") != F.col("_first.at_line")))
+    header = F.transform(csv_fields(F.regexp_replace("_first.value", "^\\x{FEFF}", "")), lambda x: F.lower(F.trim(x)))
+    rows = rows.withColumns({"_names": header, "_cells": csv_fields(F.col("value"))})
+
+    def cell(column: str) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for name in BAR_COLUMNS[column]:
+            at = F.array_position("_names", name)
+            out = out.when(at > 0, F.get("_cells", (at - 1).cast("int")))
+        if column in OPTIONAL_BAR_COLUMNS:
+            return out
+        return out.otherwise(F.raise_error(F.concat(F.lit(f"no column for {column} in "), F.col("path"))))
+
+    date = F.coalesce(S.trade_date(cell("raw_date")), file_date(F.col("name")))
+    keep = [c for c in lines.columns if c not in ("value", "name")]
+    return rows.select(
+        S.normalize_ticker(cell("ticker")).alias("ticker"), date.alias("date"),
+        *[S.to_number(cell(n)).alias(n) for n in ("close", "high", "low", "volume", "transactions")], *keep,
+    )
+
+
+DAILY_NAMES = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9].csv*"
+FILE_COLUMNS = {"path": "_metadata.file_path", "name": "_metadata.file_name", "at_block": "_metadata.file_block_start"}
+
+
+def read_daily_files(spark: SparkSession, root: str, tickers: DataFrame | None = None) -> DataFrame:
+    """Flat daily files below `root`; the last row of a (ticker, date) in file order stays."""
+    raw = spark.read.text(root, recursiveFileLookup=True, pathGlobFilter=DAILY_NAMES)
+    lines = raw.select("value", *[F.col(c).alias(n) for n, c in FILE_COLUMNS.items()], F.monotonically_increasing_id().alias("at_line"))
+    kept = daily_bars(lines).na.drop(subset=["ticker", "date", "close"])
     if tickers is not None:
         kept = kept.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
-    return keep_latest(kept, ["ticker", "date"], ["_path", "_line"]).drop("_path", "_line")
+    return keep_latest(kept, ["ticker", "date"], ["path", "at_block", "at_line"]).drop("path", "at_block", "at_line")
 
 
 def read_ticker_day_json(spark: SparkSession, root: str) -> DataFrame:

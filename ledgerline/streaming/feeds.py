@@ -6,21 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
-from ledgerline.operators.cleaning import keep_latest
+from ledgerline.operators.cleaning import keep_first, keep_latest
 from ledgerline.operators.news import attach_audit
-from ledgerline.sources.files import file_date
-
-BAR_SCHEMA = "ticker string, close double, high double, low double, volume double, transactions double, date string"
-
+from ledgerline.session import truncate_lineage
+from ledgerline.sources.files import DAILY_NAMES, FILE_COLUMNS, daily_bars
 
 def bar_stream(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
-    """Daily files as they arrive, one per day."""
-    raw = spark.readStream.schema(BAR_SCHEMA).option("header", True).option("maxFilesPerTrigger", max_files).option(
-        "recursiveFileLookup", True
-    ).csv(root)
-    date = F.coalesce(S.trade_date("date"), file_date(F.col("_metadata.file_name")))
-    return raw.select(S.normalize_ticker("ticker").alias("ticker"), date.alias("date"), "close", "high", "low", "volume", "transactions",
-                      F.col("_metadata.file_modification_time").alias("arrived"), F.col("_metadata.file_path").alias("arrived_path"))
+    """Lines of daily files as they arrive, one file per day; `upsert_bars` reads them by their headers."""
+    raw = spark.readStream.option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True).option("pathGlobFilter", DAILY_NAMES).text(root)
+    return raw.select("value", *[F.col(c).alias(n) for n, c in FILE_COLUMNS.items()], F.col("_metadata.file_modification_time").alias("arrived"))
 
 
 def upsert_bars(table: str):
@@ -32,36 +26,56 @@ def upsert_bars(table: str):
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.na.drop(subset=["ticker", "date", "close"]).withColumn("batch", F.lit(batch_id))
+        fresh = daily_bars(batch.withColumn("at_line", F.monotonically_increasing_id())).withColumn("batch", F.lit(batch_id))
+        fresh = fresh.na.drop(subset=["ticker", "date", "close"])
         dates = [r["date"] for r in fresh.select("date").distinct().collect()]  # the days of one micro-batch
         if not dates:
             return
-        path = spark._jvm.org.apache.hadoop.fs.Path(table)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        if exists(spark, table):
             stored = spark.read.parquet(table).where(F.col("date").isin(dates))
             fresh = stored.select(*fresh.columns).unionByName(fresh)
-        latest = keep_latest(fresh, ["ticker", "date"], ["batch", "arrived", "arrived_path"])
-        from ledgerline.session import truncate_lineage
-
+        latest = keep_latest(fresh, ["ticker", "date"], ["batch", "arrived", "path", "at_block", "at_line"])
         settled = truncate_lineage(latest)  # the stored partitions are read and rewritten in one step
         settled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(table)
 
     return run
 
 
-def deduplicated_articles(articles: DataFrame, lateness: str = "7 days") -> DataFrame:
-    """Article stream with repeats dropped on (directory ticker, stable key) within the watermark."""
-    keyed = articles.withColumns(
-        {
-            "published": F.try_to_timestamp("published_utc"),
-            "news_key": S.news_key("id", "article_url", "published_utc", "title"),
-        }
-    )
-    return keyed.where("published IS NOT NULL").withWatermark("published", lateness).dropDuplicatesWithinWatermark(["dir_ticker", "news_key"])
+def append_new_articles(table: str):
+    """foreachBatch sink: articles whose (directory ticker, stable key) is not stored yet, however old they are.
 
+    There is no watermark, so a backfill is never late; the keys that were ever stored decide. Rows without a readable
+    time count like all others. The batch id names the partition, so a replay overwrites itself.
+    """
 
-def day_bars(events: DataFrame, key: str = "event_type", lateness: str | None = "1 day") -> DataFrame:
-    """Bars per key in tumbling day windows; the same code serves a stream (with a watermark) and a table."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = distinct_articles(batch)
+        if exists(spark, table):
+            known = spark.read.parquet(table).where(F.col("batch") != batch_id).select("dir_ticker", "news_key").distinct()
+            known = known.select(F.col("dir_ticker").alias("_ticker"), F.col("news_key").alias("_key"))
+            fresh = fresh.join(known, F.col("dir_ticker").eqNullSafe(F.col("_ticker")) & (F.col("news_key") == F.col("_key")), "left_anti")
+        fresh.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+
+    return run
+
+
+def distinct_articles(articles: DataFrame) -> DataFrame:
+    """The first arrival of each (directory ticker, stable key)."""
+    keyed = articles.withColumn("news_key", S.news_key("id", "article_url", "published_utc", "title"))
+    return keep_first(keyed, ["dir_ticker", "news_key"], ["arrival"])
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def day_bars(events: DataFrame, lateness: str | None, key: str = "event_type") -> DataFrame:
+    """Bars per key in tumbling day windows; the same code serves a stream and a table.
+
+    A stream drops events later than `lateness`; None keeps every day open, which a table does anyway.
+    """
     source = events.withWatermark("ts", lateness) if lateness and events.isStreaming else events
     return (
         source.groupBy(F.window("ts", "1 day"), key)

@@ -33,10 +33,13 @@ def test_daily_files(spark, root):
     assert got == {("AA", "2024-01-02"): 12.0, ("AA", "2024-01-03"): 13.0}
 
 
-def test_a_differing_header_is_not_read_by_position(spark, root):
+def test_each_daily_file_is_read_by_its_own_header(spark, root):
     put(root / "2024-01-02.csv", "ticker,close,high,low\nA,1,2,0\n")
-    put(root / "2024-01-03.csv", "ticker,high,close,low\nA,2,1,0\n")
-    with pytest.raises(Exception, match="(?i)header"):
+    put(root / "2024-01-03.csv", "Low,Symbol,\"H\",C\n0,\"A\",2,1\n\n")
+    got = sorted((str(r["date"]), r["ticker"], r["close"], r["high"], r["low"], r["volume"]) for r in R.read_daily_files(spark, str(root)).collect())
+    assert got == [("2024-01-02", "A", 1.0, 2.0, 0.0, None), ("2024-01-03", "A", 1.0, 2.0, 0.0, None)]
+    put(root / "2024-01-04.csv", "ticker,high\nA,2\n")
+    with pytest.raises(Exception, match="no column for close"):
         R.read_daily_files(spark, str(root)).collect()
 
 
@@ -107,8 +110,11 @@ def test_bar_stream_keeps_the_last(spark, root):
         drain(stream.writeStream.foreachBatch(feeds.upsert_bars(table)).option("checkpointLocation", state).start())
 
     header = "ticker,close,high,low,volume,transactions,date\n"
-    put(root / "in/2024-01-02.csv", header + "aa,1,1,1,1,1,\nbb,5,5,5,5,5,\n")
+    put(root / "in/2024-01-02.csv", "ticker,volume,open,close,high,low,window_start,transactions\naa,900,8,9,9,9,,1\naa,100,8,1,1,1,,1\nbb,500,8,5,6,4,,5\n")
+    put(root / "in/notes.csv", header + "aa,99,99,99,99,99,2024-01-02\n")
     run()
+    first = {r["ticker"]: (r["close"], r["high"], r["low"], r["volume"]) for r in spark.read.parquet(table).collect()}
+    assert first == {"AA": (1.0, 1.0, 1.0, 100.0), "BB": (5.0, 6.0, 4.0, 500.0)}
     put(root / "in/2024-01-03.csv", header + "aa,2,2,2,2,2,2024-01-03\naa,3,3,3,3,3,2024-01-02\n")
     run()
     got = {(r["ticker"], str(r["date"])): r["close"] for r in spark.read.parquet(table).collect()}
@@ -120,19 +126,29 @@ def test_article_stream_drops_repeats_and_counts(spark, root):
     schema = "dir_ticker string, arrival long, id string, article_url string, published_utc string, title string, description string, tickers array<string>"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(root / "in"))
     stream = spark.readStream.schema(schema).parquet(str(root / "in"))
-    drain(feeds.deduplicated_articles(stream).writeStream.format("memory").queryName("articles_out").outputMode("append").start())
-    assert sorted(r["id"] for r in spark.table("articles_out").collect()) == ["n1", "n2", "n3"]
+    table, state = str(root / "articles"), str(root / "articles-state")
+
+    def ingest():
+        drain(stream.writeStream.foreachBatch(feeds.append_new_articles(table)).option("checkpointLocation", state).start())
+
+    ingest()
+    assert sorted(r["id"] for r in spark.read.parquet(table).collect()) == ["n1", "n2", "n3"]
+    late = [("A", 9, "old", "u", "2023-01-01T00:00:00Z", "t", "d", ["A"]), ("A", 10, "n3", "u", "2024-03-01T00:00:00Z", "t", "d", ["A"]),
+            ("B", 11, "n3", "u", None, "t", "d", ["B"])]
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(str(root / "in"))
+    ingest()
+    assert sorted((r["dir_ticker"], r["id"]) for r in spark.read.parquet(table).collect()) == [("A", "n1"), ("A", "n2"), ("A", "n3"), ("A", "old"), ("B", "n3")]
     companies = spark.createDataFrame([("A", 2024)], "ticker string, fiscal_year int")
     table = str(root / "counts")
     drain(stream.writeStream.foreachBatch(feeds.count_outcomes(companies, table)).start())
     got = {r["reason"]: r["n_articles"] for r in spark.read.parquet(table).collect()}
-    assert got["kept"] == 3 and got["duplicate"] == 1
+    assert got["kept"] == 4 and got["duplicate"] == 2
 
 
 def test_day_bar_stream_equals_its_batch_twin(spark, root, small):
     events = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartitionByRange(4, "ts").write.parquet(str(root / "events"))
     stream = spark.readStream.schema(events.schema).parquet(str(root / "events"))
-    drain(feeds.day_bars(stream).writeStream.format("memory").queryName("day_bars_out").outputMode("complete").start())
+    drain(feeds.day_bars(stream, "1 day").writeStream.format("memory").queryName("day_bars_out").outputMode("complete").start())
     key = lambda df: {tuple(r) for r in df.select("event_type", "date", "close", "high", "low", F.round("volume", 6), "transactions").collect()}
-    assert key(spark.table("day_bars_out")) == key(feeds.day_bars(events))
+    assert key(spark.table("day_bars_out")) == key(feeds.day_bars(events, None))
