@@ -13,7 +13,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from ledgerline.llm.shared import may_hold, new_folder, stored
+from ledgerline.llm.shared import may_hold, new_folder, private, stored
 
 #: State on disk, only changes uploaded after a batch, log files without space reserved ahead.
 STATE = {
@@ -130,7 +130,8 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns as they were."""
     columns = docs.columns
-    kept = deduplicate(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    marked = docs.withColumn("_digest", sha256_hex(body()))
-    on = marked["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (marked["_digest"] == kept["_digest"])
-    return marked.join(kept, on, "left_semi").dropDuplicates(["doc_id", "_digest"]).select(*columns)
+    name, digest, same = private("id"), private("digest"), private("kept")
+    kept = deduplicate(docs).where("kept").select(F.col("doc_id").alias(name), F.col("digest").alias(same))
+    marked = docs.withColumn(digest, sha256_hex(body()))
+    on = marked["doc_id"].cast("long").eqNullSafe(F.col(name)) & (F.col(digest) == F.col(same))
+    return marked.join(kept, on, "left_semi").dropDuplicates(["doc_id", digest]).select(*columns)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 
 from ledgerline.llm.components import components
-from ledgerline.llm.shared import may_hold, stored
+from ledgerline.llm.shared import may_hold, private, stored
 from ledgerline.llm.textarrays import U, blocks, buffers, deltas, mix, packed, shingle_sets, undeltas, unpacked
 
 #: Sets and shingles of a block; larger families are cut into blocks.
@@ -294,6 +294,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each class stays: the one with the smallest id. Columns as they were."""
-    kept = jaccard_classes(docs, width, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    """One document of each class stays: the one with the smallest id (all its rows, if they repeat). Columns as they were."""
+    name = private("id")
+    kept = jaccard_classes(docs, width, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_semi")

@@ -13,7 +13,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 
-from ledgerline.llm.shared import stored, words_in
+from ledgerline.llm.shared import private, stored, words_in
 
 UNIT = 1 << 20
 #: Rows of one window task.
@@ -138,9 +138,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), cap: float = 2.0) -> DataFrame:
-    """The documents of the mix, each as often as it is taken; of repeated rows with one id the copies add up."""
-    copies = mix(docs, share, weights, cap).groupBy("doc_id").agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
-    columns = docs.columns
-    rows = docs.join(copies.withColumnRenamed("doc_id", "_id"), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")))
-    each = F.floor(F.col("_all") / F.col("_rows")).cast("int")
-    return rows.where(each > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), each))).select(*columns)
+    """The documents of the mix, each as often as it is taken; repeated rows with one id share their copies evenly, rounded down."""
+    name, every, times, copy = private("id"), private("all"), private("rows"), private("copy")
+    copies = mix(docs, share, weights, cap).groupBy(F.col("doc_id").alias(name)).agg(F.sum("copies").alias(every), F.count("*").alias(times))
+    rows = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col(name)))
+    each = F.floor(F.col(every) / F.col(times)).cast("int")
+    return rows.where(each > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), each))).select(*docs.columns)

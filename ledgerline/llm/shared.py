@@ -29,6 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def private(name: str) -> str:
+    """A column name that no table of a caller has."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -60,5 +65,6 @@ def may_hold(df: DataFrame, key: str, keys: DataFrame, bits: int = 20) -> DataFr
 
     The broadcast side has at most 2**bits rows of 8 bytes. With more keys than slots it only filters less.
     """
-    small = F.broadcast(slots(keys, key, bits))
-    return df.withColumn("slot", slot_of(F.col(key), bits)).join(small, "slot", "left_semi").drop("slot")
+    slot = private("slot")
+    small = F.broadcast(slots(keys, key, bits).withColumnRenamed("slot", slot))
+    return df.withColumn(slot, slot_of(F.col(key), bits)).join(small, slot, "left_semi").drop(slot)
