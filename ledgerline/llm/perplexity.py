@@ -4,7 +4,8 @@ The model is a modified Kneser-Ney model of character n-grams (order 5 by defaul
 its table grows far slower than the corpus). Spark counts the n-grams of all texts, and every later step is a join or an
 aggregation over the table of distinct n-grams: continuation counts of the lower orders, discounts from counts of counts,
 back-off weights, interpolated probabilities. As all scored n-grams were counted, a score needs one lookup for each
-character. The table becomes sorted arrays of hashes and log probabilities; arrays above a stated size are cut by hash
+character. N-grams of two and more characters that stand once are pruned (their mass goes to the shorter one), so
+a text that is like no other is not held likely for having been counted. The table becomes sorted arrays of hashes and log probabilities; arrays above a stated size are cut by hash
 range, and each range scores the texts on its own, because log probabilities add up.
 
 A language's perplexity band reaches from its quartiles by a multiple of their distance; texts outside are rejected.
@@ -152,6 +153,8 @@ def model(docs: DataFrame, order: int = ORDER) -> DataFrame:
     for m in range(1, order + 1):
         table = tables[m].withColumn("context", F.substring("gram", 1, m - 1)).withColumn("rest", F.substring("gram", 2, m - 1))
         d = _discounts(tables[m])
+        if m > 1:
+            d[0] = 1.0  # singletons are pruned: their whole mass backs off, or a text would vouch for itself
         discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
         sums = table.groupBy("context").agg(F.sum("n").alias("total"), F.sum(discount).alias("freed"), F.count("*").alias("kinds"))
         joined = table.join(sums, "context")
