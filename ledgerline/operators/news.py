@@ -110,7 +110,7 @@ def attach_audit(articles: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def tokens(text) -> Column:
-    return F.filter(F.split(F.lower(F.col(text)), "[^a-z]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: t != "")
 
 
 def lexicon_score(text, positive=POSITIVE_WORDS, negative=NEGATIVE_WORDS) -> Column:
@@ -124,12 +124,8 @@ def lexicon_score(text, positive=POSITIVE_WORDS, negative=NEGATIVE_WORDS) -> Col
 def score_articles(lists: DataFrame, keys: list[str], column: str = "news_description", positive=POSITIVE_WORDS,
                    negative=NEGATIVE_WORDS) -> DataFrame:
     """Score list per row, in the order of the article list."""
-    flat = lists.select(*keys, F.posexplode_outer(column).alias("pos", "text"))
-    scored = flat.withColumn("score", lexicon_score("text", positive, negative))
-    grouped = scored.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "score")))).alias("_s")
-    )
-    return grouped.select(*keys, F.col("_s.score").alias("news_sentiment_score"))
+    scores = F.transform(column, lambda text: lexicon_score(text, positive, negative))
+    return lists.select(*keys, F.coalesce(scores, F.array().cast("array<double>")).alias("news_sentiment_score"))
 
 
 def score_with(lists: DataFrame, keys: list[str], scorer, column: str = "news_description") -> DataFrame:

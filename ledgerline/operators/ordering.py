@@ -1,9 +1,11 @@
 """Global ranks, exact quantiles and exact top fractions without a single-task sort.
 
 The rows are first folded to one row per distinct value (a value that fills a third of the table becomes one row).
-The distinct values fall into cells of a fixed logarithmic grid. A window sums inside each cell, and a table with
-one row per occupied cell supplies the offset. The grid is a constant, so nothing is sampled, collected or
-data-dependent, every plan stays lazy, and a recomputed task finds the same cells.
+The distinct values fall into cells of a fixed logarithmic grid, and a full cell is cut again into equal parts of its own
+range, as many as its number of values asks for, so values that lie close together (ids, epoch times, scores near one)
+spread as well. A window sums inside each part, and a table with one row per part supplies the offset. Nothing is
+sampled or collected, every plan stays lazy, and a recomputed task finds the same parts, since they follow from exact
+counts and bounds.
 `by` names groups that are few by meaning (models, features, folds).
 """
 
@@ -15,7 +17,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import fraction_rows
 
-CELL = "_cell"
+CELL, PART = "_cell", "_part"
+# Distinct values of one part, on average.
+PART_VALUES = 2048
 # Cells per factor e. A double spans fewer than 1,500 such factors per sign, so a group never has more than about
 # 12 million cells; ordinary data occupies a few thousand.
 RESOLUTION = 4096
@@ -47,20 +51,21 @@ def cumulative_counts(df: DataFrame, value: str, by: list[str] | None = None,
         .agg(*[F.sum(w).alias(k) for k, w in weights.items()])
         .withColumn(CELL, grid_cell(F.col(value)))
     )
-    inside = W.partitionBy(*by, CELL).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    counts = _cut_again(counts, value, by)
+    place = [CELL, PART]
+    inside = W.partitionBy(*by, *place).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     summed = counts.withColumns({f"_in_{k}": F.coalesce(F.sum(k).over(inside), F.lit(0)) for k in names})
 
-    # One row per occupied cell, at most the size of the grid.
-    totals = counts.groupBy(*by, CELL).agg(*[F.sum(k).alias(f"_t_{k}") for k in names])
+    totals = counts.groupBy(*by, *place).agg(*[F.sum(k).alias(f"_t_{k}") for k in names])
     group = W.partitionBy(*by)
-    earlier = group.orderBy(CELL).rowsBetween(W.unboundedPreceding, -1)
+    earlier = group.orderBy(*place).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(b).alias(f"_k_{b}") for b in by],
-        F.col(CELL).alias("_k_cell"),
+        *[F.col(p).alias(f"_k{p}") for p in place],
         *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_off_{k}") for k in names],
         *[F.sum(f"_t_{k}").over(group).alias(f"{k}_total") for k in names],
     )
-    match = F.col(CELL) == F.col("_k_cell")
+    match = (F.col(CELL) == F.col(f"_k{CELL}")) & (F.col(PART) == F.col(f"_k{PART}"))
     for b in by:
         match = match & F.col(b).eqNullSafe(F.col(f"_k_{b}"))
     joined = summed.join(offsets, match)
@@ -73,6 +78,20 @@ def cumulative_counts(df: DataFrame, value: str, by: list[str] | None = None,
     )
 
 
+def _cut_again(counts: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Add the part of the cell: by relative position between the cell's smallest and largest value."""
+    v = F.col(value).cast("double")
+    spans = counts.groupBy(*by, CELL).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count("*").alias("_m"))
+    spans = spans.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col(CELL).alias("_k_cell"), "_lo", "_hi", "_m")
+    match = F.col(CELL) == F.col("_k_cell")
+    for b in by:
+        match = match & F.col(b).eqNullSafe(F.col(f"_k_{b}"))
+    width = F.col("_hi") - F.col("_lo")
+    finite = (width > 0) & (width < F.lit(float("inf"))) & ~F.isnan(width)
+    part = F.when(finite, F.floor((v - F.col("_lo")) / width * F.ceil(F.col("_m") / PART_VALUES))).otherwise(F.lit(0).cast("bigint"))
+    return counts.join(spans, match).withColumn(PART, part).drop("_lo", "_hi", "_m", "_k_cell", *[f"_k_{b}" for b in by])
+
+
 def with_average_ranks(df: DataFrame, ranks: dict[str, str], by: list[str] | None = None) -> DataFrame:
     """Average rank for ties, ascending from 1, of several columns (`ranks`: value column -> rank column).
 

@@ -23,6 +23,7 @@ def market_dataset(obs: DataFrame, bars: DataFrame) -> DataFrame:
 
 def labelled_dataset(obs: DataFrame, bars: DataFrame) -> DataFrame:
     """Market features and labels of every observation."""
+    bars = needed_bars(bars, obs)
     return L.merge_labels(market_dataset(obs, bars), L.drawdown_labels(obs, bars))
 
 

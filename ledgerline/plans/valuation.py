@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators import fundamentals as K
+from ledgerline.operators.cleaning import only_requested
 from ledgerline.operators.targets import anchor_prices, valuation_targets
 
 NARROW = [
@@ -23,7 +24,7 @@ def company_table(bs: DataFrame, inc: DataFrame, cf: DataFrame, min_years: int =
 
 
 def valuation_dataset(companies: DataFrame, bars: DataFrame) -> DataFrame:
-    return valuation_targets(anchor_prices(companies, bars))
+    return valuation_targets(anchor_prices(companies, only_requested(bars, companies)))
 
 
 def narrow_targets(dataset: DataFrame) -> DataFrame:

@@ -72,3 +72,16 @@ def test_grid_keeps_order(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double").select("v", G.grid_cell(F.col("v")).alias("c"))
     rows = sorted((r["v"], r["c"]) for r in df.collect())
     assert all(a[1] <= b[1] for a, b in zip(rows, rows[1:]))
+
+
+def test_close_values_spread_over_parts(spark):
+    """Ids far from zero, epoch times and a constant: exact ranks, and no part far above the mean."""
+    for name, column in {"ids": F.col("id") + 10**12, "times": F.lit(1.7e9) + F.col("id") * 0.001, "same": F.lit(5.0) + F.col("id") * 0}.items():
+        df = spark.range(100_000).withColumn("v", column)
+        counts = G.cumulative_counts(df, "v")
+        distinct = df.select("v").distinct()
+        cells = G._cut_again(distinct.withColumn(G.CELL, G.grid_cell(F.col("v"))), "v", []).groupBy(G.CELL, G.PART).count()
+        top = cells.agg(F.max("count"), F.avg("count")).first()
+        assert top[0] <= 2 * max(top[1], G.PART_VALUES), name
+        wrong = counts.where(F.col("n_before") != F.col("v").cast("long") - 10**12).count() if name == "ids" else 0
+        assert wrong == 0 and counts.agg(F.max(F.col("n_before") + F.col("n"))).first()[0] == 100_000
