@@ -6,9 +6,11 @@ Every sum runs as a Spark aggregate; only result tables (one row per model pair)
 from __future__ import annotations
 
 import math
-
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -285,24 +287,55 @@ def _draws(key: str, iteration: Column, seed: int) -> Column:
     return sum(((u >= c).cast("long") for c in POISSON_CDF[1:]), (u >= POISSON_CDF[0]).cast("long"))
 
 
+# Sums of a weighted row set that the metrics follow from.
+SUMS = ("n", "sy", "sp", "syy", "spp", "syp", "sse", "sae", "spe")
+
+
+def _weighted_sums(models: list[str], iterations: int, at_once: int = 128):
+    """Per task: Poisson draws of all rows in slices of iterations, multiplied with the rows' terms; iterations x models rows."""
+
+    def scrambled(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cdf, width = np.array(POISSON_CDF), len(SUMS) * len(models)
+        total = np.zeros((iterations, width))
+        steps = scrambled(np.arange(1, iterations + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for batch in batches:
+            name = batch.column("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            terms = batch.column("terms").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            for i in range(0, iterations, at_once):
+                u = scrambled(name[None, :] ^ steps[i : i + at_once, None]) >> np.uint64(11)
+                draws = np.searchsorted(cdf, u.ravel() * 2.0**-53, "right").reshape(u.shape)
+                total[i : i + at_once] += draws.astype(np.float64) @ terms
+        cube = total.reshape(iterations, len(models), len(SUMS))
+        for m, model in enumerate(models):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(iterations), pa.int32()), pa.array([model] * iterations), *[pa.array(cube[:, m, k]) for k in range(len(SUMS))]],
+                names=["iteration", "model", *SUMS])
+
+    return run
+
+
 def bootstrap_samples(aligned: DataFrame, models: list[str], key: str, iterations: int = 2000, seed: int = 42,
                       log_scale: bool = False) -> DataFrame:
-    """Metric per (iteration, model) of a paired bootstrap.
+    """Metric per (iteration, model) of a paired bootstrap over complete rows.
 
-    Rows are weighted instead of copied: Poisson draws per (row, iteration) come from a hash, so no table of drawn
-    row numbers is joined and every sum is combined before the shuffle (iterations x models rows leave a task).
+    Rows are weighted instead of copied: Poisson draws per (row, iteration) come from a hash, the same for all models.
+    Nothing is exploded: a task turns each batch into a weight matrix and emits iterations x models sums.
     """
-    drawn = aligned.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    drawn = drawn.withColumn("w", _draws(key, F.col("iteration"), seed)).where("w > 0")
-    long = melt_models_weighted(drawn, models)
-    t = lambda c: S.log1p_floor(c) if log_scale else F.col(c)
-    y, p, w = t("y_true"), t("y_pred"), F.col("w")
-    sums = long.groupBy("iteration", "model").agg(
-        F.sum(w).alias("n"), F.sum(w * y).alias("sy"), F.sum(w * p).alias("sp"), F.sum(w * y * y).alias("syy"),
-        F.sum(w * p * p).alias("spp"), F.sum(w * y * p).alias("syp"), F.sum(w * (y - p) * (y - p)).alias("sse"),
-        F.sum(w * F.abs(y - p)).alias("sae"),
-        F.sum(w * F.abs(F.col("y_pred") - F.col("y_true")) / F.greatest(F.col("y_true"), F.lit(S.RATIO_EPS))).alias("spe"),
-    )
+    t = lambda c: S.log1p_floor(c) if log_scale else F.col(c).cast("double")
+    terms = []
+    for model in models:
+        y, p = t("y_true"), t(model)
+        off = F.abs(F.col(model) - F.col("y_true")) / F.greatest(F.col("y_true"), F.lit(S.RATIO_EPS))
+        terms += [F.lit(1.0), y, p, y * y, p * p, y * p, (y - p) * (y - p), F.abs(y - p), off]
+    rows = aligned.na.drop(subset=["y_true", *models]).select(F.xxhash64(key, F.lit(seed)).alias("h"), F.array(*[x.cast("double") for x in terms]).alias("terms"))
+    schema = "iteration int, model string, " + ", ".join(f"{k} double" for k in SUMS)
+    sums = rows.mapInArrow(_weighted_sums(models, iterations), schema).groupBy("iteration", "model").agg(*[F.sum(k).alias(k) for k in SUMS])
+    sums = sums.where("n > 0")
     n = F.col("n")
     vy = F.col("syy") - F.col("sy") * F.col("sy") / n
     vp = F.col("spp") - F.col("sp") * F.col("sp") / n
@@ -376,7 +409,7 @@ def bootstrap_differences(samples: DataFrame, metrics: list[str], alpha: float =
     )
 
 
-def comparison_suite(aligned: DataFrame, models: list[str], key: str, track: str = "risk", iterations: int = 200, buckets: int = 5) -> dict[str, DataFrame]:
+def comparison_suite(aligned: DataFrame, models: list[str], key: str, track: str = "risk", iterations: int = 2000, buckets: int = 5) -> dict[str, DataFrame]:
     """All comparison tables of one track."""
     views = risk_losses if track == "risk" else valuation_losses
     registry = M.RISK_METRICS if track == "risk" else M.VALUATION_METRICS

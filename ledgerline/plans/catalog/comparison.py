@@ -322,7 +322,7 @@ def _(t):
 
 @query("Q2_bootstrap_intervals")
 def _(t):
-    samples = Q.bootstrap_samples(_aligned(t), MODELS, "row_id", iterations=200)
+    samples = Q.bootstrap_samples(_aligned(t), MODELS, "row_id", iterations=2000)
     return Q.bootstrap_intervals(samples, ["rmse", "mae", "r2", "pearson"])
 
 
@@ -334,7 +334,7 @@ def _(t):
 
 @query("Q3_bootstrap_differences")
 def _(t):
-    samples = Q.bootstrap_samples(_aligned(t), MODELS, "row_id", iterations=200)
+    samples = Q.bootstrap_samples(_aligned(t), MODELS, "row_id", iterations=2000)
     return Q.bootstrap_differences(samples, ["rmse", "mae", "r2"])
 
 
