@@ -26,7 +26,7 @@ from ledgerline.llm.textarrays import U, Prefix, blocks, buffers, deltas, mix, p
 
 LENGTH, ANCHOR = 50, 20
 #: Text bytes of one group of the last step.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Slots of the filter for anchors in several contexts: 2**27 bits are 16 MB, however many anchors there are.
 SLOT_BITS = 27
 NO_ID = (1 << 63) - 1
@@ -91,7 +91,7 @@ def first_pass(length: int, k: int, shards: int):
             for i, _, d, o in blocks(data, offsets):
                 _, anchor, context, doc, start, end = anchors(d, o, length, k)
                 parts.append((anchor, context, ids[i + doc], names[i + doc], (start - o[doc]).astype(np.int64), (end - start).astype(np.uint8)))
-            if sum(len(x[0]) for x in parts) > 6_000_000:
+            if sum(len(x[0]) for x in parts) > 2_500_000:
                 yield _shard_rows(parts, shards)
                 parts = []
         if parts:
@@ -303,7 +303,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, with_
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("name"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 4 * partitions
-    buckets = max(shards, math.ceil(total / BUCKET_BYTES))
+    buckets = max(1, math.ceil(total / BUCKET_BYTES))
     messages = rows.mapInArrow(first_pass(length, k, shards), "shard int, payload binary")
     verdicts = stored(messages.groupBy("shard").applyInPandas(shard_verdicts(buckets), "bucket int, payload binary"), "repeats")
     words = verdicts.where("bucket = -1").select("payload").mapInArrow(lambda it: slot_words(it, SLOT_BITS), "word long, bits long")
