@@ -24,6 +24,7 @@ import pyspark.sql.functions as F
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.llm.shared import stored
 from ledgerline.llm.textarrays import Prefix, blocks, buffers
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
@@ -44,8 +45,8 @@ NEWER = {
 }
 #: Contractions that are words of their own after an apostrophe (fixed values of the pattern).
 SHORT = ("s", "t", "m", "d", "re", "ve", "ll")
-#: Frequent words in the lexicon.
-LEXICON_WORDS = 32768
+#: Words of the lexicon stand at least once in so many words of the corpus, so there are at most so many of them.
+LEXICON_SHARE = 1 << 17
 MEMO_WORDS = 300_000
 NO_RANK = np.int32(2**31 - 1)
 
@@ -354,8 +355,9 @@ class Encoder:
         return self.vocab.flat[ragged(self.vocab.offsets[ids], sizes)], np.cumsum(sizes)
 
 
-def frequent_words(docs: DataFrame, path: str, most: int) -> list[bytes]:
-    """The words of the pattern that stand most often in all texts; equal counts in order of their bytes."""
+def frequent_words(docs: DataFrame, path: str, share: int) -> list[bytes]:
+    """The words of the pattern that stand at least once in `share` words, counted over all texts. There can't be more
+    than `share` of them, so the list is bounded without a sort."""
     special = vocabulary(path).special
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,8 +379,9 @@ def frequent_words(docs: DataFrame, path: str, most: int) -> list[bytes]:
                 yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in at.tolist()], pa.binary()), pa.array(total)], names=["word", "n"])
 
     counts = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.where("n > 1").orderBy(F.col("n").desc(), "word").limit(most).select("word").collect()
-    return sorted(bytes(r["word"]) for r in rows)
+    counts = stored(counts, "bpe-words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return sorted(bytes(r["word"]) for r in counts.where(F.col("n") * share >= total).where("n > 1").select("word").collect())
 
 
 def ship_lexicon(spark: SparkSession, words: list[bytes], path: str) -> str:
@@ -392,14 +395,14 @@ def ship_lexicon(spark: SparkSession, words: list[bytes], path: str) -> str:
     return name
 
 
-def encode_documents(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, share: int = LEXICON_SHARE) -> DataFrame:
     """doc_id, ids (array of int), decoded (binary: bytes of the ids one after the other), text_ok (they are the text's bytes).
 
     `path` names a byte-level BPE file that every executor has. Null and empty texts have no ids. Repeated rows are
     encoded each. A special token in a text is the special id.
     """
     spark = docs.sparkSession
-    name = ship_lexicon(spark, frequent_words(docs, path, words), path)
+    name = ship_lexicon(spark, frequent_words(docs, path, share), path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ids, first, raw, ends, ok in encoded(batches, path, name):
@@ -427,10 +430,10 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, name: str) -> Iterator
             yield batch.slice(i, j - i), ids, first, raw, ends, ok
 
 
-def token_digests(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> DataFrame:
+def token_digests(docs: DataFrame, path: str, share: int = LEXICON_SHARE) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256 of the decoded text."""
     spark = docs.sparkSession
-    name = ship_lexicon(spark, frequent_words(docs, path, words), path)
+    name = ship_lexicon(spark, frequent_words(docs, path, share), path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decimal = vocabulary(path).decimal
