@@ -11,9 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyspark.sql.functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from ledgerline.llm.shared import may_hold, new_folder, private, stored
+from ledgerline.llm.shared import may_hold, new_folder, parted, private, stored, without
 
 #: State on disk, only changes uploaded after a batch, log files without space reserved ahead.
 STATE = {
@@ -32,11 +33,20 @@ def body(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def file_of(docs: DataFrame) -> Column:
+    """The file of a row, empty for tables that are not read from files directly."""
+    try:
+        docs.select("_metadata.file_path")
+    except AnalysisException:
+        return F.lit("")
+    return F.col("_metadata.file_path")
+
+
 def arrivals(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex) -> DataFrame:
     """One row per document: id, digest, locator. `arrival` tells repeated rows with one id apart."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), digest(body()).alias("digest"), F.octet_length(body()).cast("long").alias("n_bytes"),
-        F.input_file_name().alias("source_file"), F.monotonically_increasing_id().alias("arrival"),
+        file_of(docs).alias("source_file"), F.monotonically_increasing_id().alias("arrival"),
     )
 
 
@@ -129,9 +139,13 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns as they were."""
-    columns = docs.columns
-    name, digest, same = private("id"), private("digest"), private("kept")
-    kept = deduplicate(docs).where("kept").select(F.col("doc_id").alias(name), F.col("digest").alias(same))
-    marked = docs.withColumn(digest, sha256_hex(body()))
-    on = marked["doc_id"].cast("long").eqNullSafe(F.col(name)) & (F.col(digest) == F.col(same))
-    return marked.join(kept, on, "left_semi").dropDuplicates(["doc_id", digest]).select(*columns)
+    decided = deduplicate(docs).groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    decided = stored(decided, "exact-dedup-decided")
+    key = [F.col("doc_id").cast("long"), sha256_hex(body())]
+    kept = without(docs, key, decided.where("not kept").select("doc_id", "digest"))
+    again = decided.where("kept and rows > 1").select("doc_id", "digest")
+    if again.isEmpty():
+        return kept
+    some, rest = parted(kept, key, again)
+    digest = private("digest")
+    return rest.unionByName(some.withColumn(digest, key[1]).dropDuplicates(["doc_id", digest]).drop(digest))

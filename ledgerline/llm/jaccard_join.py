@@ -1,6 +1,6 @@
 """Set-similarity self-join on word shingles (operator 5): links, classes, and the representatives near duplicates leave.
 
-Sets fall into bands of size, each `1 / threshold` times the one below, so linked sets lie in one band or in neighbours.
+Sets fall into bands of size, each at least `1 / threshold` times the one below, so linked sets lie in one band or in neighbours.
 In a band with largest size U, two linked sets differ in at most D = 2 U (1 - t) / (1 + t) elements. The hash range is cut
 into D + 1 + E tiles; linked sets agree in at least 1 + E whole tiles, so a key for each non-empty tile (band, tile, sum of
 its hashes) finds every link, and a set with more than E empty tiles adds keys for the empty ones. Keys meet in shards,
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 
 from ledgerline.llm.components import components
-from ledgerline.llm.shared import may_hold, private, stored
+from ledgerline.llm.shared import may_hold, stored, without
 from ledgerline.llm.textarrays import U, blocks, buffers, deltas, mix, packed, shingle_sets, undeltas, unpacked
 
 #: Sets and shingles of a block; larger families are cut into blocks.
@@ -37,28 +37,28 @@ def node_of(s: np.ndarray) -> int:
 
 
 @cache
-def bands(percent: int, largest: int) -> list[tuple[int, int]]:
-    """(smallest size, number of tiles) of each band up to the one above `largest`; no tiles where only equal sets link."""
+def bands(percent: int, largest: int) -> list[tuple[int, int, int]]:
+    """(smallest size, tiles, spare tiles) of each band up to the one above `largest`; no tiles where only equal sets link."""
+    def above(size: int) -> int:
+        for _ in range(2 if percent >= 85 else 1):  # bands of two steps send fewer keys where few elements may differ
+            size = size * 100 // percent + 1
+        return size
+
     edges = [1]
     while edges[-1] <= largest or len(edges) < 3:
-        edges.append(edges[-1] * 100 // percent + 1)
-    edges.append(edges[-1] * 100 // percent + 1)
+        edges.append(above(edges[-1]))
+    edges.append(above(edges[-1]))
     out = []
     for b in range(len(edges) - 1):
         d = 2 * (edges[b + 1] - 1) * (100 - percent) // (100 + percent)
-        least, spare = edges[max(0, b - 1)], 0
+        least, spare = max(1, -(-edges[b] * percent // 100)), 0
         for _ in range(20):
             empty = (d + 1 + spare) * math.exp(-least / (d + 1 + spare))
             spare = min(d + 1, max(spare, math.ceil(empty + 4 * math.sqrt(empty))))
-        out.append((edges[b], d + 1 + spare if d else 0))
+        out.append((edges[b], d + 1 + spare if d else 0, spare))
     return out
 
 
-def spare_tiles(percent: int, b: int, table: list[tuple[int, int]]) -> int:
-    above = table[b][0] * 100 // percent
-    return table[b][1] - 1 - 2 * above * (100 - percent) // (100 + percent)
-
-
 def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
     """Tile keys of one set, for its own band and the one above."""
     grown = 1 << max(4, int(len(s)).bit_length())
@@ -67,15 +67,15 @@ def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
     sums = np.concatenate((np.zeros(1, U), np.cumsum(mix(s + U(0x5851F42D4C957F2D)), dtype=U)))
     out = []
     for b in (own, own + 1):
-        tiles = table[b][1]
-        if not tiles:
+        edge, tiles, spare = table[b]
+        if not tiles or edge > len(s) * 100 // percent:
             continue
         cuts = np.array([(i << 64) // tiles for i in range(1, tiles)], U)
         at = np.concatenate(([0], np.searchsorted(s, cuts), [len(s)]))
         name = mix((np.arange(tiles, dtype=U) + U(1)) * U(0x9FB21C651E98DF25) + U(b * 0xD1342543DE82EF95 % (1 << 64)))
         full = at[1:] > at[:-1]
         out.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ name)[full])
-        if tiles - int(full.sum()) > spare_tiles(percent, b, table):
+        if tiles - int(full.sum()) > spare:
             out.append(mix(name + U(0x2545F4914F6CDD1D))[~full])
     return np.concatenate(out) if out else np.zeros(0, U)
 
@@ -107,8 +107,9 @@ def star_ties(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key[new], node[new], ties[0], ties[1]
 
 
-def tile_keys(width: int, percent: int, shards: int):
-    """Per task: sets to keys, stars inside the task, then one packed row for each shard."""
+def tile_keys(width: int, percent: int, shards: int, bits: int):
+    """Per task: sets to keys of `bits` bits, stars inside the task, then one packed row for each shard."""
+    mask = U((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -117,7 +118,7 @@ def tile_keys(width: int, percent: int, shards: int):
             for s in _sets(batch, width):
                 if len(s) and (n := node_of(s)) not in seen:
                     seen.add(n)
-                    k = keys_of(s, percent)
+                    k = keys_of(s, percent) & mask
                     keys.append(k)
                     nodes.append(np.full(len(k), n, np.int64))
             if sum(map(len, keys)) > 4_000_000:
@@ -138,7 +139,8 @@ def _rows(keys: list[np.ndarray], nodes: list[np.ndarray], shards: int) -> pa.Re
         at, tie = shard == s, tie_shard == s
         if at.any() or tie.any():
             used, local = np.unique(place[at], return_inverse=True)
-            out.append((s, packed(deltas(key[at]), names[used], local.astype(np.uint32), u[tie], v[tie])))
+            small = np.uint16 if len(used) <= 1 << 16 else np.uint32
+            out.append((s, packed(deltas(key[at] // U(shards)), names[used], local.astype(small), u[tie], v[tie])))
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["shard", "payload"])
 
 
@@ -220,8 +222,10 @@ def _search(placed: DataFrame, docs: DataFrame, by: list[str], width: int, perce
 def _classes(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that link with another one."""
     spark = docs.sparkSession
-    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    messages = docs.select("text").mapInArrow(tile_keys(width, percent, shards), "shard int, payload binary")
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # false meetings of keys cost time only; 17 bits beyond the number of shingles keep them rare at any size
+    bits = min(64, 17 + int(nodes.agg(F.sum("n_shingles")).first()[0] or 1).bit_length())
+    messages = docs.select("text").mapInArrow(tile_keys(width, percent, shards, bits), "shard int, payload binary")
     ties = stored(messages.groupBy("shard").applyInPandas(ties_of_shard, "u long, v long").distinct(), "jaccard-ties")
     if ties.isEmpty():
         return spark.createDataFrame([], "node long, component long")
@@ -295,6 +299,5 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each class stays: the one with the smallest id (all its rows, if they repeat). Columns as they were."""
-    name = private("id")
-    kept = jaccard_classes(docs, width, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_semi")
+    ids = jaccard_classes(docs, width, percent).groupBy("doc_id").agg(F.max(F.expr("doc_id <=> component_id")).alias("kept"))
+    return without(docs, [F.col("doc_id").cast("long")], stored(ids.where("not kept").select("doc_id"), "near-copies"))

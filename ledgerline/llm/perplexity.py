@@ -22,7 +22,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 
-from ledgerline.llm.shared import private, stored
+from ledgerline.llm.shared import stored, without
 from ledgerline.llm.textarrays import U, Prefix, blocks, buffers, mix, words
 
 ORDER = 5
@@ -258,6 +258,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     Rows that share id and language stay or go together: they stay if one of them passes.
     """
-    name, lang = private("id"), private("lang")
-    good = judge(docs).where("kept").select(F.col("doc_id").alias(name), F.col("lang").alias(lang)).distinct()
-    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(F.col(name)) & docs["lang"].cast("string").eqNullSafe(F.col(lang)), "left_semi")
+    bad = judge(docs).groupBy("doc_id", "lang").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id", "lang")
+    return without(docs, [F.col("doc_id").cast("long"), F.col("lang").cast("string")], stored(bad, "rejected"))

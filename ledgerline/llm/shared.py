@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,20 +52,30 @@ def words_in(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def slots(keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """The distinct slots of the keys: at most 2**bits rows, however many keys there are, so it may be broadcast."""
-    return keys.select(slot_of(F.col(key), bits).alias("slot")).distinct()
+def slot_of(keys: list[Column], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << bits))
 
 
-def slot_of(key: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(1 << bits))
+def parted(df: DataFrame, on: list[Column], keys: DataFrame, bits: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Rows of `df` whose `on` may be among the rows of `keys`, and those for which it surely is not.
+
+    The broadcast side has at most 2**bits slots of 8 bytes, however many keys there are; with more keys than slots
+    fewer rows are surely not among them. Rows move to no other task.
+    """
+    slot = private("slot")
+    small = F.broadcast(keys.select(slot_of([F.col(c) for c in keys.columns], bits).alias(slot)).distinct())
+    marked = df.withColumn(slot, slot_of(on, bits))
+    return marked.join(small, slot, "left_semi").drop(slot), marked.join(small, slot, "left_anti").drop(slot)
 
 
 def may_hold(df: DataFrame, key: str, keys: DataFrame, bits: int = 20) -> DataFrame:
-    """Rows of `df` whose key may be among the keys: drops most others before a shuffle, never one that is there.
+    """Rows of `df` whose key may be among the keys: drops most others before a shuffle, never one that is there."""
+    return parted(df, [F.col(key)], keys.select(key), bits)[0]
 
-    The broadcast side has at most 2**bits rows of 8 bytes. With more keys than slots it only filters less.
-    """
-    slot = private("slot")
-    small = F.broadcast(slots(keys, key, bits).withColumnRenamed("slot", slot))
-    return df.withColumn(slot, slot_of(F.col(key), bits)).join(small, slot, "left_semi").drop(slot)
+
+def without(df: DataFrame, on: list[Column], keys: DataFrame) -> DataFrame:
+    """Rows of `df` whose `on` is not among the rows of `keys`; null equals null. Only rows that may be among them are shuffled."""
+    names = [private(c) for c in keys.columns]
+    some, rest = parted(df, on, keys)
+    same = [o.eqNullSafe(F.col(n)) for o, n in zip(on, names, strict=True)]
+    return rest.unionByName(some.join(keys.toDF(*names), reduce(lambda a, b: a & b, same), "left_anti"))
