@@ -247,31 +247,34 @@ def _classes(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     large = small.where("blocks > 1")
     if large.isEmpty():
         return found
-    rest = _tiles(large, found)
+    rest = stored(_tiles(large, found, percent), "jaccard-tiles")
     if rest.isEmpty():
         return found
     more = stored(_search(rest, docs, ["family", "a", "b"], width, percent), "jaccard-links")
     return components(links.unionByName(more))
 
 
-def _tiles(large: DataFrame, found: DataFrame) -> DataFrame:
-    """Tiles that bring the sets outside a family's largest component together with all others of the family."""
+def _tiles(large: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Tiles that bring the sets outside a family's largest component together with all others of the family that are not
+    too small or too large for them: blocks of one size class meet those of the same class and its neighbours."""
     marked = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = marked.groupBy("family", "component").agg(F.count("*").alias("c"))
     main = counts.groupBy("family").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
     marked = marked.join(main.select("family", F.col("m.component").alias("main")), "family").withColumn("inside", F.col("component") == F.col("main"))
-    half = BLOCK_SETS // 2
-    counts = marked.groupBy("family", "inside").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    step = math.log(100 / percent) * 1.001  # linked sets are less than one step apart
+    marked = marked.withColumn("class", F.floor(F.log("n") / step).cast("int"))
+    half, block = BLOCK_SETS // 2, ["family", "class", "inside"]
+    counts = marked.groupBy(*block).agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     cut = F.greatest(F.ceil(F.col("c") / half), F.ceil(F.col("s") / (BLOCK_SHINGLES // 2))).cast("int")
-    cuts = counts.groupBy("family").agg(F.max(F.when(F.col("inside"), cut)).alias("inner"), F.max(F.when(~F.col("inside"), cut)).alias("outer"))
-    marked = marked.join(cuts, "family")
-    place = F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
-    marked = stored(marked.withColumn("place", place).select("family", "node", "doc_id", "inside", "place", "inner", "outer"), "jaccard-tiles")
-    outer = F.sequence(F.lit(0), F.col("outer") - 1)
-    inside = marked.where("inside").withColumn("a", F.explode(outer)).withColumn("b", F.col("outer") + F.col("place"))
-    out = marked.where("not inside").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1)))
-    out = out.withColumn("a", F.least("place", "other")).withColumn("b", F.greatest("place", "other"))
-    return inside.select("family", "a", "b", "node", "doc_id").unionByName(out.select("family", "a", "b", "node", "doc_id"))
+    blocks_ = stored(counts.select(*block, cut.alias("cut")), "jaccard-blocks")
+    label = lambda kind, inside, part: F.concat_ws(":", kind, inside.cast("string"), part)
+    own = marked.join(blocks_, block).withColumn("own", label(F.col("class"), F.col("inside"), F.pmod(F.xxhash64("node"), F.col("cut"))))
+    near = own.select("family", "node", "doc_id", "inside", "own", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class"))
+    other = blocks_.select("family", "class", F.col("inside").alias("other_inside"), "cut")
+    met = near.join(other, ["family", "class"]).where(~(F.col("inside") & F.col("other_inside")))
+    met = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    met = met.withColumn("other", label(F.col("class"), F.col("other_inside"), F.col("part")))
+    return met.select("family", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "doc_id")
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
