@@ -27,6 +27,8 @@ from ledgerline.llm.textarrays import U, Prefix, blocks, buffers, deltas, mix, p
 LENGTH, ANCHOR = 50, 20
 #: Text bytes of one group of the last step.
 BUCKET_BYTES = 4 << 20
+#: Text bytes looked at together, and anchors held before a task sends them on: some 100 MB at most.
+BLOCK_BYTES, TASK_ANCHORS = 1 << 19, 800_000
 #: Slots of the filter for anchors in several contexts: 2**27 bits are 16 MB, however many anchors there are.
 SLOT_BITS = 27
 NO_ID = (1 << 63) - 1
@@ -88,10 +90,10 @@ def first_pass(length: int, k: int, shards: int):
         for batch in batches:
             ids, names = _columns(batch)
             data, offsets = buffers(batch.column("text"))
-            for i, _, d, o in blocks(data, offsets):
+            for i, _, d, o in blocks(data, offsets, BLOCK_BYTES):
                 _, anchor, context, doc, start, end = anchors(d, o, length, k)
                 parts.append((anchor, context, ids[i + doc], names[i + doc], (start - o[doc]).astype(np.int64), (end - start).astype(np.uint8)))
-            if sum(len(x[0]) for x in parts) > 2_500_000:
+            if sum(len(x[0]) for x in parts) > TASK_ANCHORS:
                 yield _shard_rows(parts, shards)
                 parts = []
         if parts:
@@ -199,7 +201,7 @@ def second_pass(slots, length: int, k: int, shards: int, bits: int):
         for batch in batches:
             ids, names = _columns(batch)
             data, offsets = buffers(batch.column("text"))
-            for i, _, d, o in blocks(data, offsets):
+            for i, _, d, o in blocks(data, offsets, BLOCK_BYTES):
                 place, anchor, context, doc, start, end = anchors(d, o, length, k)
                 slot = anchor % U(1 << bits)
                 hit = np.flatnonzero((table[(slot >> U(6)).astype(np.int64)] >> (slot & U(63))) & U(1))
@@ -208,7 +210,7 @@ def second_pass(slots, length: int, k: int, shards: int, bits: int):
                 body = wide[at]
                 parts.append((anchor[hit], context[hit], ids[i + doc[hit]], names[i + doc[hit]], place[hit] - o[doc[hit]],
                               (place - start)[hit].astype(np.uint8), (end - place)[hit].astype(np.uint8), body))
-            if sum(len(x[0]) for x in parts) > 1_000_000:
+            if sum(len(x[0]) for x in parts) > TASK_ANCHORS // 4:
                 yield _context_rows(parts, shards)
                 parts = []
         if parts:
