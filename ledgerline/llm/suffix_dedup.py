@@ -29,6 +29,8 @@ LENGTH, ANCHOR = 50, 20
 BUCKET_BYTES = 4 << 20
 #: Text bytes looked at together, and anchors held before a task sends them on: some 100 MB at most.
 BLOCK_BYTES, TASK_ANCHORS = 1 << 19, 800_000
+#: Contexts hashed together.
+CONTEXT_ROWS = 4096
 #: Slots of the filter for anchors in several contexts: 2**27 bits are 16 MB, however many anchors there are.
 SLOT_BITS = 27
 NO_ID = (1 << 63) - 1
@@ -241,12 +243,15 @@ def resolve(length: int, k: int, buckets: int):
             parts.append((undeltas(planes), doc, name, place, left.astype(np.int64), right.astype(np.int64), body.reshape(-1, width)))
         anchor, doc, name, place, left, right, body = (np.concatenate(x) for x in zip(*parts, strict=True))
         gone: list[tuple] = []
-        prefix = Prefix(body.reshape(-1))
-        row = np.arange(len(body)) * width
+        windows = np.empty((span, len(body)), np.uint64)
+        for i in range(0, len(body), CONTEXT_ROWS):
+            part = body[i : i + CONTEXT_ROWS]
+            prefix, row = Prefix(part.reshape(-1)), np.arange(len(part)) * width
+            for offset in range(span):
+                windows[offset, i : i + len(part)] = mix(prefix.raw(row + offset, row + offset + length))
         for offset in range(span):
             fits = np.flatnonzero((offset >= span - 1 - left) & (offset + length <= span - 1 + right))
-            start = row[fits] + offset
-            window = mix(prefix.raw(start, start + length))
+            window = windows[offset][fits]
             order = np.lexsort((doc[fits], window, anchor[fits]))
             a, w, d = anchor[fits][order], window[order], doc[fits][order]
             new = np.ones(len(order), bool)
