@@ -84,8 +84,25 @@ def smallest_first(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray) ->
     return order, order[new], order[d > least]
 
 
+def smallest_runs(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, name: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the smallest document of each (anchor, context): the first of each run, and from there to its last.
+
+    Places of one run stand at most `size` apart, so that what is removed around them is one piece.
+    """
+    order = np.lexsort((start, name, doc, context, anchor))
+    a, c, d = anchor[order], context[order], doc[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+    keep = d == d[new][np.cumsum(new) - 1] if len(order) else new
+    order, new = order[keep], new[keep]
+    n, s = name[order], start[order]
+    new[1:] |= (n[1:] != n[:-1]) | (s[1:] - s[:-1] > size[order[:-1]])
+    first = np.flatnonzero(new)
+    return order[first], s[np.append(first[1:], len(s)) - 1] - s[first] if len(s) else s
+
+
 def first_pass(length: int, k: int, shards: int):
-    """Anchors of a task: what is decided here already, and for each (anchor, context) the smallest document, by shard."""
+    """Anchors of a task: what is decided here already, and for each (anchor, context) all runs of the smallest document, by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -106,13 +123,16 @@ def first_pass(length: int, k: int, shards: int):
 
 def _shard_rows(parts: list[tuple], shards: int) -> pa.RecordBatch:
     anchor, context, doc, name, start, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-    _, first, covered = smallest_first(anchor, context, doc)
+    _, _, covered = smallest_first(anchor, context, doc)
+    first, more = smallest_runs(anchor, context, doc, name, start, size)
     out = []
     for s, at in _by_shard(anchor[first] % U(shards), shards):
+        run = more[at] + size[first[at]]
         at = first[at]
         docs, local = np.unique(np.stack((doc[at], name[at])), axis=1, return_inverse=True)
         out.append((s, packed(deltas(anchor[at]), _planes(context[at]), docs[0], docs[1], local.reshape(-1).astype(np.uint32),
-                              start[at].astype(np.uint32) if start[at].max(initial=0) < 1 << 32 else start[at], size[at])))
+                              start[at].astype(np.uint32) if start[at].max(initial=0) < 1 << 32 else start[at],
+                              run.astype(np.uint8) if run.max(initial=0) < 1 << 8 else run)))
     done = covered
     for s, at in _by_shard(mix(name[done].view(U)) % U(shards), shards):
         at = done[at]
@@ -193,7 +213,7 @@ def slot_words(rows: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
 
 
 def second_pass(slots, length: int, k: int, shards: int, bits: int):
-    """Contexts of anchors that may stand in several, with their bytes, by shard; of equal contexts the smallest document's."""
+    """Contexts of anchors that may stand in several, with their bytes, by shard; of equal contexts all runs of the smallest document."""
     span = length - k + 1
     width = span - 1 + length
 
@@ -213,21 +233,25 @@ def second_pass(slots, length: int, k: int, shards: int, bits: int):
                 parts.append((anchor[hit], context[hit], ids[i + doc[hit]], names[i + doc[hit]], place[hit] - o[doc[hit]],
                               (place - start)[hit].astype(np.uint8), (end - place)[hit].astype(np.uint8), body))
             if sum(len(x[0]) for x in parts) > TASK_ANCHORS // 4:
-                yield _context_rows(parts, shards)
+                yield _context_rows(parts, shards, length)
                 parts = []
         if parts:
-            yield _context_rows(parts, shards)
+            yield _context_rows(parts, shards, length)
 
     return run
 
 
-def _context_rows(parts: list[tuple], shards: int) -> pa.RecordBatch:
+def _context_rows(parts: list[tuple], shards: int, length: int) -> pa.RecordBatch:
     anchor, context, doc, name, place, left, right, body = (np.concatenate(x) for x in zip(*parts, strict=True))
-    _, first, _ = smallest_first(anchor, context, doc)
+    runs, more = smallest_runs(anchor, context, doc, name, place, np.full(len(place), length))
     out = []
-    for s, at in _by_shard(anchor[first] % U(shards), shards):
-        at = first[at]
-        out.append((s, packed(deltas(anchor[at]), doc[at], name[at], place[at], left[at], right[at], body[at].reshape(-1))))
+    for s, every in _by_shard(anchor[runs] % U(shards), shards):
+        run = runs[every]
+        new = np.ones(len(run), bool)
+        new[1:] = (anchor[run[1:]] != anchor[run[:-1]]) | (context[run[1:]] != context[run[:-1]])
+        at = run[new]
+        times = np.diff(np.append(np.flatnonzero(new), len(run)))
+        out.append((s, packed(deltas(anchor[at]), doc[at], times, name[run], place[run], more[every], left[at], right[at], body[at].reshape(-1))))
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["shard", "payload"])
 
 
@@ -237,11 +261,14 @@ def resolve(length: int, k: int, buckets: int):
     width = span - 1 + length
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = []
+        parts, runs = [], []
         for value in rows["payload"]:
-            planes, doc, name, place, left, right, body = unpacked(value)
-            parts.append((undeltas(planes), doc, name, place, left.astype(np.int64), right.astype(np.int64), body.reshape(-1, width)))
-        anchor, doc, name, place, left, right, body = (np.concatenate(x) for x in zip(*parts, strict=True))
+            planes, doc, times, name, place, more, left, right, body = unpacked(value)
+            parts.append((undeltas(planes), doc, times, left.astype(np.int64), right.astype(np.int64), body.reshape(-1, width)))
+            runs.append((name, place, more))
+        anchor, doc, times, left, right, body = (np.concatenate(x) for x in zip(*parts, strict=True))
+        name, place, more = (np.concatenate(x) for x in zip(*runs, strict=True))
+        begin = np.cumsum(times) - times
         gone: list[tuple] = []
         windows = np.empty((span, len(body)), np.uint64)
         for i in range(0, len(body), CONTEXT_ROWS):
@@ -259,11 +286,13 @@ def resolve(length: int, k: int, buckets: int):
             if not len(order):
                 continue
             late = fits[order[d > d[new][np.cumsum(new) - 1]]]
-            gone.append((name[late], place[late] - (span - 1) + offset))
+            many = times[late]
+            at = np.repeat(begin[late] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            gone.append((name[at], place[at] - (span - 1) + offset, more[at] + length))
         if not gone:
             return pd.DataFrame({"bucket": pd.Series([], dtype="int32"), "payload": pd.Series([], dtype=object)})
-        name, start = (np.concatenate(x) for x in zip(*gone, strict=True))
-        out = [(b, _verdict(name[at], start[at], np.full(len(at), length))) for b, at in _by_shard(name.view(U) % U(buckets), buckets)]
+        name, start, size = (np.concatenate(x) for x in zip(*gone, strict=True))
+        out = [(b, _verdict(name[at], start[at], size[at])) for b, at in _by_shard(name.view(U) % U(buckets), buckets)]
         return pd.DataFrame(out, columns=["bucket", "payload"])
 
     return run

@@ -163,3 +163,18 @@ def test_repeats_around_many_boundaries(spark):
         docs.append((i, "".join(parts)))
     got = Counter(tuple(r) for r in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), with_text=False).collect())
     assert got == stripped([(i, t.encode()) for i, t in docs], 50)
+
+
+def test_passages_repeated_inside_documents_of_other_tasks(spark):
+    """One document per partition, so that places of one document meet the smaller one only in a shard."""
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    shared, other = text(130), text(75)
+    docs = [(0, "a" * 1000), (1, text(40) + "a" * 1000 + text(30) + "a" * 700), (3, text(60) + shared + text(20) + other),
+            (5, shared + text(90) + shared + text(10) + shared[:80] + text(15) + other + text(25) + shared[20:100]),
+            (7, text(33) + shared[30:] + text(70) + shared[:70] + text(50) + shared[30:]), (9, ("line of 60 bytes " + other[:43] + "\n") * 40)]
+    split = spark.createDataFrame(docs, "doc_id long, text string").repartition(12, "doc_id")
+    apart = spark.createDataFrame(spark.sparkContext.parallelize(docs, len(docs)), "doc_id long, text string")
+    want = stripped([(i, t.encode()) for i, t in docs], 50)
+    for part in (apart, split):
+        assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(part, with_text=False).collect()) == want
