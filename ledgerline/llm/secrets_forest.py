@@ -1,6 +1,6 @@
 """Secret scan with a random forest that removes false positives (operator 9).
 
-A pattern proposes tokens that are long enough for a key. A forest of decision trees, trained on labelled findings, scores
+A pattern proposes tokens that are long enough for a key, and shorter values of words for secrets. A forest of decision trees, trained on labelled findings, scores
 each by its length, its entropy, how often it changes between classes of characters, how much of it words of the corpus
 cover, the path (or source) it comes from, and the words beside it. Only DataFrame functions and Spark ML run.
 """
@@ -16,19 +16,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from ledgerline.llm.matches import found, placed
 from ledgerline.llm.shared import stored
 
-#: A token is a run of 16 or more characters that keys are written with.
-TOKEN = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+"
 #: Words beside a token that speak for a secret and against one.
 FOR = r"(?:token|secret|password|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|credential|bearer)"
 AGAINST = r"(?:sha[0-9]*|md5|hash|checksum|digest|commit|revision|uuid|guid|etag|example|sample|dummy|placeholder|license|isbn)"
 ASSIGNED = r"(?:=|:|:=|=>)\W{0,3}$"
+#: A token is a run of 16 or more characters that keys are written with; '=' stands only at its end, as padding.
+TOKEN = r"""(?<![A-Za-z0-9_+/-]|[A-Za-z0-9_+/-]\.)[A-Za-z0-9_+/-][A-Za-z0-9_+/.-]{14,}[A-Za-z0-9_+/-](?:={1,2}(?![A-Za-z0-9_+/.=-]|["'`][A-Za-z0-9]))?"""
+#: Or the shorter value, of 6 or more characters, that a word for a secret is given.
+VALUE = rf"""(?<=[=:>"'`\s])(?<=[=:>]["'`\s]{{0,4}})(?<=(?i:{FOR})["'`]?\s{{0,3}}(?::=|=>|=|:)\s{{0,3}}["'`]?)[^\s"'`=:>][^\s"'`]{{4,62}}[^\s"'`,;.)]"""
 #: Prefixes that issuers give their keys (fixed values).
 ISSUED = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|ya29\.|SG\.|eyJ)"
 QUIET_PATH = r"(?i)(?:test|example|sample|doc|mock|fixture|vendor|lock|min\.)"
 FEATURES = ["length", "entropy", "changes", "digit_share", "upper_share", "other_share", "hex", "distinct_share", "coverage", "issued", "near_for",
             "near_against", "assigned", "quoted", "quiet_path"]
 #: Dictionary: words of 3 to 12 letters in at least one of so many words of the corpus; there are at most so many.
-DICTIONARY_SHARE = 512
+DICTIONARY_SHARE = 1 << 14
 #: Labelled findings to fit on, at most.
 MAX_LABELLED = 200_000
 TREES, DEPTH, SEED = 40, 8, 7
@@ -42,12 +44,28 @@ def dictionary(docs: DataFrame, share: int = DICTIONARY_SHARE) -> list[str]:
     return sorted(r["w"] for r in counts.where(F.col("n") * share >= total).select("w").collect())
 
 
+def any_word(words: list[str]) -> str:
+    """A pattern for the longest of the words at a place. Common beginnings are written once, or each place would try all words."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        rest = [c + pattern(child) for c, child in sorted(node.items()) if c]
+        return "(?:" + "|".join(rest) + ")" + "?" * ("" in node) if rest else ""
+
+    return pattern(tree)
+
+
 def findings(docs: DataFrame, path: str = "source") -> DataFrame:
     """row, doc_id, path, start, end, match, left, right of each proposed token."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"),
-                       F.lit("token").alias("family"), found(text, TOKEN).alias("hits")).where(F.size("hits") > 0)
+                       F.lit("token").alias("family"), found(text, f"{TOKEN}|{VALUE}", across=True).alias("hits")).where(F.size("hits") > 0)
     return placed(stored(rows, "secret-proposals"), ["row", "doc_id", "path"]).drop("family")
 
 
@@ -57,11 +75,11 @@ def described(spans: DataFrame, words: list[str]) -> DataFrame:
     size = F.char_length(m)
     share = lambda pattern: (size - F.char_length(F.regexp_replace(m, pattern, ""))) / size
     chars = F.filter(F.split(m, ""), lambda c: c != "")
-    kinds = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "1"), "_+/=-", "-----")
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "1"), "[^aB1]", "-")
     changes = F.char_length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1
     times = lambda c: size - F.size(F.array_remove(chars, c))
     entropy = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + times(c) / size * F.log2(size / times(c)))
-    covered = F.regexp_replace(F.lower(m), "|".join(sorted(words, key=lambda w: (-len(w), w))), "") if words else F.lower(m)
+    covered = F.regexp_replace(F.lower(m), any_word(words), "") if words else F.lower(m)
     flag = lambda c: c.cast("double")
     columns = {
         "length": F.log1p(size.cast("double")), "entropy": entropy, "changes": changes / size, "digit_share": share("[0-9]"), "upper_share": share("[A-Z]"),

@@ -110,6 +110,27 @@ def test_secrets(spark, hostile, nothing):
     assert secrets_forest.scan(nothing).count() == 0 and secrets_forest.scan(hostile).where("start is null").count() == 0
 
 
+def test_forms_of_secrets(spark):
+    """Short values, names and values without spaces, prefixes with dots, padding: each a finding of its own, with its cues."""
+    import random
+
+    r = random.Random(9)
+    key = lambda n: "".join(r.choice("abcdefghjkmnpqrstuvwxyz23456789") for _ in range(n - 1)) + "7"
+    forms = {"short": ('password = "', "Tr0ub4dor3xy", '"'), "joined": ("aws_access_key_id=", "AKIA" + key(16).upper(), ""), "long name": ("aws_secret_access_key=", key(40), ""),
+             "quoted": ('my_service_api_key="', key(20), '"'), "dots": ("", "SG." + key(22) + "." + key(43), ""), "google": ("bearer ", "ya29." + key(30), ""),
+             "padding": ("secret: ", key(22) + "==", ""), "sentence": ("", "ghp_" + key(36), ".")}
+    docs = [(i, f"{prose(i, 20)} {a}{v}{z} {prose(i + 50, 20)}", "src/app.py") for i, (a, v, z) in enumerate(forms.values())]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {(f["doc_id"], f["match"]): f for f in secrets_forest.described(secrets_forest.findings(df), ["lorem", "lo"]).collect()}
+    labels = {(x["doc_id"], x["start"]): x["label"] for x in secrets_forest.seed_labels(secrets_forest.findings(df)).collect()}
+    for i, (name, (before, value, _)) in enumerate(forms.items()):
+        f = got[i, value]
+        assert docs[i][1][f["start"] : f["end"]] == value and labels[i, f["start"]] == 1, name
+        assert f["issued"] == value.startswith(("AKIA", "SG.", "ya29.", "ghp_")) and f["near_for"] == bool(before) and f["assigned"] == ("=" in before or ":" in before), name
+    words = ["car", "care", "careful", "dog", "do"]
+    assert re.sub(secrets_forest.any_word(words), "", "xcarefuycarefuldogdocaz") == re.sub("|".join(sorted(words, key=lambda w: (-len(w), w))), "", "xcarefuycarefuldogdocaz")
+
+
 def test_queries_are_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES)
     assert numbers == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
