@@ -2,10 +2,10 @@
 
 Every suffix falls into the bucket of the smallest hash among the k-byte strings of its first `length` bytes, its anchor;
 equal prefixes of that length have equal anchors, so a match never crosses buckets, and one bucket shard at a time is
-sorted. Anchors are also the cover sample: any window holds one. The rank of a sampled place is the name of everything
-that a window around it can reach (its context). Ties are resolved by ranks, never by reading on: suffixes around equal
-contexts are equal, and all but those of the smallest document are removed. Only anchors that stand in different contexts
-need bytes; their contexts, of bounded length, are fetched in a second pass and their suffixes sorted offset by offset.
+grouped. Anchors are also the cover sample: any window holds one. A sampled place is named by the hash of everything that
+a window around it can reach (its context); names are compared for equality only, no suffix is sorted by its bytes. Windows
+around equal contexts are equal, and all but those of the smallest document are removed. Only anchors that stand in different
+contexts need bytes; their contexts, of bounded length, are fetched in a second pass and their windows grouped by hash, offset by offset.
 The sample is chosen by content and not by residues of the position, which halves it; see README.
 """
 
