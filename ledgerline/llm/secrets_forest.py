@@ -23,7 +23,7 @@ ASSIGNED = r"(?:=|:|:=|=>)\W{0,3}$"
 #: A token is a run of 16 or more characters that keys are written with; '=' stands only at its end, as padding.
 TOKEN = r"""(?<![A-Za-z0-9_+/-]|[A-Za-z0-9_+/-]\.)[A-Za-z0-9_+/-][A-Za-z0-9_+/.-]{14,}[A-Za-z0-9_+/-](?:={1,2}(?![A-Za-z0-9_+/.=-]|["'`][A-Za-z0-9]))?"""
 #: Or the shorter value, of 6 or more characters, that a word for a secret is given.
-VALUE = rf"""(?<=[=:>"'`\s])(?<=[=:>]["'`\s]{{0,4}})(?<=(?i:{FOR})["'`]?\s{{0,3}}(?::=|=>|=|:)\s{{0,3}}["'`]?)[^\s"'`=:>][^\s"'`]{{4,62}}[^\s"'`,;.)]"""
+VALUE = rf"""(?<=[=:>"'`\s])(?<=[=:>]["'`\s]{{0,4}})(?<=(?i:{FOR})["'`]?\s{{0,3}}(?::=|=>|=|:)\s{{0,3}}["'`]?)[^\s"'`=:>][^\s"'`]{{4,}}[^\s"'`,;.)]"""
 #: Prefixes that issuers give their keys (fixed values).
 ISSUED = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|ya29\.|SG\.|eyJ)"
 QUIET_PATH = r"(?i)(?:test|example|sample|doc|mock|fixture|vendor|lock|min\.)"
