@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, exact_dedup, jaccard_join, line_blocks, mixing, pairwise_quality, perplexity, personal_data, secrets_forest, suffix_dedup
+from ledgerline.llm import (
+    bpe, exact_dedup, fill_middle, jaccard_join, line_blocks, mixing, pairwise_quality, perplexity, personal_data, secrets_forest, suffix_dedup,
+)
 from ledgerline.session import ship_package
 
 
@@ -29,8 +31,10 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_secrets": secrets_forest.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
 }.items()}
 
 ORACLES = {
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op11_fill_middle": fill_middle.OP11_SQL,
 }
