@@ -6,7 +6,7 @@ import re
 import pyspark.sql.functions as F
 import pytest
 
-from ledgerline.llm.fill_middle import ChunkCache, fill_in_middle, restored, summarize
+from ledgerline.llm.fill_middle import ChunkCache, fill_in_middle, restored
 from tests.llm.conftest import prose
 
 LINE = re.compile(r"[^\n]*\n|[^\n]+")
@@ -61,4 +61,4 @@ def test_a_cache_hit_needs_equal_content():
     assert cache.of(1, b"a\nb\n").ends.tolist() == [2, 4]
     for k in range(50):
         assert cache.of(k, b"%d\n<M>" % k).marked
-    assert cache.of(1, b"ab\n") == summarize(b"ab\n") or cache.of(1, b"ab\n").chars == 3
+    assert cache.of(1, b"ab\n").ends.tolist() == [3]
