@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import (
     bpe, exact_dedup, fill_middle, jaccard_join, line_blocks, mixing, pairwise_quality, perplexity, personal_data, secrets_forest, suffix_dedup,
+    toxicity,
 )
 from ledgerline.session import ship_package
 
@@ -32,6 +33,7 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op9_secrets": secrets_forest.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
     "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_toxicity": toxicity.op12_toxicity,
 }.items()}
 
 ORACLES = {
