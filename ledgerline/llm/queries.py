@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import (
-    bpe, exact_dedup, fill_middle, jaccard_join, line_blocks, mixing, pairwise_quality, perplexity, personal_data, secrets_forest, suffix_dedup,
-    toxicity,
+    bpe, exact_dedup, fill_middle, jaccard_join, line_blocks, mixing, pairwise_quality, perplexity, personal_data, phrases, secrets_forest,
+    suffix_dedup, toxicity,
 )
 from ledgerline.session import ship_package
 
@@ -34,9 +34,11 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op10_mixing": mixing.op10_mixing,
     "op11_fill_middle": fill_middle.op11_fill_middle,
     "op12_toxicity": toxicity.op12_toxicity,
+    "op13_phrases": phrases.op13_phrases,
 }.items()}
 
 ORACLES = {
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op11_fill_middle": fill_middle.OP11_SQL,
+    "op13_phrases": phrases.OP13_SQL,
 }
