@@ -19,7 +19,7 @@ from ledgerline.llm.textarrays import LOWER
 BITS = 21
 MASK = (1 << BITS) - 1
 #: Entries at which a container bursts, and entries of a whole trie at which subtrees leave it.
-BURST, FULL = 4096, 800_000
+BURST, FULL = 4096, 400_000
 
 #: Bytes that end a piece, bytes between words.
 BREAK = np.zeros(256, bool)
@@ -37,7 +37,7 @@ class Container(dict):
 
 
 class Trie:
-    """Counts of phrases of `width` words. `add` takes many at a time; `full` tells when to `spill`."""
+    """Counts of phrases of `width` >= 2 words. `add` takes many at a time; `full` tells when to `spill`."""
 
     def __init__(self, width: int, burst: int = BURST, most: int = FULL) -> None:
         self.width, self.burst, self.most = width, burst, most
@@ -53,10 +53,6 @@ class Trie:
 
     def add(self, phrases: np.ndarray, counts: np.ndarray) -> None:
         """Phrases as rows of word numbers, distinct and sorted, and how often each was seen."""
-        if self.width == 1:
-            for word, n in zip(phrases[:, 0].tolist(), counts.tolist(), strict=True):
-                self._grow(self.root.setdefault(word, Container()), word, [0], [n], 0)
-            return
         lead = phrases[:, : self.depth]
         key = np.zeros(len(phrases), np.int64)
         for k in range(self.depth, self.width):
@@ -88,14 +84,47 @@ class Trie:
         self.entries += len(below) - before
         return burst(below, rest) if len(below) > self.burst and rest > 1 else below
 
-    def spill(self, keep: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Largest subtrees, as (phrases, counts), until at most `keep` entries stay."""
+    def spill(self, keep: int = 0, rows: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Whole subtrees, largest first, until at most `keep` entries stay: phrases and counts, about `rows` at a time."""
+        parts, waiting = _Unfolded(), 0
         for word in sorted(self.sizes, key=self.sizes.get, reverse=True):
             if self.entries <= keep:
-                return
-            self.entries -= self.sizes.pop(word)
-            rows = list(_unfolded(self.root.pop(word), self.width - 1, word))
-            yield np.array([p for p, _ in rows], np.int64).reshape(len(rows), self.width), np.array([n for _, n in rows], np.int64)
+                break
+            size = self.sizes.pop(word)
+            self.entries, waiting = self.entries - size, waiting + size
+            parts.take(self.root.pop(word), self.width - 1, [word])
+            if waiting >= rows:
+                yield parts.rows()
+                parts, waiting = _Unfolded(), 0
+        if waiting:
+            yield parts.rows()
+
+
+class _Unfolded:
+    """Phrases of subtrees, collected container by container and unpacked together."""
+
+    def __init__(self) -> None:
+        self.by_rest: dict[int, tuple[list, list, list, list]] = {}
+
+    def take(self, below: Node | Container, rest: int, path: list[int]) -> None:
+        if isinstance(below, Node):
+            for word, low in below.items():
+                self.take(low, rest - 1, [*path, word])
+            return
+        paths, sizes, keys, counts = self.by_rest.setdefault(rest, ([], [], [], []))
+        paths.append(path)
+        sizes.append(len(below))
+        keys.extend(below)
+        counts.extend(below.values())
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        phrases, counts = [], []
+        for rest, (paths, sizes, keys, n) in self.by_rest.items():
+            keys = np.array(keys, np.int64)
+            tail = [(keys >> (BITS * k)) & MASK for k in range(rest - 1, -1, -1)]
+            phrases.append(np.concatenate((np.repeat(np.array(paths, np.int64), sizes, axis=0), np.stack(tail, axis=1)), axis=1))
+            counts.append(np.array(n, np.int64))
+        return np.concatenate(phrases), np.concatenate(counts)
 
 
 def burst(full: Container, rest: int) -> Node:
@@ -115,16 +144,6 @@ def _groups(values: list[int]) -> Iterator[tuple[int, int, int]]:
             a = b
 
 
-def _unfolded(below: Node | Container, rest: int, *path: int) -> Iterator[tuple[tuple[int, ...], int]]:
-    if isinstance(below, Node):
-        for word, low in below.items():
-            yield from _unfolded(low, rest - 1, *path, word)
-    else:
-        shifts = [BITS * k for k in range(rest - 1, -1, -1)]
-        for key, n in below.items():
-            yield (*path, *((key >> s) & MASK for s in shifts)), n
-
-
 def pieced_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     """Words of lower-cased texts: number of each in the sorted-by-arrival list of distinct words, text of each, that list,
     and whether a word and the next one stand in one piece of one text."""

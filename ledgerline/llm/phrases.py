@@ -24,8 +24,8 @@ from ledgerline.llm.textarrays import U, Prefix, blocks, buffers, mix
 
 #: Bits of the filter, as a power of two: 16 MB at any size of the corpus.
 FILTER_BITS = 27
-#: Places of a text looked at together, so that their words fit into the numbers of a trie.
-SLICE = 1 << 18
+#: Bytes of text, and places in it, looked at together; their words fit into the numbers of a trie.
+BLOCK_BYTES, SLICE = 1 << 20, 1 << 18
 #: A two-word prefix is dealt to so many partitions; frequent phrases are copied as often for the lookup of parts.
 SPREAD, COPIES = 16, 8
 NO_LANGUAGE = "und"
@@ -85,12 +85,46 @@ def _runs(trie: Trie, names: list[bytes], langs: list[str], keep: int) -> Iterat
         parts = [words.take(pa.array(phrases[:, 0] & MASK)), *(words.take(pa.array(phrases[:, k])) for k in range(1, phrases.shape[1]))]
         text = pc.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0]
         order = pc.sort_indices(text)
-        yield pa.RecordBatch.from_arrays([languages.take(pa.array(phrases[:, 0] >> BITS)), text.take(order), pa.array(counts).take(order)], names=["lang", "phrase", "n"])
+        yield pa.RecordBatch.from_arrays([languages.take(pa.array(phrases[:, 0] >> BITS)).take(order), text.take(order), pa.array(counts).take(order)], names=["lang", "phrase", "n"])
+
+
+def _word_counter(most: int):
+    """Counts of single words: the root of the trie, one hash table, as Arrow keeps it."""
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows, totals = [], 0, {}
+        for batch in batches:
+            coded = pc.dictionary_encode(batch.column("lang"))
+            lang_of = coded.indices.to_numpy(zero_copy_only=False)
+            data, offsets = buffers(batch.column("text"))
+            for i, _, d, o in blocks(data, offsets):
+                code, owner, distinct, _ = pieced_words(d, o)
+                lang = lang_of[i + owner] if len(owner) else np.zeros(0, np.int64)
+                for k, n in zip(*np.unique(lang, return_counts=True), strict=True):
+                    totals[coded.dictionary[k].as_py()] = totals.get(coded.dictionary[k].as_py(), 0) + int(n)
+                key, n = np.unique(lang.astype(np.int64) * (len(distinct) + 1) + code, return_counts=True)
+                parts.append(pa.table({"lang": coded.dictionary.take(pa.array(key // (len(distinct) + 1))), "n": pa.array(n),
+                                       "phrase": distinct.take(pa.array(key % (len(distinct) + 1))).cast(pa.string())}).select(["lang", "phrase", "n"]))
+                rows += len(key)
+                if rows > most:
+                    parts = [summed(parts)]
+                    rows = len(parts[0])
+                    if rows > most // 2:
+                        yield from parts[0].sort_by("phrase").to_batches(max_chunksize=1 << 16)
+                        parts, rows = [], 0
+        if parts:
+            yield from summed(parts).sort_by("phrase").to_batches(max_chunksize=1 << 16)
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([""] * len(totals)), pa.array(list(totals.values()), pa.int64())], names=["lang", "phrase", "n"])
+
+    return run
 
 
 def _counter(width: int, known, burst: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, number, names, langs, totals = Trie(width, burst, most), {}, [], {}, {}
+        trie, number, names, langs = Trie(width, burst, most), {}, [], {}
         held = known.value if known is not None else None
         small: list[pa.RecordBatch] = []
         for batch in batches:
@@ -98,25 +132,19 @@ def _counter(width: int, known, burst: int, most: int):
             dictionary = coded.dictionary.to_pylist()
             lang_of = coded.indices.to_numpy(zero_copy_only=False)
             data, offsets = buffers(batch.column("text"))
-            for i, _, d, o in blocks(data, offsets):
+            for i, _, d, o in blocks(data, offsets, BLOCK_BYTES):
                 code, owner, distinct, linked = pieced_words(d, o)
                 lang = lang_of[i + owner] if len(owner) else np.zeros(0, np.int64)
-                if width == 1:
-                    for k, n in zip(*np.unique(lang, return_counts=True), strict=True):
-                        totals[dictionary[k]] = totals.get(dictionary[k], 0) + int(n)
                 places = _places(code, lang, distinct, linked, width, dictionary, held)
-                listed = distinct.to_pylist() if len(places) else []
                 for a in range(0, len(places), SLICE):
                     at = places[a : a + SLICE]
-                    if len(names) + width * len(at) > MASK:
+                    if len(names) > most or len(names) + width * len(at) > MASK:
                         small += _runs(trie, names, list(langs), 0)
                         number, names, langs = {}, [], {}
-                        trie.clear()
                     phrases, counts = _counted(code, lang, at, width)
                     used, local = np.unique(phrases[:, 1:], return_inverse=True)
                     ids = []
-                    for w in used.tolist():
-                        word = listed[w]
+                    for word in distinct.take(pa.array(used)).to_pylist():
                         if word not in number:
                             number[word] = len(names)
                             names.append(word)
@@ -127,12 +155,10 @@ def _counter(width: int, known, burst: int, most: int):
                     order = np.lexsort(phrases[:, :0:-1].T)
                     trie.add(phrases[order, 1:], counts[order])
                     if trie.full():
-                        small += _runs(trie, names, list(langs), most // 2)
+                        small += _runs(trie, names, list(langs), most // 4)
                     yield from _joined(small, 1 << 16)
         small += _runs(trie, names, list(langs), 0)
         yield from _joined(small, 0)
-        if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([""] * len(totals)), pa.array(list(totals.values()), pa.int64())], names=["lang", "phrase", "n"])
 
     return run
 
@@ -173,7 +199,8 @@ def phrase_counts(texts: DataFrame, width: int, least: int, known: Filter | None
     """lang, phrase, n of the phrases of `width` words that stand at least `least` times in (lang, text); with one word
     also an empty phrase, which counts all words."""
     shared = texts.sparkSession.sparkContext.broadcast(known) if known is not None else None
-    runs = texts.mapInArrow(_counter(width, shared, burst, most), "lang string, phrase string, n long")
+    count = _word_counter(2 * most) if width == 1 else _counter(width, shared, burst, most)
+    runs = texts.mapInArrow(count, "lang string, phrase string, n long")
     prefix = F.xxhash64("lang", F.substring_index("phrase", " ", 2), F.pmod(F.xxhash64("phrase"), F.lit(SPREAD)))
     merged = runs.withColumn("prefix", F.pmod(prefix, F.lit(1 << 20)).cast("int")).repartition("prefix").groupBy("prefix", "lang", "phrase").agg(F.sum("n").alias("n"))
     out = stored(merged.where((F.col("n") >= least) | (F.col("phrase") == "")).select("lang", "phrase", "n"), f"phrases-{width}")
