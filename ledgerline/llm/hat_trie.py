@@ -84,7 +84,7 @@ class Trie:
         self.entries += len(below) - before
         return burst(below, rest) if len(below) > self.burst and rest > 1 else below
 
-    def spill(self, keep: int = 0, rows: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def spill(self, keep: int = 0, rows: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Whole subtrees, largest first, until at most `keep` entries stay: phrases and counts, about `rows` at a time."""
         parts, waiting = _Unfolded(), 0
         for word in sorted(self.sizes, key=self.sizes.get, reverse=True):

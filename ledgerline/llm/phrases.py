@@ -20,13 +20,15 @@ from pyspark.sql import Window as W
 
 from ledgerline.llm.hat_trie import BITS, BURST, FULL, MASK, Trie, pieced_words
 from ledgerline.llm.shared import stored
-from ledgerline.llm.textarrays import U, Prefix, blocks, buffers, mix
+from ledgerline.llm.textarrays import U, Prefix, blocks, buffers, mix, packed, unpacked
 
 #: Bits of the filter, as a power of two: 16 MB at any size of the corpus.
 FILTER_BITS = 27
 #: Bytes of text, and places in it, looked at together; their words fit into the numbers of a trie.
 BLOCK_BYTES, SLICE = 1 << 20, 1 << 18
-#: A two-word prefix is dealt to so many partitions; frequent phrases are copied as often for the lookup of parts.
+#: Words of the corpus for each prefix partition of a language: phrases of one partition are merged in one task's memory.
+WORDS_PER_SHARD = 2_000_000
+#: A two-word prefix is dealt to so many partitions; frequent phrases are copied so often for the lookup of parts.
 SPREAD, COPIES = 16, 8
 NO_LANGUAGE = "und"
 
@@ -78,14 +80,56 @@ def frequent_filter(frequent: DataFrame, width: int, bits: int = FILTER_BITS) ->
     return Filter(cells, bits)
 
 
-def _runs(trie: Trie, names: list[bytes], langs: list[str], keep: int) -> Iterator[pa.RecordBatch]:
-    """Subtrees that leave the trie, each sorted by phrase."""
+def _runs(trie: Trie, names: list[bytes], langs: list[str], keep: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Subtrees that leave the trie as runs sorted by phrase, one packed row for each language and prefix partition.
+
+    A prefix is the first two words; what follows it is dealt to SPREAD partitions, so that a hot pair is not in one.
+    """
+    if not names:
+        return
     words, languages = pa.array(names, pa.binary()).cast(pa.string()), pa.array(langs, pa.string())
+    hashes, tongues = _word_hashes(words), np.array([_lang_hash(x) for x in langs], U)
     for phrases, counts in trie.spill(keep):
-        parts = [words.take(pa.array(phrases[:, 0] & MASK)), *(words.take(pa.array(phrases[:, k])) for k in range(1, phrases.shape[1]))]
-        text = pc.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0]
-        order = pc.sort_indices(text)
-        yield pa.RecordBatch.from_arrays([languages.take(pa.array(phrases[:, 0] >> BITS)).take(order), text.take(order), pa.array(counts).take(order)], names=["lang", "phrase", "n"])
+        lang, codes = phrases[:, 0] >> BITS, phrases.copy()
+        codes[:, 0] &= MASK
+        prefix = mix(mix(tongues[lang] + hashes[codes[:, 0]]) + hashes[codes[:, 1]])
+        rest = np.zeros(len(codes), U)
+        for k in range(2, codes.shape[1]):
+            rest = mix(rest + hashes[codes[:, k]])
+        shard = (mix(prefix + rest % U(SPREAD)) % U(shards)).astype(np.int64)
+        text = pc.binary_join_element_wise(*(words.take(pa.array(codes[:, k])) for k in range(codes.shape[1])), " ")
+        order = pc.sort_indices(pa.table({"part": lang * shards + shard, "phrase": text}), [("part", "ascending"), ("phrase", "ascending")]).to_numpy()
+        part, text = (lang * shards + shard)[order], text.take(pa.array(order))
+        data, offsets = buffers(text)
+        head = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        counts, size = counts[order], np.diff(offsets)
+        rows = [packed(data[offsets[x] : offsets[y]], size[x:y].astype(np.uint32), counts[x:y]) for x, y in zip(head, [*head[1:], len(part)], strict=True)]
+        yield pa.RecordBatch.from_arrays([languages.take(pa.array(part[head] // shards)), pa.array(part[head] % shards), pa.array(rows, pa.binary())],
+                                         names=["lang", "shard", "run"])
+
+
+def _merger(least: int, fold: int = 1 << 21):
+    """Runs of one language and prefix partition to the phrases that stand at least so often."""
+
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by(["phrase"]).aggregate([("n", "sum")]).rename_columns(["phrase", "n"])
+
+    def merge(key: tuple, runs: pa.Table) -> pa.Table:
+        parts, rows = [], 0
+        for run in runs["run"]:
+            data, size, n = unpacked(run.as_py())
+            offsets = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+            text = pa.Array.from_buffers(pa.large_string(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+            parts.append(pa.table({"phrase": text, "n": n.copy()}))
+            rows += len(n)
+            if rows > fold:
+                parts = [summed(parts)]
+                rows = len(parts[0]) // 2
+        whole = summed(parts)
+        whole = whole.filter(pc.greater_equal(whole["n"], least))
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(whole), pa.string()), "phrase": whole["phrase"].cast(pa.string()), "n": whole["n"]})
+
+    return merge
 
 
 def _word_counter(most: int):
@@ -122,11 +166,10 @@ def _word_counter(most: int):
     return run
 
 
-def _counter(width: int, known, burst: int, most: int):
+def _counter(width: int, known, burst: int, most: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, number, names, langs = Trie(width, burst, most), {}, [], {}
         held = known.value if known is not None else None
-        small: list[pa.RecordBatch] = []
         for batch in batches:
             coded = pc.dictionary_encode(batch.column("lang"))
             dictionary = coded.dictionary.to_pylist()
@@ -139,7 +182,7 @@ def _counter(width: int, known, burst: int, most: int):
                 for a in range(0, len(places), SLICE):
                     at = places[a : a + SLICE]
                     if len(names) > most or len(names) + width * len(at) > MASK:
-                        small += _runs(trie, names, list(langs), 0)
+                        yield from _runs(trie, names, list(langs), 0, shards)
                         number, names, langs = {}, [], {}
                     phrases, counts = _counted(code, lang, at, width)
                     used, local = np.unique(phrases[:, 1:], return_inverse=True)
@@ -155,22 +198,12 @@ def _counter(width: int, known, burst: int, most: int):
                     order = np.lexsort(phrases[:, :0:-1].T)
                     trie.add(phrases[order, 1:], counts[order])
                     if trie.full():
-                        small += _runs(trie, names, list(langs), most // 4)
-                    yield from _joined(small, 1 << 16)
-        small += _runs(trie, names, list(langs), 0)
-        yield from _joined(small, 0)
+                        yield from _runs(trie, names, list(langs), most // 4, shards)
+        yield from _runs(trie, names, list(langs), 0, shards)
 
     return run
 
 
-def _joined(small: list[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Runs in order, put together to batches of a decent size; empties the list."""
-    if small and sum(len(b) for b in small) >= least:
-        table = pa.Table.from_batches(small).combine_chunks()
-        small.clear()
-        yield from table.to_batches(max_chunksize=1 << 16)
-
-
 def _places(code, lang, distinct, linked, width: int, dictionary: list[str], held: Filter | None) -> np.ndarray:
     """Places at which a phrase of `width` words begins that has to be counted."""
     n = max(0, len(code) - width + 1)
@@ -195,15 +228,18 @@ def _counted(code: np.ndarray, lang: np.ndarray, at: np.ndarray, width: int) ->
     return np.stack([lang[starts], *(code[starts + k] for k in range(width))], axis=1).astype(np.int64), counts
 
 
-def phrase_counts(texts: DataFrame, width: int, least: int, known: Filter | None, burst: int = BURST, most: int = FULL) -> DataFrame:
-    """lang, phrase, n of the phrases of `width` words that stand at least `least` times in (lang, text); with one word
-    also an empty phrase, which counts all words."""
+def word_counts(texts: DataFrame, least: int, most: int = FULL) -> DataFrame:
+    """lang, phrase, n of the words that stand at least `least` times in (lang, text), and an empty phrase that counts all words."""
+    runs = texts.mapInArrow(_word_counter(2 * most), "lang string, phrase string, n long")
+    merged = runs.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return stored(merged.where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases-1")
+
+
+def phrase_counts(texts: DataFrame, width: int, least: int, known: Filter | None, shards: int, burst: int = BURST, most: int = FULL) -> DataFrame:
+    """lang, phrase, n of the phrases of `width` >= 2 words that stand at least `least` times in (lang, text)."""
     shared = texts.sparkSession.sparkContext.broadcast(known) if known is not None else None
-    count = _word_counter(2 * most) if width == 1 else _counter(width, shared, burst, most)
-    runs = texts.mapInArrow(count, "lang string, phrase string, n long")
-    prefix = F.xxhash64("lang", F.substring_index("phrase", " ", 2), F.pmod(F.xxhash64("phrase"), F.lit(SPREAD)))
-    merged = runs.withColumn("prefix", F.pmod(prefix, F.lit(1 << 20)).cast("int")).repartition("prefix").groupBy("prefix", "lang", "phrase").agg(F.sum("n").alias("n"))
-    out = stored(merged.where((F.col("n") >= least) | (F.col("phrase") == "")).select("lang", "phrase", "n"), f"phrases-{width}")
+    runs = texts.mapInArrow(_counter(width, shared, burst, most, shards), "lang string, shard long, run binary")
+    out = stored(runs.groupBy("lang", "shard").applyInArrow(_merger(least), "lang string, phrase string, n long"), f"phrases-{width}")
     if shared is not None:
         shared.unpersist()
     return out
@@ -233,11 +269,12 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     and `bits` change no result.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = phrase_counts(texts, 1, least, None, burst, most)
+    words = word_counts(texts, least, most)
+    shards = max(16, (words.where("phrase = ''").agg(F.sum("n")).first()[0] or 0) // WORDS_PER_SHARD)
     totals, levels = words.where("phrase = ''").select("lang", F.col("n").alias("n")), [words.where("phrase <> ''")]
     for width in range(2, longest + 1):
         known = frequent_filter(levels[-1], width - 1, bits)
-        levels.append(phrase_counts(texts, width, least, known, burst, most))
+        levels.append(phrase_counts(texts, width, least, known, shards, burst, most))
         if levels[-1].isEmpty():
             break
     frequent = reduce(DataFrame.unionByName, levels)
