@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerline.functions import scalars as S
 from ledgerline.operators.ordering import quantiles, with_cdf
+from ledgerline.operators.shapley import sampled_shapley, tree_attributions  # noqa: F401  (part of this interface)
 
 
 def linear_attributions(df: DataFrame, coefficients: dict[str, float], intercept: float, key: str) -> DataFrame:
@@ -32,47 +28,6 @@ def linear_attributions(df: DataFrame, coefficients: dict[str, float], intercept
     return wide.select(key, "c.*", "base_value", "y_pred_model_output")
 
 
-def sampled_shapley(df: DataFrame, background: DataFrame, features: list[str], predict, key: str, permutations: int = 32,
-                    seed: int = 42, background_rows: int = 64) -> DataFrame:
-    """Permutation-sampling Shapley values for any scorer `matrix -> vector`.
-
-    The background is a fixed-size sample (a parameter of the method), sent to the tasks; each task explains its own
-    rows in Arrow batches: for a permutation the features switch one by one from background to row.
-    """
-    sample = background.orderBy(F.xxhash64(*features, F.lit(seed))).limit(background_rows).select(*features).toPandas()
-    reference = sample.to_numpy(dtype=float)
-    d = len(features)
-    added = [T.StructField("feature", T.StringType()), T.StructField("shap", T.DoubleType()), T.StructField("base_value", T.DoubleType())]
-    schema = T.StructType([*df.select(key).schema.fields, *added])
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng = np.random.default_rng(seed)
-        orders = [rng.permutation(d) for _ in range(permutations)]
-        base = float(np.mean(predict(reference)))
-        for pdf in batches:
-            x = pdf[features].to_numpy(dtype=float)
-            total = np.zeros((len(x), d))
-            for order in orders:
-                for ref in reference:
-                    current = np.tile(ref, (len(x), 1))
-                    before = predict(current)
-                    for j in order:
-                        current[:, j] = x[:, j]
-                        after = predict(current)
-                        total[:, j] += after - before
-                        before = after
-            yield pd.DataFrame(
-                {
-                    key: np.repeat(pdf[key].to_numpy(), d),
-                    "feature": np.tile(features, len(x)),
-                    "shap": (total / (permutations * len(reference))).reshape(-1),
-                    "base_value": base,
-                }
-            )
-
-    return df.select(key, *features).mapInPandas(explain, schema)
-
-
 def importance_table(long: DataFrame) -> DataFrame:
     """Mean |shap|, mean, spread and feature moments per feature, ranked."""
     t = long.groupBy("feature").agg(

@@ -63,11 +63,11 @@ class Trees:
         return len(self.feature)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        """Output for each row of a matrix."""
+        """Output for each row of a matrix; a missing value counts as the smallest."""
         out = np.full(len(x), self.base)
         if not len(self.feature):
             return out
-        x, steps = np.ascontiguousarray(x), (self.feature.shape[1] + 1).bit_length() - 2
+        x, steps = np.where(np.isnan(x), -np.inf, x), (self.feature.shape[1] + 1).bit_length() - 2
         for feature, threshold, value in zip(self.feature, self.threshold, self.value, strict=True):
             at = np.zeros(len(x), np.int64)
             for _ in range(steps):

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ledgerline.functions import scalars as S
 from ledgerline.operators import metrics as M
+from ledgerline.operators.boosting import Trees
 from ledgerline.operators.cleaning import without
 from ledgerline.operators.prep import as_vectors
 
@@ -172,6 +173,12 @@ def score_network(df: DataFrame, model: dict, name: str = "y_pred_model_output")
     return score_batches(df, lambda pdf: network_output(parameters, pdf[features].to_numpy(dtype=float)), name)
 
 
+def score_trees(df: DataFrame, model: Trees, name: str = "y_pred_model_output") -> DataFrame:
+    """Batch scoring with node arrays, shipped in one broadcast; its size is rounds x nodes of a tree."""
+    shared, features = df.sparkSession.sparkContext.broadcast(model), model.features
+    return score_batches(df, lambda pdf: shared.value(pdf[features].to_numpy(dtype=float)), name)
+
+
 def score_batches(df: DataFrame, scorer: Callable[[pd.DataFrame], np.ndarray], name: str) -> DataFrame:
     """The scorer protocol: any `batch -> vector` runs over Arrow batches inside the tasks."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
 from ledgerline.operators import attribution as A
+from ledgerline.operators import boosting as B
 from ledgerline.operators import metrics as M
 from ledgerline.operators import prep as N
 from ledgerline.operators import training as T
@@ -190,16 +191,29 @@ def _report(scored):
     return out.groupBy("split").agg(F.count("*").alias("rows"), M.rmse(F.col("label"), F.col("p")).alias("rmse"), M.mae(F.col("label"), F.col("p")).alias("mae"))
 
 
+def _trees(t):
+    """Risk rows and the boosted trees fitted on them, with the default settings."""
+    data = _risk(t).withColumn("weight", N.severity_weights("label"))
+    return data, B.fit_until_best(data, FEATURE_SQL, weight="weight")
+
+
 @query("O1_boosted_trees")
 def _(t):
-    data = _risk(t).withColumn("weight", N.severity_weights("label"))
-    return _report(T.predict_with(T.fit_trees(data, FEATURE_SQL, weight="weight", rounds=20, eta=0.1), data, FEATURE_SQL))
+    data, model = _trees(t)
+    rounds = [F.lit(model.best_round).alias("best_round"), F.lit(len(model.history)).alias("rounds_run")]
+    return _report(T.score_trees(data.select("split", "label", *FEATURE_SQL), model)).select("*", *rounds)
+
+
+@query("O1_loss_by_round")
+def _(t):
+    history = [(i, *h) for i, h in enumerate(_trees(t)[1].history, 1)]
+    return t.spark.createDataFrame(history, "round int, train_loss double, val_loss double")
 
 
 @query("O2_robust_linear")
 def _(t):
     data = _risk(t).withColumn("weight", N.severity_weights("label"))
-    return _report(T.predict_with(T.fit_robust_linear(data, FEATURE_SQL, weight="weight", rounds=50), data, FEATURE_SQL))
+    return _report(T.predict_with(T.fit_robust_linear(data, FEATURE_SQL, weight="weight"), data, FEATURE_SQL))
 
 
 @query("O3_network_history")
@@ -217,7 +231,7 @@ def _(t):
 @query("O5_residual_learner")
 def _(t):
     data = t.predictions.withColumns({"base": F.col("baseline") * 500000, "label": T.residual_target("amount", "base")}).persist()
-    model = T.fit_robust_linear(data, ["model_a", "model_b"], rounds=50)
+    model = T.fit_robust_linear(data, ["model_a", "model_b"])
     scored = T.predict_with(model, data, ["model_a", "model_b"], "residual").withColumn("p", T.from_residual("residual", "base"))
     return scored.groupBy("split").agg(F.count("*").alias("rows"), M.rmse_log(F.col("amount"), F.col("p")).alias("rmse_log"), M.rmse_log(F.col("amount"), F.col("base")).alias("base_rmse_log"))
 
@@ -301,16 +315,19 @@ def _(t):
     data = _risk(t).withColumn("baseline", S.clip(-F.coalesce("raw_drawdown_126d", F.lit(0.0)), 0.0, 1.0))
     late = data.agg(F.max("fiscal_year").alias("fiscal_year"))
     _, metrics = T.held_out_report(data, late, ["fiscal_year"], FEATURE_SQL, "label", "baseline",
-                                   lambda d: T.fit_robust_linear(d.withColumn("split", F.lit("train")), FEATURE_SQL, rounds=50),
+                                   lambda d: T.fit_robust_linear(d.withColumn("split", F.lit("train")), FEATURE_SQL),
                                    lambda m, d: T.predict_with(m, d, FEATURE_SQL), (0.0, 1.0))
     return metrics
 
 
+# Eight candidates: depth and regularization.
+CANDIDATES = {f"depth {depth}, l2 {l2:g}": {"depth": depth, "l2": l2} for depth in (3, 4, 5, 6) for l2 in (1.0, 5.0)}
+
+
 @query("O16_candidate_search")
 def _(t):
-    data = N.group_kfold(_risk(t).drop("split"), 3).persist()
-    _, table = T.candidate_search(data.select("fold", "label", *FEATURE_SQL), FEATURE_SQL, depths=(2, 3), rounds=(5,))
-    return table
+    data = N.group_kfold(_risk(t).drop("split"), 5).persist()
+    return B.search_candidates(data.select("row_id", "fold", "label", *FEATURE_SQL), FEATURE_SQL, CANDIDATES)[1]
 
 
 # --- attributions --------------------------------------------------------------------------------------------------
@@ -341,6 +358,48 @@ def _(t):
     return rounded(_long(t))
 
 
+def _explained(t):
+    data, model = _trees(t)
+    return data, A.tree_attributions(data, model, "row_id")
+
+
+@query("S1_tree_attributions")
+def _(t):
+    return _explained(t)[1]
+
+
+@query("S3_tree_importance")
+def _(t):
+    return A.importance_table(_explained(t)[1])
+
+
+@query("S4_tree_local_explanations")
+def _(t):
+    data, long = _explained(t)
+    output = long.groupBy("row_id").agg(F.first("y_pred_model_output").alias("y_pred_model_output"))
+    scored = A.prediction_columns(data.select("row_id", F.col("label").alias("y_true")).join(output, "row_id"), (0.0, 1.0))
+    return A.local_explanations(scored, long, "row_id", rows=50, top_k=5)
+
+
+@query("S6_tree_additivity", with_parts("risk", "SELECT CAST(0 AS DOUBLE) AS mean_abs_gap, CAST(0 AS DOUBLE) AS max_abs_gap, count(*) AS rows FROM risk"))
+def _(t):
+    return rounded(A.additivity_table(_explained(t)[1], "row_id"))
+
+
+@query("S7_trees_against_linear")
+def _(t):
+    data, long = _explained(t)
+    linear = T.fit_robust_linear(data, FEATURE_SQL, weight="weight")
+    other = A.linear_attributions(data, dict(zip(FEATURE_SQL, map(float, linear.coefficients))), float(linear.intercept), "row_id")
+    return A.compare_importance({"trees": A.importance_table(long), "linear": A.importance_table(other)}, 10)
+
+
+@query("S8_tree_dependence")
+def _(t):
+    _, long = _explained(t)
+    return A.dependence_data(long, A.importance_table(long), 3, "row_id")
+
+
 @query("S2_sampled_shapley")
 def _(t):
     import numpy as np
@@ -348,10 +407,30 @@ def _(t):
     weights = np.array(list(COEFFICIENTS.values()))
     predict = lambda x: x @ weights + INTERCEPT + 0.1 * x[:, 0] * x[:, 1]
     p = t.predictions
-    long = A.sampled_shapley(p, p, list(COEFFICIENTS), predict, "row_id", permutations=16, background_rows=64)
+    long = A.sampled_shapley(p, p, list(COEFFICIENTS), predict, "row_id")
     return long.groupBy("feature").agg(F.count("*").alias("rows"), F.avg(F.abs("shap")).alias("mean_abs_shap"), F.avg("base_value").alias("base_value"))
 
 
+@query("S2_sampled_shapley_of_models")
+def _(t):
+    """Trees, linear model and network explained by one function, at the 50 worst predictions of the trees."""
+    import numpy as np
+
+    data, trees = _trees(t)
+    linear = T.fit_robust_linear(data, FEATURE_SQL, weight="weight")
+    slope, start = np.array(linear.coefficients), float(linear.intercept)
+    network = T.fit_network(data, FEATURE_SQL)["parameters"]
+    scored = T.score_trees(data.select("row_id", "label", *FEATURE_SQL), trees).withColumn("error", F.abs(F.col("label") - F.col("y_pred_model_output")))
+    worst = A.largest_errors(scored, "row_id", "error").persist()
+    train = data.where("split = 'train'")
+    out = None
+    for name, predict in {"trees": trees, "linear": lambda x: x @ slope + start, "network": lambda x: T.network_output(network, x)}.items():
+        long = A.sampled_shapley(worst, train, FEATURE_SQL, predict, "row_id").withColumn("model", F.lit(name))
+        out = long if out is None else out.unionByName(long)
+    return out.groupBy("model", "feature").agg(F.count("*").alias("rows"), F.avg(F.abs("shap")).alias("mean_abs_shap"), F.avg("standard_error").alias("mean_standard_error"),
+                                               F.avg("base_value").alias("base_value"))
+
+
 @query("S3_importance", with_parts("pred", f"SELECT feature, {', '.join(R(c) for c in ['mean_abs_shap', 'mean_shap', 'std_abs_shap', 'mean_feature_value', 'std_feature_value'])}, row_number() OVER (ORDER BY mean_abs_shap DESC, feature) AS rank FROM imp", _SHAP))
 def _(t):
     return rounded(A.importance_table(_long(t)))
