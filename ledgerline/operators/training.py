@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -99,7 +100,7 @@ def _gradient_sums(df: DataFrame, features, label, weight, parameters, delta, dr
     """One Spark job: every partition sends a single row with its loss, weight and gradient sums."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng = np.random.default_rng(seed)
+        rng = np.random.default_rng((seed, TaskContext.get().partitionId()))
         loss, mass, total = 0.0, 0.0, None
         for pdf in batches:
             x = pdf[features].to_numpy(dtype=float)

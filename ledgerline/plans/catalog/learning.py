@@ -8,8 +8,10 @@ from ledgerline.functions import scalars as S
 from ledgerline.operators import attribution as A
 from ledgerline.operators import boosting as B
 from ledgerline.operators import metrics as M
+from ledgerline.operators import network as NN
 from ledgerline.operators import prep as N
 from ledgerline.operators import training as T
+from ledgerline.operators import validation as V
 from ledgerline.operators.cleaning import deduplicate_entity_period, without
 from ledgerline.operators.fundamentals import BASE_RATIOS, base_features, join_statements
 from ledgerline.plans import risk as P
@@ -216,16 +218,21 @@ def _(t):
     return _report(T.predict_with(T.fit_robust_linear(data, FEATURE_SQL, weight="weight"), data, FEATURE_SQL))
 
 
+def _network(t):
+    data = _risk(t).withColumn("weight", N.severity_weights("label"))
+    return data, NN.fit_until_best(data, FEATURE_SQL, weight="weight")
+
+
 @query("O3_network_history")
 def _(t):
-    model = T.fit_network(_risk(t), FEATURE_SQL, epochs=6)
-    return t.spark.createDataFrame([(h["epoch"], h["train_loss"], h["val_loss"]) for h in model["history"]], "epoch int, train_loss double, val_loss double")
+    history = [(h["epoch"], h["train_loss"], h["val_loss"]) for h in _network(t)[1]["history"]]
+    return t.spark.createDataFrame(history, "epoch int, train_loss double, val_loss double")
 
 
 @query("O4_network_scores")
 def _(t):
-    data = _risk(t)
-    return _report(T.score_network(data.select("split", "label", *FEATURE_SQL), T.fit_network(data, FEATURE_SQL, epochs=4)))
+    data, model = _network(t)
+    return _report(T.score_network(data.select("split", "label", *FEATURE_SQL), model))
 
 
 @query("O5_residual_learner")
@@ -278,17 +285,42 @@ def _(t):
     return rounded(T.guard_rates(_guarded(t)))
 
 
+_RATIO = "y_true / greatest(abs(baseline), 1e-6)"
+_FITTED = {
+    "b": f"""SELECT quantile_disc(y_true, 0.005) AS low, quantile_disc(y_true, 0.995) AS high, quantile_disc(abs(y_true - baseline) / greatest(abs(baseline), 1e-6), 0.995) AS far,
+        quantile_disc({_RATIO}, 0.005) AS rl, quantile_disc({_RATIO}, 0.995) AS rh, quantile_disc(abs(model_b), 0.995) AS zm FROM pred WHERE split = 'train'""",
+    "g0": "SELECT baseline, least(greatest(model_a, low), high) AS c, abs(model_b) AS z, far, rl, rh, zm FROM pred, b WHERE split = 'val'",
+    "g": "SELECT abs(c - baseline) / greatest(abs(baseline), 1e-6) > far AS rel, c / greatest(abs(baseline), 1e-6) < rl OR c / greatest(abs(baseline), 1e-6) > rh AS ratio, z > zm AS ood FROM g0"}
+
+
+@query("O9_fitted_guard_rates", with_parts("pred", "SELECT " + ", ".join(R(f"avg(CAST({e} AS DOUBLE))", 4, f"fallback_{n}_rate") for n, e in [("any", "(rel OR ratio OR ood)"), ("rel", "rel"), ("ratio", "ratio"), ("ood", "ood")]) + " FROM g", _FITTED))
+def _(t):
+    p = t.predictions.withColumn("z", F.abs("model_b"))
+    bounds = V.fit_guard(p.where("split = 'train'"), [], "y_true", "baseline", "z", accuracy=1_000_000)
+    return rounded(T.guard_rates(V.apply_guard(p.where("split = 'val'"), bounds, [], "model_a", "baseline", "z")), 4)
+
+
 @query("O10_loss_sweep")
 def _(t):
-    data = t.predictions.withColumn("label", F.col("y_true")).persist()
-    return T.huber_sweep(data, ["model_a", "model_b"])
+    return V.sweep_deltas(_risk(t), FEATURE_SQL, plan=NN.Plan(hidden=(256, 128), dropout=0.2))
+
+
+def _cross_validated(t):
+    data = _risk(t).drop("split").withColumn("baseline", S.clip(-F.coalesce("raw_drawdown_126d", F.lit(0.0)), 0.0, 1.0))
+    data = N.group_kfold(data, 5).withColumnRenamed("fold", "fold_group")
+    data = N.row_kfold(data, 5, ["row_id"]).withColumnRenamed("fold", "fold_row")
+    data = N.time_kfold(data, 5).withColumnRenamed("fold", "fold_time").persist()
+    return V.cross_validate(data, FEATURE_SQL, {"group": "fold_group", "row": "fold_row", "time": "fold_time"}, "label", "baseline")
 
 
 @query("O11_cross_validation")
 def _(t):
-    data = N.group_kfold(_risk(t).drop("split"), 3).persist()
-    folds = T.cross_validated(data, "fold", "label", lambda d: T.fit_robust_linear(d, FEATURE_SQL, rounds=30), lambda m, d: T.predict_with(m, d, FEATURE_SQL))
-    return M.fold_aggregate(folds, ["rmse", "mae", "r2"])
+    return V.fold_summary(V.fold_metrics(_cross_validated(t)), ["rmse", "mae", "r2", "rmse_log"])
+
+
+@query("O11_fold_metrics")
+def _(t):
+    return V.fold_metrics(_cross_validated(t))
 
 
 @query("O12_prediction_frame", with_parts("pred", f"SELECT row_id, 'val' AS split, {R('y_true')}, {R('least(greatest(model_a, 0), 1)', 6, 'y_pred')}, {R('least(greatest(baseline, 0), 1)', 6, 'y_pred_baseline')}, {R('-y_true', 6, 'y_true_raw_drawdown')} FROM pred WHERE split = 'val'"))
@@ -312,12 +344,20 @@ def _(t):
 
 @query("O15_held_out_report")
 def _(t):
+    """The last year and a seventh of the tickers held out, trees and network, each against the baseline."""
     data = _risk(t).withColumn("baseline", S.clip(-F.coalesce("raw_drawdown_126d", F.lit(0.0)), 0.0, 1.0))
-    late = data.agg(F.max("fiscal_year").alias("fiscal_year"))
-    _, metrics = T.held_out_report(data, late, ["fiscal_year"], FEATURE_SQL, "label", "baseline",
-                                   lambda d: T.fit_robust_linear(d.withColumn("split", F.lit("train")), FEATURE_SQL),
-                                   lambda m, d: T.predict_with(m, d, FEATURE_SQL), (0.0, 1.0))
-    return metrics
+    bucket = F.pmod(F.xxhash64("ticker"), F.lit(7))
+    data = data.withColumn("split", F.when(bucket == 1, "val").otherwise("train"))
+    held = {"last year": (data.agg(F.max("fiscal_year").alias("fiscal_year")), ["fiscal_year"]), "unseen tickers": (data.where(bucket == 0).select("ticker").distinct(), ["ticker"])}
+    models = {"trees": (lambda d: B.fit_until_best(d, FEATURE_SQL), lambda m, d: T.score_trees(d, m)),
+              "network": (lambda d: NN.fit_until_best(d, FEATURE_SQL), lambda m, d: T.score_network(d, m))}
+    out = None
+    for name, (keys, columns) in held.items():
+        for kind, (fit, predict) in models.items():
+            _, metrics = T.held_out_report(data, keys, columns, FEATURE_SQL, "label", "baseline", fit, predict, (0.0, 1.0))
+            part = metrics.withColumns({"held_out": F.lit(name), "estimator": F.lit(kind)})
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 # Eight candidates: depth and regularization.
@@ -419,7 +459,7 @@ def _(t):
     data, trees = _trees(t)
     linear = T.fit_robust_linear(data, FEATURE_SQL, weight="weight")
     slope, start = np.array(linear.coefficients), float(linear.intercept)
-    network = T.fit_network(data, FEATURE_SQL)["parameters"]
+    network = NN.fit_until_best(data, FEATURE_SQL, weight="weight")["parameters"]
     scored = T.score_trees(data.select("row_id", "label", *FEATURE_SQL), trees).withColumn("error", F.abs(F.col("label") - F.col("y_pred_model_output")))
     worst = A.largest_errors(scored, "row_id", "error").persist()
     train = data.where("split = 'train'")

@@ -34,6 +34,8 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_ledgerline_shipped", False):
         return
+    if sc.master.startswith("local"):  # on a cluster Spark itself limits the threads of a Python worker
+        sc.environment.setdefault("OMP_NUM_THREADS", "1")
     here = Path(__file__).resolve().parent
     if here.is_dir():  # else the package came as an archive that the submitter has shipped
         archive = Path(tempfile.mkdtemp(prefix="ledgerline-")) / "ledgerline_package.zip"
