@@ -281,35 +281,34 @@ def _poisson_cdf() -> tuple[float, ...]:
 POISSON_CDF = _poisson_cdf()
 
 
-def _draws(key: str, iteration: Column, seed: int) -> Column:
-    """How often a row is drawn in an iteration: Poisson(1) from a hash, the same for all models."""
-    u = F.pmod(F.xxhash64(F.col(key), iteration, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return sum(((u >= c).cast("long") for c in POISSON_CDF[1:]), (u >= POISSON_CDF[0]).cast("long"))
-
-
 # Sums of a weighted row set that the metrics follow from.
 SUMS = ("n", "sy", "sp", "syy", "spp", "syp", "sse", "sae", "spe")
 
 
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def poisson_weights(name: np.ndarray, first: int, last: int) -> np.ndarray:
+    """How often each draw from `first` to `last` (exclusive) takes each row: draws x rows, from the rows' hashes alone."""
+    steps = _scrambled(np.arange(first + 1, last + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    u = _scrambled(name.astype(np.int64).view(np.uint64)[None, :] ^ steps[:, None]) >> np.uint64(11)
+    return np.searchsorted(np.array(POISSON_CDF), u.ravel() * 2.0**-53, "right").reshape(u.shape)
+
+
 def _weighted_sums(models: list[str], iterations: int, at_once: int = 128):
     """Per task: Poisson draws of all rows in slices of iterations, multiplied with the rows' terms; iterations x models rows."""
 
-    def scrambled(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cdf, width = np.array(POISSON_CDF), len(SUMS) * len(models)
+        width = len(SUMS) * len(models)
         total = np.zeros((iterations, width))
-        steps = scrambled(np.arange(1, iterations + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for batch in batches:
-            name = batch.column("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            name = batch.column("h").to_numpy(zero_copy_only=False)
             terms = batch.column("terms").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             for i in range(0, iterations, at_once):
-                u = scrambled(name[None, :] ^ steps[i : i + at_once, None]) >> np.uint64(11)
-                draws = np.searchsorted(cdf, u.ravel() * 2.0**-53, "right").reshape(u.shape)
-                total[i : i + at_once] += draws.astype(np.float64) @ terms
+                total[i : i + at_once] += poisson_weights(name, i, min(i + at_once, iterations)).astype(np.float64) @ terms
         cube = total.reshape(iterations, len(models), len(SUMS))
         for m, model in enumerate(models):
             yield pa.RecordBatch.from_arrays(
@@ -354,14 +353,99 @@ def melt_models_weighted(drawn: DataFrame, models: list[str]) -> DataFrame:
     return drawn.select("iteration", "w", "y_true", *models).unpivot(["iteration", "w", "y_true"], models, "model", "y_pred")
 
 
-def bootstrap_rank_samples(aligned: DataFrame, models: list[str], key: str, iterations: int, seed: int = 42) -> DataFrame:
-    """Rank and quantile metrics per (iteration, model): Spearman, p90 and p95 of the absolute error.
+#: Bytes of rows (hash, truth, predictions) that may be handed to every task of a rank bootstrap, and cells of a slice of draws.
+ROWS_BYTES, SLICE_CELLS = 64 << 20, 1 << 21
+
+
+class _Ranked:
+    """Values in order, with ties as one: sums and average ranks of weighted rows for many draws at once."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.order = np.argsort(values, kind="stable")
+        ordered = values[self.order]
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        self.first, self.values = np.flatnonzero(new), ordered[new]
+        self.back = np.empty(len(values), np.int64)
+        self.back[self.order] = np.cumsum(new) - 1
+
+    def upto(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of each distinct value, and of all values up to it; draws x values."""
+        each = np.add.reduceat(w[:, self.order], self.first, axis=1)
+        return each, np.cumsum(each, axis=1)
 
-    Each iteration needs its own order, so rows x iterations are ranked: call it with slices of iterations.
+    def ranks(self, w: np.ndarray) -> np.ndarray:
+        each, upto = self.upto(w)
+        return (upto - each + (each + 1) / 2)[:, self.back]
+
+    def quantile(self, upto: np.ndarray, q: float) -> np.ndarray:
+        """Of each draw, the value at whose copies the position q * (n - 1) lies."""
+        return np.array([self.values[min(np.searchsorted(run, q * (run[-1] - 1), "right"), len(run) - 1)] for run in upto])
+
+
+def _rank_metrics(w: np.ndarray, y: np.ndarray, ry: np.ndarray, prediction: _Ranked, error: _Ranked) -> tuple[np.ndarray, ...]:
+    n, rp = w.sum(axis=1), prediction.ranks(w)
+    sx, sy = (w * ry).sum(axis=1), (w * rp).sum(axis=1)
+    cov = (w * ry * rp).sum(axis=1) - sx * sy / n
+    var = ((w * ry * ry).sum(axis=1) - sx * sx / n) * ((w * rp * rp).sum(axis=1) - sy * sy / n)
+    _, upto = error.upto(w)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(var > 0, cov / np.sqrt(np.maximum(var, 0)), np.nan), error.quantile(upto, 0.9), error.quantile(upto, 0.95)
+
+
+def bootstrap_rank_samples(aligned: DataFrame, models: list[str], key: str, iterations: int = 2000, seed: int = 42, rows_bytes: int = ROWS_BYTES) -> DataFrame:
+    """Rank and quantile metrics per (iteration, model): Spearman, p90 and p95 of the absolute error, for the draws of
+    `bootstrap_samples`.
+
+    Draws are independent, so they are what the tasks share out: if hash, truth and predictions of all rows take at most
+    `rows_bytes`, every task gets them in one broadcast, sorts each column once and ranks slices of draws as weight
+    matrices. A larger table ranks rows x draws by joins instead; call that with slices of iterations.
     """
-    drawn = aligned.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    drawn = drawn.withColumn("w", _draws(key, F.col("iteration"), seed)).where("w > 0")
-    long = melt_models_weighted(drawn.withColumn("y_true", F.col("y_true")), models).withColumn("e", F.abs(F.col("y_pred") - F.col("y_true")))
+    rows = aligned.na.drop(subset=["y_true", *models]).select(F.xxhash64(key, F.lit(seed)).alias("h"), *(F.col(c).cast("double").alias(c) for c in ("y_true", *models)))
+    schema = "iteration int, model string, spearman double, p90_abs_error double, p95_abs_error double"
+    spark, count = aligned.sparkSession, rows.count()
+    if count == 0:
+        return spark.createDataFrame([], schema)
+    if count * 8 * (2 + len(models)) > rows_bytes:
+        return _ranked_by_joins(rows, models, iterations)
+    shared = spark.sparkContext.broadcast({c: v.to_numpy() for c, v in zip(rows.columns, rows.toArrow().columns, strict=True)})
+    at_once = max(1, SLICE_CELLS // count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, known = shared.value, {}
+        y = table["y_true"]
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                if not known:
+                    known = {m: (_Ranked(table[m]), _Ranked(np.abs(table[m] - y))) for m in models}
+                    truth = _Ranked(y)
+                last = min(i + at_once, iterations)
+                w = poisson_weights(table["h"], i, last).astype(float)
+                full = w.sum(axis=1) > 0
+                w, number = w[full], np.arange(i, last, dtype=np.int32)[full]
+                ry = truth.ranks(w)
+                for m, orders in known.items():
+                    yield pa.RecordBatch.from_arrays([pa.array(number), pa.array([m] * len(number)), *(pa.array(v, from_pandas=True) for v in _rank_metrics(w, y, ry, *orders))],
+                                                     names=["iteration", "model", "spearman", "p90_abs_error", "p95_abs_error"])
+
+    slices = -(-iterations // at_once)
+    return spark.range(0, iterations, at_once, min(slices, 4 * max(1, spark.sparkContext.defaultParallelism))).mapInArrow(run, schema)
+
+
+def _ranked_by_joins(rows: DataFrame, models: list[str], iterations: int) -> DataFrame:
+    """The same for tables of any size: each draw's rows are ranked by cumulative counts."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name = batch.column("h").to_numpy(zero_copy_only=False)
+            for i in range(iterations):
+                w = poisson_weights(name, i, i + 1)[0]
+                at = np.flatnonzero(w)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(w[at]), *(batch.column(c).take(pa.array(at)) for c in ("y_true", *models))],
+                                                     names=["iteration", "w", "y_true", *models])
+
+    drawn = rows.mapInArrow(draw, "iteration int, w long, " + ", ".join(f"`{c}` double" for c in ("y_true", *models)))
+    long = melt_models_weighted(drawn, models).withColumn("e", F.abs(F.col("y_pred") - F.col("y_true")))
     by = ["iteration", "model"]
     weight = {"n": F.col("w")}
     rank = F.col("n_before") + (F.col("n") + 1) / 2

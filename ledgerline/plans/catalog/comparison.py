@@ -328,7 +328,7 @@ def _(t):
 
 @query("Q2_bootstrap_rank_metrics")
 def _(t):
-    samples = Q.bootstrap_rank_samples(_aligned(t), ["model_a", "model_b"], "row_id", iterations=10)
+    samples = Q.bootstrap_rank_samples(_aligned(t), MODELS, "row_id")
     return Q.bootstrap_intervals(samples, ["spearman", "p90_abs_error", "p95_abs_error"])
 
 

@@ -124,3 +124,13 @@ def test_drift_by_brute_force(spark):
     pb = np.clip(np.histogram(b, edges)[0] / len(b), 1e-6, None)
     assert got["x"]["ks_stat"] == pytest.approx(ks) and got["x"]["psi"] == pytest.approx(float(((pb - pa) * np.log(pb / pa)).sum()))
     assert got["flat"]["psi"] == 0.0 and got["flat"]["ks_stat"] == 0.0
+
+
+def test_rank_draws_as_matrices_equal_ranks_by_joins(aligned, spark):
+    df = aligned[1]
+    fast = {(r["iteration"], r["model"]): r for r in Q.bootstrap_rank_samples(df, ["a", "b"], "row_id", iterations=20).collect()}
+    slow = {(r["iteration"], r["model"]): r for r in Q.bootstrap_rank_samples(df, ["a", "b"], "row_id", iterations=20, rows_bytes=0).collect()}
+    assert fast.keys() == slow.keys() and len(fast) == 40
+    for k, r in fast.items():
+        assert all(r[c] == pytest.approx(slow[k][c], abs=1e-9) for c in ("spearman", "p90_abs_error", "p95_abs_error"))
+    assert Q.bootstrap_rank_samples(df.where("false"), ["a"], "row_id", iterations=3).collect() == []
