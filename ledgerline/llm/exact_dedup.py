@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from ledgerline.llm.shared import may_hold, new_folder, parted, private, stored, without
 
-#: State on disk, only changes uploaded after a batch, log files without space reserved ahead.
+#: State on disk, only changes uploaded after a batch, log files without space reserved ahead, one bound on the memory of all
+#: stores of an executor.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
 ARRIVAL = "doc_id long, digest string, n_bytes long, source_file string, arrival long"
 

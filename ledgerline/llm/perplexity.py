@@ -28,6 +28,8 @@ from ledgerline.llm.textarrays import U, Prefix, blocks, buffers, mix, words
 ORDER = 5
 #: Entries of one broadcast array: 12 bytes each, so 200 MB at most.
 ARRAY_ENTRIES = 1 << 24
+#: Distinct n-grams that a counting task holds; their sorted copies take several times as much for a moment.
+TASK_GRAMS = 1_000_000
 #: Quartile distances that a band reaches below and above the quartiles, and the least half width in nats.
 REACH, LEAST = 3.0, 0.2
 SYMBOLS = np.zeros(256, bool)
@@ -117,7 +119,7 @@ def count_ngrams(order: int):
                 grams = np.concatenate((grams, chars[spans]))[first]
                 counts = np.bincount(back, np.concatenate((counts, n)), len(every)).astype(np.int64)
                 seen = every
-            if len(seen) > 4_000_000:
+            if len(seen) > TASK_GRAMS:
                 yield _gram_rows(grams, seen, counts)
                 seen, grams, counts = seen[:0], grams[:0], counts[:0]
         if len(seen):
