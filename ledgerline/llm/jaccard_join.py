@@ -212,10 +212,79 @@ def links_in(width: int, percent: int):
     return run
 
 
+def with_node(width: int):
+    """doc_id, node and what else of a text is asked for: the text itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            for i, j, d, o in blocks(data, offsets):
+                names = [node_of(s) for s in shingle_sets(d, o, width)]
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.int64()), part.column("text")], names=["doc_id", "node", "text"])
+
+    return run
+
+
+def folded(s: np.ndarray) -> bytes:
+    """Bitmap of a set, with at least two bits per element and a power of two bits."""
+    return bitmaps([s], max(64, 1 << int(2 * len(s) - 1).bit_length()))[0].tobytes()
+
+
+def with_bitmap(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            for i, j, d, o in blocks(data, offsets):
+                sets = shingle_sets(d, o, width)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, j - i), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([folded(s) for s in sets], pa.binary())], names=["doc_id", "node", "size", "bitmap"])
+
+    return run
+
+
+def _brought(placed: DataFrame, texts: DataFrame, run, schema: str) -> DataFrame:
+    """Rows of `placed` (doc_id, node, ...) with columns made from the text of that node; null ids meet null ids."""
+    made = may_hold(texts, "doc_id", placed).mapInArrow(run, schema).withColumnsRenamed({"doc_id": "_id", "node": "_node"})
+    return placed.join(made, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_node")
+
+
+def hopeful(percent: int):
+    """Sets of a tile that may link with one of another component there, by sizes and bit counts alone."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("node").sort_values("size", kind="stable").reset_index(drop=True)
+        n, of = rows["size"].to_numpy(), rows["component"].to_numpy()
+        stay = np.zeros(len(rows), bool)
+        width = np.array([len(b) // 8 for b in rows["bitmap"]])
+        for words in np.unique(width).tolist():
+            # sets with bitmaps of this size, and larger ones folded to it, as far as linked sets can be larger
+            at = np.flatnonzero((width >= words) & (width <= words * 2 * (100 // percent)))
+            maps = np.stack([_fold(np.frombuffer(rows["bitmap"][k], U), words) for k in at])
+            size, group = n[at], of[at]
+            for i in np.flatnonzero(width[at] == words).tolist():
+                j = np.arange(i + 1, int(np.searchsorted(size, size[i] * 100 // percent, "right")))
+                j = j[group[j] != group[i]]
+                if not size[i] or not len(j):
+                    continue
+                need = -(-percent * (size[i] + size[j]) // (100 + percent))
+                both = np.minimum(size[i] - np.bitwise_count(maps[i] & ~maps[j]).sum(axis=1, dtype=np.int64), size[j] - np.bitwise_count(maps[j] & ~maps[i]).sum(axis=1, dtype=np.int64))
+                j = j[both >= need]
+                if len(j):
+                    stay[at[i]] = stay[at[j]] = True
+        return rows.loc[stay, ["family", "a", "b", "node"]]
+
+    return run
+
+
+def _fold(bitmap: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bitmap.reshape(-1, words), axis=0)
+
+
 def _search(placed: DataFrame, docs: DataFrame, by: list[str], width: int, percent: int) -> DataFrame:
     """Links found in groups `by` of `placed` (doc_id, node, ...), with the texts brought to them."""
-    texts = may_hold(docs.select("doc_id", "text"), "doc_id", placed)
-    rows = placed.join(texts, "doc_id").select(*by, "node", "text")
+    rows = _brought(placed, docs.select("doc_id", "text"), with_node(width), "doc_id long, node long, text string").select(*by, "node", "text")
     return rows.groupBy(*by).applyInPandas(links_in(width, percent), "u long, v long").where("u <> v")
 
 
@@ -248,6 +317,13 @@ def _classes(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     if large.isEmpty():
         return found
     rest = stored(_tiles(large, found, percent), "jaccard-tiles")
+    if rest.isEmpty():
+        return found
+    # a family that only shared passages hold together has many tiles and few links: bitmaps go first, texts only where they may link
+    sketched = _brought(rest, docs.select("doc_id", "text"), with_bitmap(width), "doc_id long, node long, size long, bitmap binary")
+    sketched = sketched.select("family", "a", "b", "node", "component", "size", "bitmap")
+    some = sketched.groupBy("family", "a", "b").applyInPandas(hopeful(percent), "family long, a string, b string, node long")
+    rest = stored(some.join(members.select("node", "doc_id"), "node"), "jaccard-hopeful")
     if rest.isEmpty():
         return found
     more = stored(_search(rest, docs, ["family", "a", "b"], width, percent), "jaccard-links")
@@ -269,12 +345,12 @@ def _tiles(large: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     blocks_ = stored(counts.select(*block, cut.alias("cut")), "jaccard-blocks")
     label = lambda kind, inside, part: F.concat_ws(":", kind, inside.cast("string"), part)
     own = marked.join(blocks_, block).withColumn("own", label(F.col("class"), F.col("inside"), F.pmod(F.xxhash64("node"), F.col("cut"))))
-    near = own.select("family", "node", "doc_id", "inside", "own", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class"))
+    near = own.select("family", "node", "doc_id", "component", "inside", "own", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class"))
     other = blocks_.select("family", "class", F.col("inside").alias("other_inside"), "cut")
     met = near.join(other, ["family", "class"]).where(~(F.col("inside") & F.col("other_inside")))
     met = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
     met = met.withColumn("other", label(F.col("class"), F.col("other_inside"), F.col("part")))
-    return met.select("family", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "doc_id")
+    return met.select("family", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "doc_id", "component")
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -286,8 +362,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nodes = stored(rows.mapInArrow(describe(width), "doc_id long, n_shingles long, node long"), "jaccard-nodes")
-    filled = rows.where("doc_id is not null")
-    classes = _classes(nodes.where("n_shingles > 0"), filled, width, percent)
+    classes = _classes(nodes.where("n_shingles > 0"), rows, width, percent)
     least = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     named = least.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("first").alias("component_id"))

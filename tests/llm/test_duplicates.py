@@ -8,6 +8,7 @@ import numpy as np
 import pyspark.sql.functions as F
 
 from ledgerline.llm import exact_dedup, jaccard_join, suffix_dedup
+from tests.llm.conftest import prose
 from ledgerline.llm.components import components
 
 
@@ -87,6 +88,15 @@ def test_similarity_classes(hostile, nothing):
     assert kept.columns == hostile.columns and kept.where("doc_id in (1, 2, 3)").count() == 0
 
 
+def test_links_through_null_ids_and_ids_with_two_texts(spark):
+    words = prose(7, 200).split()
+    near = [" ".join(w + "x" if k in some else w for k, w in enumerate(words)) for some in ((), (20,), (20, 120), (20, 120, 70))]
+    rows = [(5, near[0]), (None, near[2]), (6, near[3]), (1, prose(8, 90)), (1, prose(9, 90)), (2, prose(9, 90)), (3, prose(8, 90) + " tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = Counter(tuple(r) for r in jaccard_join.jaccard_classes(df, 5, 90).select("doc_id", "component_id").collect())
+    assert got == Counter([(5, 5), (None, 5), (6, 5), (1, 1), (1, 1), (2, 1), (3, 1)])
+
+
 def test_large_families_are_cut_into_blocks(spark, monkeypatch):
     """A chain of near copies and some strays, with blocks of four sets."""
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
