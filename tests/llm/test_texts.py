@@ -190,11 +190,36 @@ def test_targets_and_copies(hostile, nothing):
         taken[r["source"]] += r["taken"]
     largest = max(r["size"] for r in got)
     assert all(abs(taken[s] - want[s]) <= largest / 2 for s in want)
-    again = Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(hostile.repartition(3)).collect())
-    assert sum(again.values()) == len(got)
+    for parts in (1, 3, 12):
+        again = mixing.mix(hostile.repartition(parts)).collect()
+        assert Counter((r["doc_id"], r["size"], r["taken"], r["copies"]) for r in again) == Counter((r["doc_id"], r["size"], r["taken"], r["copies"]) for r in got)
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mix_of_repeated_rows_follows_no_layout(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 4)
+    rng = np.random.default_rng(8)
+    docs = [(int(i), "w " * int(n), s) for i, n, s in zip(rng.integers(0, 40, 400), rng.integers(1, 30, 400), rng.choice(["p", "q"], 400), strict=True)]
+    docs += [(7, "w " * 9, "p")] * 150 + [(None, "w " * int(n), "q") for n in rng.integers(1, 5, 150)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    seen = []
+    for parts in (1, 3, 12):
+        got = mixing.mix(table.repartition(parts)).collect()
+        assert len(got) == len(docs)
+        seen.append(Counter((r["doc_id"], r["source"], r["size"], r["copies"]) for r in got))
+    assert seen[0] == seen[1] == seen[2]
+    for source in ("p", "q"):
+        rows = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= 15 and max(r["copies"] for r in rows) <= 2
+
+
+def test_targets_that_stay_out_of_reach_are_an_error(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 50), "pq"[i % 2]) for i in range(200)], "doc_id long, text string, source string")
+    sizes = docs.select("source", mixing.words_in(F.col("text")).alias("size")).groupBy("source", "size").agg(F.count("*").alias("times"))
+    with pytest.raises(RuntimeError, match="in 1 steps"):
+        mixing.dual_solution(sizes, mixing.source_targets(sizes, 1.5, (3, 1), 2.0), 2.0, steps=1)
+
+
 def test_rates_solve_the_dual(spark):
     rng = np.random.default_rng(5)
     docs = [(i, "w " * int(rng.integers(1, 400)), ["p", "q", "r"][int(i % 7 > 2) + int(i % 7 > 4)]) for i in range(700)]
