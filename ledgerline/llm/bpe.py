@@ -48,6 +48,8 @@ SHORT = ("s", "t", "m", "d", "re", "ve", "ll")
 #: Words of the lexicon stand at least once in so many words of the corpus, so there are at most so many of them.
 LEXICON_SHARE = 1 << 17
 MEMO_WORDS = 300_000
+#: Longest of them.
+MEMO_BYTES = 1024
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -308,6 +310,23 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
+def unlike(data: np.ndarray, start: np.ndarray, end: np.ndarray, start2: np.ndarray, end2: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Numbers of the runs whose bytes differ from those of their partner; about `most` bytes are compared at a time."""
+    size = end - start
+    bad = size != end2 - start2
+    check = np.flatnonzero(~bad & (start != start2))
+    ends = np.cumsum(size[check])
+    i = 0
+    while i < len(check):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        part = check[i:j]
+        n = size[part]
+        differ = data[ragged(start[part], n)] != data[ragged(start2[part], n)]
+        bad[part] = np.add.reduceat(differ.astype(np.int64), np.cumsum(n) - n) > 0
+        i = j
+    return np.flatnonzero(bad)
+
+
 class Encoder:
     """Ids of the words of blocks of texts; remembers words it has met."""
 
@@ -321,22 +340,28 @@ class Encoder:
         end = np.append(start[1:], len(data)) if len(start) else start
         name = Prefix(data).of(start, end)
         names, at, back = np.unique(name, return_index=True, return_inverse=True)
+        other = unlike(data, start, end, start[at][back], end[at][back])
         fixed = {int(s): int(k) for s, k in zip(edges, kind, strict=True) if k >= 0}
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        known = [self.memo.get(x) for x in names.tolist()]
+        raw = data.tobytes()
+        keys = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        known = [self.memo.get(x) for x in keys]
         new = np.array([i for i, x in enumerate(known) if x is None], np.int64)
         if len(new):
             s, e = start[at[new]], end[at[new]]
             number = self.lexicon.find(data, s, e) if self.lexicon else np.full(len(new), -1)
             unseen = np.flatnonzero(number < 0)
-            raw = data.tobytes()
-            merged = self.vocab.merge([raw[s[i] : e[i]] for i in unseen.tolist()])
+            merged = self.vocab.merge([keys[new[i]] for i in unseen.tolist()])
             for i in np.flatnonzero(number >= 0).tolist():
                 known[new[i]] = self.lexicon.ids_of(int(number[i]))
             for i, x in zip(unseen.tolist(), merged, strict=True):
                 known[new[i]] = x
-            self.memo.update((int(names[i]), known[i]) for i in new.tolist())
+            self.memo.update((keys[i], known[i]) for i in new.tolist() if len(keys[i]) <= MEMO_BYTES)
+        if len(other):  # words that share a hash with another word of the block
+            for i, ids in zip(other.tolist(), self.vocab.merge([raw[start[i] : end[i]] for i in other.tolist()]), strict=True):
+                known.append(ids)
+                back[i] = len(known) - 1
         if fixed:
             place = np.searchsorted(start, np.array(sorted(fixed), np.int64))
             for p, s in zip(place.tolist(), sorted(fixed), strict=True):

@@ -256,7 +256,7 @@ def _context_rows(parts: list[tuple], shards: int, length: int) -> pa.RecordBatc
 
 
 def resolve(length: int, k: int, buckets: int):
-    """One shard of contexts: the suffixes at each offset sorted, all but the smallest document's removed."""
+    """One shard of contexts: the windows at each offset grouped by hash, all but those of the smallest document removed."""
     span = length - k + 1
     width = span - 1 + length
 

@@ -188,3 +188,11 @@ def test_passages_repeated_inside_documents_of_other_tasks(spark):
     want = stripped([(i, t.encode()) for i, t in docs], 50)
     for part in (apart, split):
         assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(part, with_text=False).collect()) == want
+
+
+def test_words_with_equal_polynomials_make_other_sets(spark):
+    word = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, f"{word} {word} {word}"), (2, f"{other} {other} {other}"), (3, f"{word} {word} {word}")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_classes(df).select("doc_id", "component_id").collect())
+    assert got == [(1, 1), (2, 2), (3, 1)]

@@ -11,7 +11,7 @@ import pyspark.sql.functions as F
 import pytest
 
 from ledgerline.llm import bpe, line_blocks, mixing, perplexity
-from ledgerline.llm.textarrays import buffers
+from ledgerline.llm.textarrays import Prefix, buffers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -269,3 +269,43 @@ def test_pages(spark, small):
     odd = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "x"), (2, "u", "<p>" * 5000 + "deep", "x")], "page_id long, url string, html string, text string")
     assert Counter((r["page_id"], r["text"]) for r in line_blocks.extract(odd).collect()) == Counter([(1, ""), (2, ""), (2, "deep")])
     assert line_blocks.extract(odd.limit(0)).count() == 0
+
+
+def twins(n: int) -> tuple[str, str]:
+    """Two words of 2**n letters that one polynomial modulo 2**64 cannot tell apart, whatever its base."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1 << n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_with_equal_polynomials_stay_apart(library):
+    vocab = bpe.vocabulary(bpe.vocabulary_path())
+    for n in (10, 11, 12):
+        left, right = twins(n)
+        data, offsets = buffers(pa.array([left, right, left + right, right + left]))
+        whole = Prefix(data)
+        names = whole.of(offsets[:-1], offsets[1:])
+        assert len(set(names.tolist())) == 4
+        ids, at = bpe.Encoder(vocab, None).encode(data, offsets)
+        for i, text in enumerate((left, right, left + right, right + left)):
+            assert ids[at[i] : at[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+    data, offsets = buffers(pa.array(["x" + twins(11)[0] + "y" + twins(11)[0]]))
+    whole = Prefix(data)
+    a, b = whole.of(np.array([1, 2 + 2048]), np.array([2049, 2 + 4096]))
+    assert a == b
+
+
+def test_encoder_trusts_no_hash(library, monkeypatch):
+    vocab = bpe.vocabulary(bpe.vocabulary_path())
+    monkeypatch.setattr(bpe.Prefix, "of", lambda self, start, end: np.asarray(start % 3, np.uint64))
+    encoder = bpe.Encoder(vocab, None)
+    for texts in (ODD, ["some other words here", "words here, other", *ODD[::-1]]):
+        data, offsets = buffers(pa.array(texts))
+        ids, at = encoder.encode(data, offsets)
+        for i, text in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_runs_that_differ():
+    data = np.frombuffer(b"abcabdabcab", np.uint8)
+    start, end = np.array([0, 3, 6, 9]), np.array([3, 6, 9, 11])
+    assert bpe.unlike(data, start, end, np.zeros(4, int), np.full(4, 3), most=2).tolist() == [1, 3]
