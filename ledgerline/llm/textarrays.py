@@ -129,9 +129,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     data = LOWER[data]
     start, end, first = words(data, offsets)
     word = Prefix(data).of(start, end)
-    run = np.zeros(max(0, len(word) - width + 1), U)
+    full = max(0, len(word) - width + 1)
+    run = np.zeros(full, U)
     for k in range(width):
-        run += mix(word[k : len(word) - width + 1 + k] + _place(k))
+        run += mix(word[k : k + full] + _place(k))
     run = mix(run + U(width))
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):

@@ -196,3 +196,11 @@ def test_words_with_equal_polynomials_make_other_sets(spark):
     df = spark.createDataFrame([(1, f"{word} {word} {word}"), (2, f"{other} {other} {other}"), (3, f"{word} {word} {word}")], "doc_id long, text string")
     got = sorted(tuple(r) for r in jaccard_join.jaccard_classes(df).select("doc_id", "component_id").collect())
     assert got == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_tables_of_a_few_short_texts(spark):
+    for texts in (["one"], ["one two", "one two"], ["", "a"], ["a b", "b"]):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        for width in (3, 5):
+            got = Counter(tuple(r) for r in jaccard_join.jaccard_classes(df, width).select("doc_id", "n_shingles", "component_id").collect())
+            assert got == classes(rows(df), width, 90)
