@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
-from ledgerline.operators.ordering import quantiles, with_cdf
+from ledgerline.operators.ordering import cumulative_counts, quantiles, with_cdf
 from ledgerline.operators.shapley import sampled_shapley, tree_attributions  # noqa: F401  (part of this interface)
 
 
@@ -107,6 +107,41 @@ def error_histogram(df: DataFrame, error: str, bins: int = 40, cap: float = 0.99
     return capped.groupBy(F.coalesce(number, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("n_rows"))
 
 
+def equal_count_edges(df: DataFrame, value: str, bins: int, by: list[str]) -> DataFrame:
+    """Per group the inner edges of bins of equal counts, as one array; edge i is the smallest value that at least i
+    of `bins` parts of the rows do not exceed. Equal values share a bin, so a frequent value can leave bins empty."""
+    reached = (F.col("n_before") + F.col("n")) * bins
+    edges = F.array(*[F.min(F.when(reached >= F.col("n_total") * i, F.col(value))) for i in range(1, bins)])
+    return cumulative_counts(df, value, by).groupBy(*by).agg(edges.alias(f"_edges_{value}"))
+
+
+def _with_bin(df: DataFrame, value: str, bins: int, by: list[str], name: str) -> DataFrame:
+    """The bin of every row; the edges (one row per group of `by`) go to all tasks, the rows stay where they are."""
+    edges = equal_count_edges(df, value, bins, by)
+    edges = edges.select(*[F.col(b).alias(f"_e_{b}") for b in by], f"_edges_{value}")
+    match = F.lit(True)
+    for b in by:
+        match = match & F.col(b).eqNullSafe(F.col(f"_e_{b}"))
+    below = F.size(F.filter(f"_edges_{value}", lambda edge: edge < F.col(value)))
+    return df.join(F.broadcast(edges), match).withColumn(name, below).drop(f"_edges_{value}", *[f"_e_{b}" for b in by])
+
+
+def actual_vs_predicted(df: DataFrame, by: list[str], bins: int = 20, inner: int = 10, actual: str = "y_true",
+                        predicted: str = "y_pred") -> DataFrame:
+    """The actual-versus-predicted plot as a table whose size does not follow the rows.
+
+    Bins of equal counts over the actual value, inside each of them bins of equal counts over the prediction. Every row
+    with both values is counted in one cell; `rows_over` tells how many of a cell lie above the diagonal. `by` names
+    groups that are few by meaning (models), so the edges are at most `bins` small rows per group.
+    """
+    pairs = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull()).select(*by, actual, predicted)
+    first = _with_bin(pairs, actual, bins, by, "actual_bin")
+    cells = _with_bin(first, predicted, inner, [*by, "actual_bin"], "predicted_bin")
+    ends = [f(c).alias(f"{n}_{c}") for c in (actual, predicted) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))]
+    over = F.sum((F.col(predicted) > F.col(actual)).cast("long")).alias("rows_over")
+    return cells.groupBy(*by, "actual_bin", "predicted_bin").agg(F.count("*").alias("n_rows"), *ends, over)
+
+
 def error_cdf(df: DataFrame, error: str, by: list[str] | None = None, cut: float = 0.995) -> DataFrame:
     """Distribution of the error per model, cut at the largest of the models' `cut` quantiles."""
     top = quantiles(df, error, {"q": cut}, by).agg(F.max("q")).scalar()

@@ -102,9 +102,14 @@ def without(df: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def first_tickers(df: DataFrame, n: int, key: str = "ticker") -> DataFrame:
-    """Rows of the first `n` tickers in sort order."""
+    """Rows of the first `n` tickers in sort order; Spark knows the limit and broadcasts the list only if it is small."""
     wanted = df.select(key).distinct().orderBy(key).limit(n)
-    return df.join(F.broadcast(wanted), key, "left_semi")
+    return df.join(wanted, key, "left_semi")
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """The `n` rows whose seeded digest of the key is smallest: the same rows on any cluster and in any layout."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -208,6 +208,19 @@ def news_coverage(df: DataFrame, scores: str = "news_sentiment_score", texts: st
     )
 
 
+def ingest_metadata(incoming: DataFrame, written: DataFrame, start: str, end: str) -> DataFrame:
+    """Per directory ticker: articles seen, skipped as out of range or without a readable date, and newly stored.
+
+    Both inputs fold map-side to one row per ticker. A ticker whose articles were all seen before has 0 new ones.
+    """
+    day = S.parse_date("published_utc")
+    inside = F.coalesce(day.between(F.lit(start).cast("date"), F.lit(end).cast("date")), F.lit(False))
+    seen = incoming.groupBy("dir_ticker").agg(F.count("*").alias("seen_total"), F.count_if(~inside).alias("out_of_range_skipped"))
+    stored = written.groupBy(F.col("dir_ticker").alias("_ticker")).agg(F.count("*").alias("new_items_written"))
+    out = seen.join(stored, F.col("dir_ticker").eqNullSafe(F.col("_ticker")), "left").drop("_ticker")
+    return out.withColumns({"new_items_written": F.coalesce("new_items_written", F.lit(0)), "since": F.lit(start), "until": F.lit(end)})
+
+
 def new_articles(incoming: DataFrame, stored_keys: DataFrame, start: str, end: str, cap: int | None = None) -> DataFrame:
     """Incremental ingest: in range, not stored yet, first arrival per key.
 

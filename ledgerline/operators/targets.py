@@ -118,9 +118,14 @@ def future_drawdowns(obs: DataFrame, bars: DataFrame, horizon_days: int = HORIZO
 
 
 def drawdown_labels(obs: DataFrame, bars: DataFrame, horizon_days: int = HORIZON_DAYS, buffer_days: int = BUFFER_DAYS,
-                    min_bars: int = MIN_FUTURE_BARS) -> DataFrame:
-    """Labels with status and issue codes for every observation."""
-    reach = bars.groupBy("ticker").agg(F.max("date").alias("_last_bar"))
+                    min_bars: int = MIN_FUTURE_BARS, reach: DataFrame | None = None) -> DataFrame:
+    """Labels with status and issue codes for every observation.
+
+    `reach` (ticker, last_bar) is needed where `bars` were pruned by date; without it the bars tell their own reach.
+    """
+    if reach is None:
+        reach = bars.groupBy("ticker").agg(F.max("date").alias("last_bar"))
+    reach = reach.select("ticker", F.col("last_bar").alias("_last_bar"))
     labelled = (
         obs.join(future_drawdowns(obs, bars, horizon_days), ["ticker", "period_end"], "left")
         .join(reach, "ticker", "left")

@@ -9,6 +9,7 @@ from ledgerline.operators import joins as J
 from ledgerline.operators import metrics as M
 from ledgerline.operators import ordering as G
 from ledgerline.operators import significance as Q
+from ledgerline.operators.cleaning import seeded_sample
 from ledgerline.plans.catalog import query
 from ledgerline.plans.catalog.ctes import with_parts
 from ledgerline.plans.catalog.shared import R, Rs, d, r, rounded
@@ -429,11 +430,9 @@ def _(t):
 
 # --- samples and batch twins of streams ------------------------------------------------------------------------------
 
-@query("G5_seeded_sample", "SELECT least(500, count(*)) AS rows, count(*) AS total FROM orders")
+@query("G5_seeded_sample", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 500")
 def _(t):
-    o = t.read("orders")
-    sample = o.orderBy(F.xxhash64("o_orderkey", F.lit(42))).limit(500)
-    return sample.agg(F.count("*").alias("rows")).withColumn("total", o.agg(F.count("*")).scalar())
+    return seeded_sample(t.read("orders"), "o_orderkey", 500, 42).select("o_orderkey", "o_totalprice")
 
 
 @query("T3_day_bars", f"SELECT event_type, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, (max({{'t': ts, 'e': event_id, 'v': value}})).v AS close, max(value) AS high, min(value) AS low, {R('sum(value)', 2, 'volume')}, count(*) AS transactions FROM events GROUP BY 1, 2")

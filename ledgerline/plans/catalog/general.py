@@ -12,6 +12,7 @@ from ledgerline.operators.prep import feature_profile
 from ledgerline.plans.catalog import query
 from ledgerline.plans.catalog.ctes import with_parts
 from ledgerline.plans.catalog.shared import D, R, Rs, d, r, rounded
+from ledgerline.sources.bar_table import needed_months
 from ledgerline.sources.files import ticker_list
 from ledgerline.sources.sinks import head_export
 
@@ -241,6 +242,11 @@ def _(t):
     return rounded(X.coverage_window(t.observations))
 
 
+@query("E2_needed_months", with_parts("obs", "SELECT DISTINCT strftime(m, '%Y-%m') AS bar_month FROM (SELECT unnest(generate_series(date_trunc('month', period_end - 190), CAST(period_end + 372 AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM obs)"))
+def _(t):
+    return needed_months(t.observations, 190, 372)
+
+
 _COVER = ["goodwill", "debt_current", "inventories", "cash_and_equivalents", "total_assets"]
 
 

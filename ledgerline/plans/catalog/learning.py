@@ -537,3 +537,24 @@ def _(t):
 def _(t):
     long = M.melt_models(t.predictions, FEATURES, ["row_id"]).withColumn("e", F.abs(F.col("y_pred") - F.col("y_true")))
     return rounded(A.error_cdf(long, "e", ["model"]))
+
+
+# Bin of a value: how many edges lie below it; edge i is the smallest value that i parts of the rows do not exceed.
+def _bin_sql(source: str, value: str, by: str, bins: int, name: str) -> str:
+    return f"""SELECT r.*, (SELECT count(*) FROM (SELECT {by}, i, min(v) AS edge FROM (SELECT {by}, {value} AS v, sum(count(*)) OVER (PARTITION BY {by} ORDER BY {value}) AS c,
+        sum(count(*)) OVER (PARTITION BY {by}) AS total FROM {source} GROUP BY {by}, {value}), range(1, {bins}) g(i) WHERE c * {bins} >= i * total GROUP BY {by}, i) e
+        WHERE {' AND '.join(f'e.{b.strip()} = r.{b.strip()}' for b in by.split(','))} AND e.edge < r.{value}) AS {name} FROM {source} r"""
+
+
+_CELLS = {
+    "first_axis": _bin_sql("plong", "y_true", "model", 20, "actual_bin"),
+    "cells": _bin_sql("first_axis", "y_pred", "model, actual_bin", 10, "predicted_bin"),
+}
+
+
+@query("S9_actual_vs_predicted", with_parts("plong", f"""SELECT model, actual_bin, predicted_bin, count(*) AS n_rows, {R('min(y_true)', 6, 'min_y_true')}, {R('max(y_true)', 6, 'max_y_true')}, {R('avg(y_true)', 9, 'mean_y_true')},
+    {R('min(y_pred)', 6, 'min_y_pred')}, {R('max(y_pred)', 6, 'max_y_pred')}, {R('avg(y_pred)', 9, 'mean_y_pred')}, CAST(count(*) FILTER (y_pred > y_true) AS BIGINT) AS rows_over FROM cells GROUP BY 1, 2, 3""", _CELLS))
+def _(t):
+    out = A.actual_vs_predicted(M.melt_models(t.predictions, FEATURES, ["row_id"]), ["model"])
+    ends = [f"{n}_{c}" for n in ("min", "max") for c in ("y_true", "y_pred")]
+    return rounded(out.withColumns({c: F.round(c, 6) for c in ends}), 9)

@@ -13,7 +13,7 @@ from ledgerline.plans.catalog.ctes import with_parts
 from ledgerline.plans.catalog.shared import R, rounded
 from ledgerline.sources.sinks import csv_ready
 from ledgerline.sources.tables import DEMO_NEGATIVE, DEMO_POSITIVE
-from ledgerline.streaming.feeds import distinct_articles
+from ledgerline.streaming.feeds import first_articles
 
 _KEY = "coalesce(nullif(id, ''), sha256(coalesce(article_url, '') || '|' || coalesce(published_utc, '') || '|' || coalesce(title, '')))"
 _MATCH = "(len(tickers) = 0 OR list_contains(list_transform(tickers, lambda x: upper(trim(x))), dir_ticker))"
@@ -217,17 +217,29 @@ def _(t):
     return t.read("orders").select("o_orderkey", L.joined_codes(codes, ";").alias("codes"), L.leading_status(codes).alias("status"))
 
 
-@query("M8_incremental_ingest", with_parts("articles", """SELECT arrival FROM keyed k WHERE try_cast(substr(published_utc, 1, 10) AS DATE) BETWEEN DATE '1997-01-01' AND DATE '2001-12-31'
+_KEYED = {"keyed": f"SELECT *, {_KEY} AS nk FROM articles"}
+_INGESTED = """SELECT * FROM keyed k WHERE try_cast(substr(published_utc, 1, 10) AS DATE) BETWEEN DATE '1997-01-01' AND DATE '2001-12-31'
     AND NOT EXISTS (SELECT 1 FROM keyed s WHERE s.title LIKE 'A%' AND s.dir_ticker = k.dir_ticker AND s.nk = k.nk)
-    QUALIFY row_number() OVER (PARTITION BY dir_ticker, nk ORDER BY arrival) = 1""", {"keyed": f"SELECT *, {_KEY} AS nk FROM articles"}))
-def _(t):
+    QUALIFY row_number() OVER (PARTITION BY dir_ticker, nk ORDER BY arrival) = 1"""
+
+
+def _ingested(t):
     a = t.articles
     stored = a.where(F.col("title").startswith("A")).select("dir_ticker", S.news_key("id", "article_url", "published_utc", "title").alias("news_key")).distinct()
-    return N.new_articles(a, stored, "1997-01-01", "2001-12-31").select("arrival")
+    return N.new_articles(a, stored, "1997-01-01", "2001-12-31")
 
 
+@query("M8_incremental_ingest", with_parts("articles", f"SELECT arrival FROM ({_INGESTED})", _KEYED))
+def _(t):
+    return _ingested(t).select("arrival")
+
+
+@query("M8_ingest_metadata", with_parts("articles", """SELECT a.dir_ticker, count(*) AS seen_total, count(*) FILTER (coalesce(try_cast(substr(published_utc, 1, 10) AS DATE) NOT BETWEEN DATE '1997-01-01' AND DATE '2001-12-31', true)) AS out_of_range_skipped,
+    (SELECT count(*) FROM ingested i WHERE i.dir_ticker = a.dir_ticker) AS new_items_written, '1997-01-01' AS since, '2001-12-31' AS until FROM articles a GROUP BY a.dir_ticker""", {**_KEYED, "ingested": _INGESTED}))
+def _(t):
+    return N.ingest_metadata(t.articles, _ingested(t), "1997-01-01", "2001-12-31")
 
 
 @query("T2_article_feed", with_parts("articles", f"SELECT arrival, dir_ticker, {_KEY} AS news_key FROM articles QUALIFY row_number() OVER (PARTITION BY dir_ticker, {_KEY} ORDER BY arrival) = 1"))
 def _(t):
-    return distinct_articles(t.articles).select("arrival", "dir_ticker", "news_key")
+    return first_articles(t.articles).select("arrival", "dir_ticker", "news_key")

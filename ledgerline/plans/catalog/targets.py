@@ -71,6 +71,21 @@ def _(t):
     return L.risk_row_audit(P.labelled_dataset(t.observations, t.bars))
 
 
+@query("E7_market_merge_summary", with_parts("obs_feats bars", f"""SELECT count(*) AS rows, count(DISTINCT ticker) AS unique_tickers, {D('min(period_end)', 'min_period_end')}, {D('max(period_end)', 'max_period_end')},
+    {D('(SELECT min(date) FROM bars)', 'min_trade_date')}, {D('(SELECT max(date) FROM bars)', 'max_trade_date')}, {', '.join(f'count({c}) AS {c}_non_null' for c in ['anchor_trade_date', *FEATURE_SQL])} FROM obs_feats"""))
+def _(t):
+    return rounded(P.market_merge_summary(P.market_dataset(t.observations, t.bars), t.bars))
+
+
+@query("E7_risk_summary", with_parts("labelled risk", f"""SELECT (SELECT count(*) FROM labelled) AS rows_input, (SELECT count(*) FROM labelled WHERE lower(timeframe) = 'annual') AS rows_after_timeframe_filter,
+    (SELECT count(*) FROM labelled WHERE lower(timeframe) = 'annual' AND future_1y_max_drawdown IS NOT NULL) AS rows_after_non_null_target, count(*) AS rows_risk_dataset,
+    (SELECT count(DISTINCT ticker) FROM labelled) AS tickers_input, count(DISTINCT ticker) AS tickers_risk_dataset, {D('min(period_end)', 'min_period_end')}, {D('max(period_end)', 'max_period_end')},
+    CAST(min(fiscal_year) AS BIGINT) AS min_fiscal_year, CAST(max(fiscal_year) AS BIGINT) AS max_fiscal_year, {R('min(drawdown_severity)', 6, 'severity_min')}, {R('max(drawdown_severity)', 6, 'severity_max')},
+    {R('avg(drawdown_severity)', 6, 'severity_mean')} FROM risk"""))
+def _(t):
+    return rounded(P.risk_summary(P.labelled_dataset(t.observations, t.bars)))
+
+
 @query("B19_ordered_columns", with_parts("risk", f"SELECT ticker, {D('period_end')}, {Rs(FEATURE_SQL, 5)} FROM risk"))
 def _(t):
     out = L.ordered_risk_columns(L.risk_rows(P.labelled_dataset(t.observations, t.bars)))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline.functions import scalars as S
-from ledgerline.operators.cleaning import keep_first, keep_latest
+from ledgerline.operators.cleaning import keep_latest
 from ledgerline.operators.news import attach_audit
 from ledgerline.session import truncate_lineage
 from ledgerline.sources.files import DAILY_NAMES, FILE_COLUMNS, daily_bars
@@ -41,29 +42,55 @@ def upsert_bars(table: str):
     return run
 
 
-def append_new_articles(table: str):
-    """foreachBatch sink: articles whose (directory ticker, stable key) is not stored yet, however old they are.
+# Keyed state on the executors' disks, of which a batch uploads only its changes; one memory bound for all stores of an executor.
+DISK_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+}
 
-    There is no watermark, so a backfill is never late; the keys that were ever stored decide. Rows without a readable
-    time count like all others. The batch id names the partition, so a replay overwrites itself.
+
+def first_articles(articles: DataFrame) -> DataFrame:
+    """The first arrival of each (directory ticker, stable key); the same code serves a stream and a table.
+
+    A stream keeps one entry per key without a watermark, so a backfill is never late, and emits a key only in the batch
+    where it appears first: there its earliest and latest batch time agree. The work of a batch follows its rows, not
+    what is stored. Batch times come from the checkpoint, so a repeated batch emits the same rows. Rows without a
+    readable time count like all others, a missing ticker is a ticker of its own.
     """
+    keyed = articles.withColumn("news_key", S.news_key("id", "article_url", "published_utc", "title"))
+    rest = ["arrival", *[c for c in keyed.columns if c not in ("dir_ticker", "news_key", "arrival")]]
+    entries = keyed.withColumn("_now", F.current_timestamp()).groupBy("dir_ticker", "news_key").agg(
+        F.min(F.struct(*rest)).alias("_first"),
+        F.min("_now").alias("_appeared"), F.max("_now").alias("_last"),
+    )
+    fresh = entries.where(F.col("_appeared") == F.col("_last"))
+    return fresh.select(*[F.col(c) if c in ("dir_ticker", "news_key") else F.col(f"_first.{c}").alias(c) for c in keyed.columns])
+
+
+def write_batches(table: str):
+    """foreachBatch sink: the batch id names the partition, so a replay overwrites itself."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = distinct_articles(batch)
-        if exists(spark, table):
-            known = spark.read.parquet(table).where(F.col("batch") != batch_id).select("dir_ticker", "news_key").distinct()
-            known = known.select(F.col("dir_ticker").alias("_ticker"), F.col("news_key").alias("_key"))
-            fresh = fresh.join(known, F.col("dir_ticker").eqNullSafe(F.col("_ticker")) & (F.col("news_key") == F.col("_key")), "left_anti")
-        fresh.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+        stamped = batch.withColumn("batch", F.lit(batch_id))
+        stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
 
     return run
 
 
-def distinct_articles(articles: DataFrame) -> DataFrame:
-    """The first arrival of each (directory ticker, stable key)."""
-    keyed = articles.withColumn("news_key", S.news_key("id", "article_url", "published_utc", "title"))
-    return keep_first(keyed, ["dir_ticker", "news_key"], ["arrival"])
+def ingest_articles(articles: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Start the feed: articles never seen under this checkpoint, however old, are added to `table`; all that has
+    arrived is worked off, then the query ends. The checkpoint and the table belong together."""
+    spark = articles.sparkSession
+    before = {key: spark.conf.get(key, None) for key in DISK_STATE}
+    for key, value in DISK_STATE.items():
+        spark.conf.set(key, value)
+    try:  # a query copies the session's settings when it starts
+        writer = first_articles(articles).writeStream.outputMode("update").trigger(availableNow=True)
+        return writer.foreachBatch(write_batches(table)).option("checkpointLocation", checkpoint).start()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def exists(spark: SparkSession, folder: str) -> bool:
@@ -93,8 +120,9 @@ def day_bars(events: DataFrame, lateness: str | None, key: str = "event_type") -
 def count_outcomes(companies: DataFrame, table: str):
     """foreachBatch sink: article outcomes per batch; the batch id names the partition, so a replay overwrites itself."""
 
+    write = write_batches(table)
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        counts = attach_audit(batch, companies).withColumn("batch", F.lit(batch_id))
-        counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+        write(attach_audit(batch, companies), batch_id)
 
     return run

@@ -129,7 +129,7 @@ def test_article_stream_drops_repeats_and_counts(spark, root):
     table, state = str(root / "articles"), str(root / "articles-state")
 
     def ingest():
-        drain(stream.writeStream.foreachBatch(feeds.append_new_articles(table)).option("checkpointLocation", state).start())
+        feeds.ingest_articles(stream, table, state).awaitTermination()
 
     ingest()
     assert sorted(r["id"] for r in spark.read.parquet(table).collect()) == ["n1", "n2", "n3"]
@@ -152,3 +152,24 @@ def test_day_bar_stream_equals_its_batch_twin(spark, root, small):
     drain(feeds.day_bars(stream, "1 day").writeStream.format("memory").queryName("day_bars_out").outputMode("complete").start())
     key = lambda df: {tuple(r) for r in df.select("event_type", "date", "close", "high", "low", F.round("volume", 6), "transactions").collect()}
     assert key(spark.table("day_bars_out")) == key(feeds.day_bars(events, None))
+
+
+def test_article_batches_follow_the_batch(spark, root):
+    """A key comes out once, in its first batch and as its first arrival; stored batches are not read again."""
+    schema = "dir_ticker string, arrival long, id string, article_url string, published_utc string, title string, description string, tickers array<string>"
+    table, state = str(root / "feed-table"), str(root / "feed-state")
+
+    def arrive(rows):
+        rows = [(t, i, k, "u", None, title, None, None) for t, i, k, title in rows]
+        spark.createDataFrame(rows, schema).repartition(1).write.mode("append").parquet(str(root / "feed"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(root / "feed"))
+        feeds.ingest_articles(stream, table, state).awaitTermination()
+        return sorted((str(r["dir_ticker"]), r["id"], r["title"]) for r in spark.read.parquet(table).collect())
+
+    first = [("A", "x", "one"), ("None", "x", "none")]
+    assert arrive([("A", 2, "x", "two"), ("A", 1, "x", "one"), (None, 3, "x", "none"), ("A", 1, "x", "one")]) == first
+    assert arrive([("A", 0, "x", "earlier arrival number, later batch"), (None, 4, "x", "again")]) == first
+    assert arrive([("B", 9, "x", "new"), ("A", 10, "x", "again")]) == [*first[:1], ("B", "x", "new"), first[1]]
+    assert arrive([("B", 11, "x", "again")]) == [*first[:1], ("B", "x", "new"), first[1]]
+    progress = feeds.first_articles(spark.read.schema(schema).parquet(str(root / "feed")))
+    assert sorted((str(r["dir_ticker"]), r["title"]) for r in progress.collect()) == [("A", "earlier arrival number, later batch"), ("B", "new"), ("None", "none")]

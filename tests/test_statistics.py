@@ -134,3 +134,21 @@ def test_rank_draws_as_matrices_equal_ranks_by_joins(aligned, spark):
     for k, r in fast.items():
         assert all(r[c] == pytest.approx(slow[k][c], abs=1e-9) for c in ("spearman", "p90_abs_error", "p95_abs_error"))
     assert Q.bootstrap_rank_samples(df.where("false"), ["a"], "row_id", iterations=3).collect() == []
+
+
+def test_actual_versus_predicted_counts_every_row_once(spark):
+    from ledgerline.operators.attribution import actual_vs_predicted
+
+    rows = [("m", float(i % 37), float((i * 7) % 11)) for i in range(500)] + [("m", 5.0, 5.0)] * 250 + [(None, 1.0, 2.0), ("m", None, 1.0), ("m", 1.0, None), ("one", 3.0, 2.0)]
+    df = spark.createDataFrame(rows, "model string, y_true double, y_pred double").repartition(5)
+    got = actual_vs_predicted(df, ["model"], 10, 4).collect()
+    assert sum(r["n_rows"] for r in got) == 752
+    assert sum(r["rows_over"] for r in got) == sum(1 for _, a, b in rows if a is not None and b is not None and b > a)
+    by_bin = {}
+    for r in (r for r in got if r["model"] == "m"):
+        low, high, n = by_bin.get(r["actual_bin"], (r["min_y_true"], r["max_y_true"], 0))
+        by_bin[r["actual_bin"]] = (min(low, r["min_y_true"]), max(high, r["max_y_true"]), n + r["n_rows"])
+    spans = [by_bin[b] for b in sorted(by_bin)]
+    assert all(left[1] < right[0] for left, right in zip(spans, spans[1:]))  # bins follow each other, ties in one
+    assert max(n for _, _, n in spans) < 250 + 2 * 75 and len(spans) >= 5
+    assert actual_vs_predicted(df.where("false"), ["model"]).count() == 0
