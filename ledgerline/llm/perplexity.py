@@ -3,8 +3,10 @@
 The model is a modified Kneser-Ney model of character n-grams (order 5 by default: it needs no word list of a language, and
 its table grows far slower than the corpus). Spark counts the n-grams of all texts, and every later step is a join or an
 aggregation over the table of distinct n-grams: continuation counts of the lower orders, discounts from counts of counts,
-back-off weights, interpolated probabilities. As all scored n-grams were counted, a score needs one lookup for each
-character. N-grams of two and more characters that stand once are pruned (their mass goes to the shorter one), so
+back-off weights, interpolated probabilities. Texts with few symbols for their words count as examples of the language;
+n-grams of the other texts only are in the table with a count of 0 and get the probability of their back-off, or junk that
+fills a tenth of a corpus would vouch for itself. So all scored n-grams have an entry, and a score needs one lookup for
+each character. N-grams of two and more characters that stand once are pruned (their mass goes to the shorter one), so
 a text that is like no other is not held likely for having been counted. The table becomes sorted arrays of hashes and log probabilities; arrays above a stated size are cut by hash
 range, and each range scores the texts on its own, because log probabilities add up.
 
@@ -32,6 +34,8 @@ ARRAY_ENTRIES = 1 << 24
 TASK_GRAMS = 1_000_000
 #: Quartile distances that a band reaches below and above the quartiles, and the least half width in nats.
 REACH, LEAST = 3.0, 0.2
+#: Symbols per word up to which a text is an example for the model.
+EXAMPLE_SYMBOLS = 0.1
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 #: Stands before the first character of a text, `order - 1` times.
@@ -106,14 +110,26 @@ def characters(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.nd
     return out, h, place, kept
 
 
-def count_ngrams(order: int):
+def examples(data: np.ndarray, offsets: np.ndarray, most: float) -> np.ndarray:
+    """Whether each document has at most `most` symbols per word."""
+    blank = ((data >= 9) & (data <= 13)) | (data == 32)
+    first = ~blank
+    first[1:] &= blank[:-1]
+    begins = offsets[:-1][offsets[:-1] < offsets[1:]]
+    first[begins] = ~blank[begins]
+    return _per_document(SYMBOLS[data], offsets) <= most * _per_document(first, offsets)
+
+
+def count_ngrams(order: int, most: float = EXAMPLE_SYMBOLS):
+    """Every n-gram of the texts with its count in the example texts, which may be 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, grams, counts = np.zeros(0, U), np.zeros((0, order), np.uint32), np.zeros(0, np.int64)
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for _, _, d, o in blocks(data, offsets):
-                chars, h, place, _ = characters(d, o, order)
-                names, at, n = np.unique(h[place], return_index=True, return_counts=True)
+                chars, h, place, kept = characters(d, o, order)
+                names, at, which = np.unique(h[place], return_index=True, return_inverse=True)
+                n = np.bincount(which, np.repeat(examples(d, o, most), np.diff(kept)), len(names))
                 spans = place[at][:, None] + np.arange(1 - order, 1)
                 every, first, back = np.unique(np.concatenate((seen, names)), return_index=True, return_inverse=True)
                 grams = np.concatenate((grams, chars[spans]))[first]
@@ -137,33 +153,37 @@ def _gram_rows(grams: np.ndarray, names: np.ndarray, counts: np.ndarray) -> pa.R
 
 def _discounts(table: DataFrame) -> list[float]:
     """Discounts of counts 1, 2 and above, from the numbers of n-grams with counts 1 to 4."""
-    found = {r["n"]: r["k"] for r in table.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
+    found = {r["n"]: r["k"] for r in table.where("n BETWEEN 1 AND 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
     n1, n2, n3, n4 = (found.get(i, 0) for i in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
     return [min(max(d, 0.05), k * 0.95) for k, d in enumerate(raw, 1)]
 
 
-def model(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """name (64-bit hash of the n-gram), logp (natural log of the probability of its last character)."""
-    grams = docs.select("text").mapInArrow(count_ngrams(order), "gram string, name long, n long")
+def model(docs: DataFrame, order: int = ORDER, most: float = EXAMPLE_SYMBOLS) -> DataFrame:
+    """name (64-bit hash of the n-gram), logp (natural log of the probability of its last character).
+
+    A context that no example text has says nothing, so the shorter one decides; without any example text all characters
+    are equally likely.
+    """
+    grams = docs.select("text").mapInArrow(count_ngrams(order, most), "gram string, name long, n long")
     top = stored(grams.groupBy("gram", "name").agg(F.sum("n").alias("n")), "ngrams")
     tables = {order: top.select("gram", "n")}
     for m in range(order - 1, 0, -1):
-        tables[m] = stored(tables[m + 1].groupBy(F.substring("gram", 2, m).alias("gram")).agg(F.count("*").alias("n")), "ngrams")
+        tables[m] = stored(tables[m + 1].groupBy(F.substring("gram", 2, m).alias("gram")).agg(F.count_if(F.col("n") > 0).alias("n")), "ngrams")
     probability = None
     for m in range(1, order + 1):
         table = tables[m].withColumn("context", F.substring("gram", 1, m - 1)).withColumn("rest", F.substring("gram", 2, m - 1))
         d = _discounts(tables[m])
         if m > 1:
             d[0] = 1.0  # singletons are pruned: their whole mass backs off, or a text would vouch for itself
-        discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        discount = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
         sums = table.groupBy("context").agg(F.sum("n").alias("total"), F.sum(discount).alias("freed"), F.count("*").alias("kinds"))
         joined = table.join(sums, "context")
         lower = 1.0 / F.col("kinds") if probability is None else F.col("lower")
         if probability is not None:
             joined = joined.join(probability.select(F.col("gram").alias("rest"), F.col("p").alias("lower")), "rest")
-        p = (F.col("n") - discount + F.col("freed") * lower) / F.col("total")
+        p = F.when(F.col("total") > 0, F.try_divide(F.col("n") - discount + F.col("freed") * lower, F.col("total"))).otherwise(lower)
         probability = stored(joined.select("gram", p.alias("p")), "ngram-probabilities")
     return top.join(probability, "gram").select("name", F.log("p").cast("float").alias("logp"))
 
@@ -175,10 +195,10 @@ def array_ranges(table: DataFrame, entries: int = ARRAY_ENTRIES) -> list[tuple[i
     return [(a, b - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def score(docs: DataFrame, order: int = ORDER, entries: int = ARRAY_ENTRIES) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, entries: int = ARRAY_ENTRIES, most: float = EXAMPLE_SYMBOLS) -> DataFrame:
     """row, doc_id, lang, the base columns, n_scored (characters), log_sum (of their probabilities)."""
     spark = docs.sparkSession
-    table = stored(model(docs, order), "ngram-model")
+    table = stored(model(docs, order, most), "ngram-model")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     ranges = array_ranges(table, entries)
     parts = None
@@ -236,13 +256,15 @@ def bands(scored: DataFrame, reach: float = REACH, least: float = LEAST) -> Data
                        (F.col("b") + F.greatest(reach * (F.col("b") - F.col("a")), F.lit(least))).alias("high"))
 
 
-def judge(docs: DataFrame, order: int = ORDER, reach: float = REACH, least: float = LEAST, entries: int = ARRAY_ENTRIES) -> DataFrame:
+def judge(docs: DataFrame, order: int = ORDER, reach: float = REACH, least: float = LEAST, entries: int = ARRAY_ENTRIES,
+          most: float = EXAMPLE_SYMBOLS) -> DataFrame:
     """One row per document: doc_id, lang, the base columns, base_failed, log_ppl, low, high, kept.
 
     Null and empty texts have no words and fail. A null language is a language of its own. Languages whose texts all fail
-    the base rules have no band and reject nothing further. Repeated rows are judged each. No documents: no rows.
+    the base rules have no band and reject nothing further. Texts with more than `most` symbols per word are scored like all
+    others, but teach the model nothing. Repeated rows are judged each. No documents: no rows.
     """
-    scored = score(docs, order, entries).withColumn("base_failed", base_failed())
+    scored = score(docs, order, entries, most).withColumn("base_failed", base_failed())
     scored = stored(scored.withColumn("log_ppl", F.when(F.col("n_scored") > 0, -F.col("log_sum") / F.col("n_scored"))), "perplexity")
     limits = bands(scored, reach, least).withColumnRenamed("lang", "_lang")
     judged = scored.join(F.broadcast(limits) if limits.count() <= 10_000 else limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")

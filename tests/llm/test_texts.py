@@ -32,13 +32,16 @@ def base(text):
 
 
 def kneser_ney(texts, order):
-    """Natural log probability of each character of each text, by the textbook recursion."""
+    """Natural log probability of each character of each text, by the textbook recursion; texts with more than a symbol in
+    ten words are not counted, but their characters belong to the alphabet."""
     grams = [Counter() for _ in range(order + 1)]
     cleaned = [re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts]
-    for t in cleaned:
+    for t, raw in zip(cleaned, texts, strict=True):
         padded = chr(2) * (order - 1) + t
-        for i in range(len(t)):
+        n_words, _, n_symbols, *_ = base(raw)
+        for i in range(len(t) if 10 * n_symbols <= n_words else 0):
             grams[order][padded[i : i + order]] += 1
+    alphabet = len(set("".join(cleaned)))
     for m in range(order - 1, 0, -1):
         for g in grams[m + 1]:
             grams[m][g[1:]] += 1
@@ -60,10 +63,12 @@ def kneser_ney(texts, order):
 
     def p(g):
         m = len(g)
-        total, freed, kinds = context[m][g[:-1]]
-        lower = p(g[1:]) if m > 1 else 1 / kinds
+        total, freed, _ = context[m][g[:-1]]
+        lower = p(g[1:]) if m > 1 else 1 / alphabet
+        if total == 0:
+            return lower
         c = grams[m][g]
-        return (c - cut[m][min(c, 3) - 1] + freed * lower) / total
+        return (c - (cut[m][min(c, 3) - 1] if c else 0) + freed * lower) / total
 
     return [[math.log(p((chr(2) * (order - 1) + t)[i : i + order])) for i in range(len(t))] for t in cleaned]
 
@@ -104,6 +109,28 @@ def test_bands_reject_strange_text(spark):
     assert not got[1000] and sum(got.values()) == 300
 
 
+def test_symbol_junk_does_not_vouch_for_itself(spark):
+    """A tenth of the corpus is words of the language with symbols or cell borders between them; none of it stays."""
+    from tests.llm.conftest import prose
+
+    docs = [(i, prose(i, 150), "en") for i in range(300)]
+    docs += [(1000 + i, " ".join(w + "&%$"[i % 3] * 3 for w in prose(500 + i, 120).split()), "en") for i in range(20)]
+    docs += [(2000 + i, " | ".join(prose(600 + i, 120).split()), "en") for i in range(15)]
+    got = {r["doc_id"]: r["kept"] for r in perplexity.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] == (i < 1000) for i in got) and len(got) == 335
+    junk = spark.createDataFrame(docs[300:], "doc_id long, text string, lang string")  # no example at all: nothing to tell them by
+    assert all(r["kept"] for r in perplexity.judge(junk).collect())
+
+
+def test_bands_tell_labelled_junk_from_clean_text(spark):
+    folder = "/root/testdata/sf0.01"
+    judged = perplexity.judge(spark.read.parquet(f"{folder}/documents.parquet")).where(~F.col("base_failed"))
+    found = judged.join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality"), "doc_id").groupBy("quality").agg(
+        F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()
+    found = {r["quality"]: (r["n"], r["kept"]) for r in found}
+    assert found[0][1] <= 0.5 * found[0][0] and found[1][1] >= 0.98 * found[1][0]
+
+
 def test_good_documents_keep_columns(hostile, nothing):
     out = perplexity.keep_good(hostile)
     assert out.columns == hostile.columns and 0 < out.count() < hostile.count()
