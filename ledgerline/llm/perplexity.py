@@ -120,6 +120,16 @@ def examples(data: np.ndarray, offsets: np.ndarray, most: float) -> np.ndarray:
     return _per_document(SYMBOLS[data], offsets) <= most * _per_document(first, offsets)
 
 
+def _tally(names: np.ndarray, counts: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct names in order, a place of each, and the sum of its counts."""
+    if not len(names):
+        return names, np.zeros(0, np.int64), counts
+    by_name = np.argsort(names, kind=kind)
+    ordered = names[by_name]
+    at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    return ordered[at], by_name[at], np.add.reduceat(counts[by_name], at)
+
+
 def count_ngrams(order: int, most: float = EXAMPLE_SYMBOLS):
     """Every n-gram of the texts with its count in the example texts, which may be 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +138,10 @@ def count_ngrams(order: int, most: float = EXAMPLE_SYMBOLS):
             data, offsets = buffers(batch.column("text"))
             for _, _, d, o in blocks(data, offsets):
                 chars, h, place, kept = characters(d, o, order)
-                names, at, which = np.unique(h[place], return_index=True, return_inverse=True)
-                n = np.bincount(which, np.repeat(examples(d, o, most), np.diff(kept)), len(names))
+                names, at, n = _tally(h[place], np.repeat(examples(d, o, most).astype(np.int64), np.diff(kept)))
                 spans = place[at][:, None] + np.arange(1 - order, 1)
-                every, first, back = np.unique(np.concatenate((seen, names)), return_index=True, return_inverse=True)
+                seen, first, counts = _tally(np.concatenate((seen, names)), np.concatenate((counts, n)), "stable")  # two sorted runs
                 grams = np.concatenate((grams, chars[spans]))[first]
-                counts = np.bincount(back, np.concatenate((counts, n)), len(every)).astype(np.int64)
-                seen = every
             if len(seen) > TASK_GRAMS:
                 yield _gram_rows(grams, seen, counts)
                 seen, grams, counts = seen[:0], grams[:0], counts[:0]
