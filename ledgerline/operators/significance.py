@@ -449,8 +449,8 @@ def _ranked_by_joins(rows: DataFrame, models: list[str], iterations: int) -> Dat
     by = ["iteration", "model"]
     weight = {"n": F.col("w")}
     rank = F.col("n_before") + (F.col("n") + 1) / 2
-    ry = cumulative_counts(long, "y_true", by, weight).select(*by, "y_true", rank.alias("ry"))
-    rp = cumulative_counts(long, "y_pred", by, weight).select(*by, "y_pred", rank.alias("rp"))
+    ry = cumulative_counts(long, "y_true", by, weight, many=True).select(*by, "y_true", rank.alias("ry"))
+    rp = cumulative_counts(long, "y_pred", by, weight, many=True).select(*by, "y_pred", rank.alias("rp"))
     ranked = long.join(ry, [*by, "y_true"]).join(rp, [*by, "y_pred"])
     w, x, y = F.col("w"), F.col("ry"), F.col("rp")
     sums = ranked.groupBy(*by).agg(
@@ -461,7 +461,7 @@ def _ranked_by_joins(rows: DataFrame, models: list[str], iterations: int) -> Dat
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
     var = (F.col("sxx") - F.col("sx") * F.col("sx") / n) * (F.col("syy") - F.col("sy") * F.col("sy") / n)
     spearman = sums.select(*by, F.try_divide(cov, F.sqrt(var)).alias("spearman"))
-    e = cumulative_counts(long, "e", by, weight)
+    e = cumulative_counts(long, "e", by, weight, many=True)
     at = lambda p: F.max(F.when((F.col("n_before") <= p * (F.col("n_total") - 1)) & (p * (F.col("n_total") - 1) < F.col("n_before") + F.col("n")), F.col("e")))
     return spearman.join(e.groupBy(*by).agg(at(0.9).alias("p90_abs_error"), at(0.95).alias("p95_abs_error")), by)
 

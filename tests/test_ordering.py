@@ -85,3 +85,21 @@ def test_close_values_spread_over_parts(spark):
         assert top[0] <= 2 * max(top[1], G.PART_VALUES), name
         wrong = counts.where(F.col("n_before") != F.col("v").cast("long") - 10**12).count() if name == "ids" else 0
         assert wrong == 0 and counts.agg(F.max(F.col("n_before") + F.col("n"))).first()[0] == 100_000
+
+
+def test_tables_sent_to_all_tasks_do_not_grow_with_the_values(spark):
+    """Cells and offsets of values over ten factors e: few rows, however many values there are, and exact ranks."""
+    df = spark.range(60_000).select(F.exp(F.col("id") / 6000).alias("v"))
+    assert df.select(G.grid_cell(F.col("v"))).distinct().count() <= 2000
+    rows = G.cumulative_counts(df, "v").agg(F.count("*"), F.sum("n_before"), F.max(F.abs(F.col("n_before") - F.round(F.ln("v") * 6000)))).first()
+    assert tuple(rows) == (60_000, 60_000 * 59_999 // 2, 0)
+
+
+def test_quantiles_between_parts(spark, monkeypatch):
+    """Wanted positions on both sides of a part's end, and groups with null and repeated values."""
+    monkeypatch.setattr(G, "PART_VALUES", 2)
+    values = [1.0, 1.001, 1.002, 1.003, 7.0, 7.0, 7.0, 9.0, -3.0, None]
+    df = spark.createDataFrame([(g, v) for g in ("a", None) for v in values], "g string, v double")
+    got = {r["g"]: (r["n_values"], r["q25"], r["q50"], r["q90"]) for r in G.quantiles(df, "v", {"q25": 0.25, "q50": 0.5, "q90": 0.9}, ["g"]).collect()}
+    want = tuple(float(x) for x in np.quantile([v for v in values if v is not None], [0.25, 0.5, 0.9]))
+    assert all(got[g][0] == 9 and got[g][1:] == pytest.approx(want) for g in ("a", None))
