@@ -136,6 +136,24 @@ def test_rank_draws_as_matrices_equal_ranks_by_joins(aligned, spark):
     assert Q.bootstrap_rank_samples(df.where("false"), ["a"], "row_id", iterations=3).collect() == []
 
 
+def test_ranks_of_a_large_table_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    y = np.round(rng.random(700), 2)
+    y[:200] = 0.5  # a value that more rows share than a block holds
+    rows = [(i, float(v), float(v + e), float(round(v * 4) / 4), 0.3) for i, (v, e) in enumerate(zip(y, rng.normal(0, 0.2, 700)))]
+    df = spark.createDataFrame(rows, "row_id long, y_true double, a double, b double, flat double").repartition(3)
+    draws = lambda **kw: {(r["iteration"], r["model"]): r for r in Q.bootstrap_rank_samples(df, ["a", "b", "flat"], "row_id", iterations=15, **kw).collect()}
+    whole = draws()
+    monkeypatch.setattr(Q, "BLOCK_ROWS", 100)
+    dealt, deal = [], Q._block_rows
+    monkeypatch.setattr(Q, "_block_rows", lambda cells, models, blocks: dealt.append(blocks) or deal(cells, models, blocks))
+    blocks = draws(rows_bytes=0)
+    assert dealt == [7] and blocks.keys() == whole.keys() and len(blocks) == 45
+    for k, r in blocks.items():
+        assert all(r[c] == pytest.approx(whole[k][c], abs=1e-9) for c in ("p90_abs_error", "p95_abs_error"))
+        assert r["spearman"] is None if k[1] == "flat" else r["spearman"] == pytest.approx(whole[k]["spearman"], abs=1e-9)
+
+
 def test_actual_versus_predicted_counts_every_row_once(spark):
     from ledgerline.operators.attribution import actual_vs_predicted
 
