@@ -99,3 +99,21 @@ def test_batch_scorer_matches_expression(spark):
     by_expression = {r["k"]: r["news_sentiment_score"] for r in N.score_articles(lists, ["k"]).collect()}
     by_batches = {r["k"]: r["news_sentiment_score"] for r in N.score_with(lists, ["k"], lambda texts: [(t.count("gain") - t.count("loss")) / max(1, t.count("gain") + t.count("loss")) for t in texts]).collect()}
     assert by_expression == by_batches == {"A": [pytest.approx(1 / 3), 0.0], "B": []}
+
+
+def test_features_are_folded_for_the_wanted_bars_only(spark):
+    """As-of features equal those of `market_features` at the anchor bar, for missing tickers and dates too, and no window frame slides over all bars."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    days = [None, *(dt.date(2020, 1, 1) + dt.timedelta(days=int(i)) for i in np.cumsum(rng.integers(1, 3, 299)))]
+    rows = [(t, day, None if t == "B" and rng.random() < 0.02 else float(50 + rng.random()), 60.0, 40.0, float(rng.integers(1, 9)), float(rng.integers(1, 5))) for t in ("A", "B", "", None) for day in days]
+    table = spark.createDataFrame(rows, "ticker string, date date, close double, high double, low double, volume double, transactions double")
+    ends = [("A", None), ("A", days[250]), ("A", days[251]), ("A", days[251]), ("A", dt.date(2019, 1, 1)), ("B", days[-1]), ("", days[-1]), ("C", days[-1]), (None, days[280]), (None, None)]
+    want_of = spark.createDataFrame([(i, *e) for i, e in enumerate(ends)], "i int, ticker string, period_end date")
+    got = X.attach_market_features(want_of, table)
+    want = J.asof_backward(want_of, X.market_features(table), ["ticker"], "period_end", "date", X.MARKET_FEATURES, "anchor_trade_date")
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert [tuple(r) for r in got.orderBy("i").collect()] == [tuple(r) for r in want.orderBy("i").collect()]
+    assert {r["i"] for r in got.where("volatility_63d is not null").collect()} and got.where("drawdown_126d is not null").count() >= 3
+    assert "-125" not in got._jdf.queryExecution().executedPlan().toString() and "-62" not in got._jdf.queryExecution().executedPlan().toString()
