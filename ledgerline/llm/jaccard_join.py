@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 
 from ledgerline.llm.components import components
-from ledgerline.llm.shared import may_hold, stored, without
+from ledgerline.llm.shared import give_back, may_hold, stored, tidy, tidy_groups, without
 from ledgerline.llm.textarrays import U, blocks, buffers, deltas, mix, packed, shingle_sets, undeltas, unpacked
 
 #: Sets and shingles of a block; larger families are cut into blocks.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000
+#: Tile keys that a task holds before it sends them on.
+KEYS_AT_ONCE = 1_000_000
 PIVOTS = 4
 
 
@@ -113,7 +115,7 @@ def tile_keys(width: int, percent: int, shards: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        keys, nodes = [], []
+        keys, nodes, held = [], [], 0
         for batch in batches:
             for s in _sets(batch, width):
                 if len(s) and (n := node_of(s)) not in seen:
@@ -121,9 +123,11 @@ def tile_keys(width: int, percent: int, shards: int, bits: int):
                     k = keys_of(s, percent) & mask
                     keys.append(k)
                     nodes.append(np.full(len(k), n, np.int64))
-            if sum(map(len, keys)) > 4_000_000:
-                yield _rows(keys, nodes, shards)
-                keys, nodes, seen = [], [], set()
+                    held += len(k)
+                if held > KEYS_AT_ONCE:
+                    yield _rows(keys, nodes, shards)
+                    keys, nodes, seen, held = [], [], set(), 0
+                    give_back(0.25)
         if keys:
             yield _rows(keys, nodes, shards)
 
@@ -246,7 +250,7 @@ def with_bitmap(width: int):
 
 def _brought(placed: DataFrame, texts: DataFrame, run, schema: str) -> DataFrame:
     """Rows of `placed` (doc_id, node, ...) with columns made from the text of that node; null ids meet null ids."""
-    made = may_hold(texts, "doc_id", placed).mapInArrow(run, schema).withColumnsRenamed({"doc_id": "_id", "node": "_node"})
+    made = may_hold(texts, "doc_id", placed).mapInArrow(tidy(run), schema).withColumnsRenamed({"doc_id": "_id", "node": "_node"})
     return placed.join(made, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_node")
 
 
@@ -285,7 +289,7 @@ def _fold(bitmap: np.ndarray, words: int) -> np.ndarray:
 def _search(placed: DataFrame, docs: DataFrame, by: list[str], width: int, percent: int) -> DataFrame:
     """Links found in groups `by` of `placed` (doc_id, node, ...), with the texts brought to them."""
     rows = _brought(placed, docs.select("doc_id", "text"), with_node(width), "doc_id long, node long, text string").select(*by, "node", "text")
-    return rows.groupBy(*by).applyInPandas(links_in(width, percent), "u long, v long").where("u <> v")
+    return rows.groupBy(*by).applyInPandas(tidy_groups(links_in(width, percent)), "u long, v long").where("u <> v")
 
 
 def _classes(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -294,8 +298,8 @@ def _classes(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # false meetings of keys cost time only; 17 bits beyond the number of shingles keep them rare at any size
     bits = min(64, 17 + int(nodes.agg(F.sum("n_shingles")).first()[0] or 1).bit_length())
-    messages = docs.select("text").mapInArrow(tile_keys(width, percent, shards, bits), "shard int, payload binary")
-    ties = stored(messages.groupBy("shard").applyInPandas(ties_of_shard, "u long, v long").distinct(), "jaccard-ties")
+    messages = docs.select("text").mapInArrow(tidy(tile_keys(width, percent, shards, bits)), "shard int, payload binary")
+    ties = stored(messages.groupBy("shard").applyInPandas(tidy_groups(ties_of_shard), "u long, v long").distinct(), "jaccard-ties")
     if ties.isEmpty():
         return spark.createDataFrame([], "node long, component long")
     families = components(ties).withColumnRenamed("component", "family")
@@ -322,7 +326,7 @@ def _classes(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     # a family that only shared passages hold together has many tiles and few links: bitmaps go first, texts only where they may link
     sketched = _brought(rest, docs.select("doc_id", "text"), with_bitmap(width), "doc_id long, node long, size long, bitmap binary")
     sketched = sketched.select("family", "a", "b", "node", "component", "size", "bitmap")
-    some = sketched.groupBy("family", "a", "b").applyInPandas(hopeful(percent), "family long, a string, b string, node long")
+    some = sketched.groupBy("family", "a", "b").applyInPandas(tidy_groups(hopeful(percent)), "family long, a string, b string, node long")
     rest = stored(some.join(members.select("node", "doc_id"), "node"), "jaccard-hopeful")
     if rest.isEmpty():
         return found
@@ -361,7 +365,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    nodes = stored(rows.mapInArrow(describe(width), "doc_id long, n_shingles long, node long"), "jaccard-nodes")
+    nodes = stored(rows.mapInArrow(tidy(describe(width)), "doc_id long, n_shingles long, node long"), "jaccard-nodes")
     classes = _classes(nodes.where("n_shingles > 0"), rows, width, percent)
     least = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     named = least.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))

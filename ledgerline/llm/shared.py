@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import time
 import uuid
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import cache, reduce
 
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -79,3 +83,49 @@ def without(df: DataFrame, on: list[Column], keys: DataFrame) -> DataFrame:
     some, rest = parted(df, on, keys)
     same = [o.eqNullSafe(F.col(n)) for o, n in zip(on, names, strict=True)]
     return rest.unionByName(some.join(keys.toDF(*names), reduce(lambda a, b: a & b, same), "left_anti"))
+
+
+@cache
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # no glibc
+        return None
+
+
+_given_back = 0.0
+
+
+def give_back(every: float = 0.0) -> None:
+    """Return freed memory of this process to the system, at most once in `every` seconds.
+
+    Arrays below 32 MB are freed to the allocator only, and an idle Python worker would keep that memory from its executor.
+    """
+    global _given_back
+    if time.monotonic() - _given_back < every:
+        return
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+    _given_back = time.monotonic()
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` over batches, which gives its freed memory back when the task ends."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def tidy_groups(run: Callable) -> Callable:
+    """`run` over one group, which gives freed memory back from time to time."""
+
+    def one(rows):
+        out = run(rows)
+        give_back(0.25)
+        return out
+
+    return one

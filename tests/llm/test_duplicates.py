@@ -204,3 +204,32 @@ def test_tables_of_a_few_short_texts(spark):
         for width in (3, 5):
             got = Counter(tuple(r) for r in jaccard_join.jaccard_classes(df, width).select("doc_id", "n_shingles", "component_id").collect())
             assert got == classes(rows(df), width, 90)
+
+
+def test_near_copy_tasks_give_their_memory_back():
+    """A worker that has made tile keys of 20 MB of text holds little more than before; keys are sent on in bounded parts."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import numpy as np, pyarrow as pa
+from ledgerline.llm import jaccard_join as J
+from ledgerline.llm.shared import tidy
+def held():
+    return int(open('/proc/self/statm').read().split()[1]) * 4096 / 1e6
+def batches(docs):
+    rng = np.random.default_rng(1)
+    for _ in range(2):
+        yield pa.RecordBatch.from_arrays([pa.array([' '.join(map(str, rng.integers(0, 1 << 40, 180))) for _ in range(docs)])], names=['text'])
+for _ in tidy(J.tile_keys(5, 80, 8, 40))(batches(10)):
+    pass
+before, parts = held(), 0
+for _ in tidy(J.tile_keys(5, 80, 8, 40))(batches(9000)):
+    parts += 1
+print(int(held() - before), parts)
+"""
+    root = Path(__file__).resolve().parents[2]
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, env={"PYTHONPATH": str(root), "PATH": "/usr/bin:/bin"}, capture_output=True, text=True, check=True)
+    more, parts = map(int, done.stdout.split())
+    assert more < 60 and parts > 1
