@@ -102,11 +102,12 @@ def _columns(p: Boosting, number: int, width: int) -> np.ndarray:
 
 def histograms(bins: np.ndarray, node: np.ndarray, nodes: int, size: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Sums of gradient, curvature and rows, as node x feature x bin x 3."""
-    width = bins.shape[1]
-    at = ((node[:, None] * width + np.arange(width)) * size + bins).ravel()
-    total = nodes * width * size
-    parts = [np.bincount(at, np.repeat(v, width), total) for v in (g, h)] + [np.bincount(at, minlength=total)]
-    return np.stack(parts, axis=-1).reshape(nodes, width, size, 3).astype(float)
+    out, start = np.empty((nodes, bins.shape[1], size, 3)), node * size
+    for f in range(bins.shape[1]):
+        at = start + bins[:, f]
+        for k, v in enumerate((g, h, None)):
+            out[:, f, :, k] = np.bincount(at, v, nodes * size).reshape(nodes, size)
+    return out
 
 
 def best_split(hist: np.ndarray, kept: np.ndarray, p: Boosting) -> tuple | None:
@@ -133,12 +134,19 @@ class Growing:
 
     def places(self, bins: np.ndarray, depth: int) -> np.ndarray:
         """Node of each row after so many levels."""
-        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        for _ in range(depth):
-            f = self.feature[at]
-            at = np.where(f >= 0, 2 * at + 1 + (bins[rows, np.maximum(f, 0)] > self.bin[at]), at)
+        at = np.zeros(len(bins), np.int64)
+        for level in range(depth):
+            at = self.below(bins, at, level)
         return at
 
+    def below(self, bins: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
+        """Node of each row after one more level; `at` holds the nodes after `level` of them."""
+        if level == 0:  # all rows stand in the root
+            return 1 + (bins[:, self.feature[0]] > self.bin[0]) if self.feature[0] >= 0 else at
+        f = self.feature[at]
+        right = bins.reshape(-1)[np.arange(0, bins.size, bins.shape[1]) + np.maximum(f, 0)] > self.bin[at]
+        return np.where(f >= 0, 2 * at + 1 + right, at)
+
     def open(self, depth: int) -> range:
         return range((1 << depth) - 1, (1 << (depth + 1)) - 1)
 
@@ -156,12 +164,14 @@ class Growing:
         return self.value[self.places(bins, self.p.depth)]
 
 
-def _level(tree: Growing, depth: int, bins: np.ndarray, use: np.ndarray, g: np.ndarray, w: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of the level with rows, and their histograms."""
-    at = tree.places(bins, depth)
-    here = use & (at >= tree.open(depth)[0])
-    nodes, local = np.unique(at[here], return_inverse=True)
-    return nodes, histograms(bins[here], local, len(nodes), size, g[here], w[here])
+def _level(tree: Growing, depth: int, at: np.ndarray, bins: np.ndarray, use: np.ndarray, g: np.ndarray, w: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the level with rows, and their histograms; `at` is the node of each row."""
+    here = np.flatnonzero(use & (at >= tree.open(depth)[0]))
+    at = at[here]
+    nodes = np.flatnonzero(np.bincount(at, minlength=len(tree.feature)))
+    place = np.zeros(len(tree.feature), np.int64)
+    place[nodes] = np.arange(len(nodes))
+    return nodes, histograms(bins[here], place[at], len(nodes), size, g[here], w[here])
 
 
 class _Stop:
@@ -192,13 +202,14 @@ def grow_locally(key: np.ndarray, bins: np.ndarray, y: np.ndarray, w: np.ndarray
     margin, trees, stop = np.full(len(y), base), [], _Stop(p)
     for number in range(p.rounds):
         tree, use, kept = Growing(p), train & _chosen(key, p, number), _columns(p, number, bins.shape[1])
-        g = w * (margin - y)
+        g, at = w * (margin - y), np.zeros(len(y), np.int64)
         for depth in range(p.depth):
-            nodes, hists = _level(tree, depth, bins, use, g, w, size)
+            nodes, hists = _level(tree, depth, at, bins, use, g, w, size)
             for node, hist in zip(nodes.tolist(), hists, strict=True):
                 tree.split(node, best_split(hist, kept, p))
+            at = tree.below(bins, at, depth)
         trees.append(tree)
-        margin = margin + tree.output(bins)
+        margin = margin + tree.value[at]
         (a, n), (b, m) = _mean_loss(margin, y, w, train), _mean_loss(margin, y, w, ~train)
         if stop.done(a / max(n, 1e-300), b / m if m else float("nan")):
             break
@@ -350,7 +361,7 @@ def _level_job(state: DataFrame, fits, names, growing, fresh, number: int, depth
                 if depth == 0:
                     losses[name] += [*_mean_loss(margin, y, w, train), *_mean_loss(margin, y, w, ~train)]
                 if depth < p.depth:
-                    nodes, found = _level(tree, depth, bins, train & _chosen(key, p, number), w * (margin - y), w, size)
+                    nodes, found = _level(tree, depth, tree.places(bins, depth), bins, train & _chosen(key, p, number), w * (margin - y), w, size)
                     for node, hist in zip(nodes.tolist(), found, strict=True):
                         at = (name, node)
                         hists[at] = hists[at] + hist if at in hists else hist

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from ledgerline.operators.boosting import Boosting, best_split, fit_boosted, fit_until_best, histograms, search_candidates
+from ledgerline.operators.boosting import Boosting, Growing, best_split, fit_boosted, fit_until_best, histograms, search_candidates
 
 FEATURES = ["a", "b", "c"]
 
@@ -72,3 +72,29 @@ def test_search_picks_the_smallest_mean_loss(rows):
     got = [tuple(r) for r in found.collect()]
     assert [r[3] for r in got] == [1, 2, 3] and got[-1][0] == "slow" and got[0][2] <= got[1][2] < got[2][2]
     assert best.best_round == got[0][1]
+
+
+def test_histograms_add_feature_by_feature_and_levels_go_on_from_the_last():
+    """No index or weight per row and feature at once; sums and places as from the root."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    rows, width = 100_000, 7
+    bins, node = r.integers(0, 16, (rows, width)).astype(np.uint8), r.integers(0, 4, rows)
+    g, h = r.normal(size=rows), r.random(rows)
+    tracemalloc.start()
+    got = histograms(bins, node, 4, 16, g, h)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * rows  # an index and two weights for every feature would be 168 bytes a row
+    for f, b, n in ((0, 3, 1), (6, 15, 3)):
+        at = (bins[:, f] == b) & (node == n)
+        assert got[n, f, b] == pytest.approx([g[at].sum(), h[at].sum(), at.sum()])
+    tree = Growing(Boosting(depth=3))
+    tree.feature[[0, 1, 2]], tree.bin[[0, 1, 2]] = [2, 0, 6], [7, 3, 11]
+    at = np.zeros(rows, np.int64)
+    for level in range(3):
+        at = tree.below(bins, at, level)
+        assert np.array_equal(at, tree.places(bins, level + 1))
+    left = bins[:, 2] <= 7
+    assert np.array_equal(np.unique(at[left]), [3, 4]) and np.array_equal(np.unique(at[~left]), [5, 6])
