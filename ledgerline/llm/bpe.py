@@ -24,7 +24,7 @@ import pyspark.sql.functions as F
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm.shared import stored
+from ledgerline.llm.shared import stored, tidy
 from ledgerline.llm.textarrays import Prefix, blocks, buffers
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
@@ -48,6 +48,8 @@ SHORT = ("s", "t", "m", "d", "re", "ve", "ll")
 #: Words of the lexicon stand at least once in so many words of the corpus, so there are at most so many of them.
 LEXICON_SHARE = 1 << 17
 MEMO_WORDS = 300_000
+#: Bytes of text that are cut into words at a time; the arrays over them are some 100 times as large.
+BLOCK_BYTES = 1 << 19
 #: Longest of them.
 MEMO_BYTES = 1024
 NO_RANK = np.int32(2**31 - 1)
@@ -237,8 +239,11 @@ class Lexicon:
             state, number, at = self.targets[edge], number + self.before[edge], at + 1
         return out
 
-    def ids_of(self, number: int) -> np.ndarray:
-        return np.asarray(self.ids[self.id_starts[number] : self.id_starts[number + 1]])
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered words one after the other, and how many each has."""
+        start = self.id_starts[numbers]
+        sizes = self.id_starts[numbers + 1] - start
+        return self.ids[ragged(start, sizes)], sizes
 
 
 @cache
@@ -327,11 +332,44 @@ def unlike(data: np.ndarray, start: np.ndarray, end: np.ndarray, start2: np.ndar
     return np.flatnonzero(bad)
 
 
+def _flat(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+
+
+class Memo:
+    """Ids of words, all in one flat array: a word costs its bytes, a place in the dict and four bytes per id."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.starts, self.ids, self.used = np.zeros(1 << 10, np.int32), np.zeros(1 << 12, np.int32), 0
+
+    def add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New words; `ids` holds the ids of all of them one after the other."""
+        n = len(self.place)
+        self.starts, self.ids = _room(self.starts, n + len(words) + 1), _room(self.ids, self.used + len(ids))
+        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+        self.starts[n + 1 : n + len(words) + 1] = self.used + np.cumsum(sizes)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def ids_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start = self.starts[places].astype(np.int64)
+        sizes = self.starts[places + 1] - start
+        return self.ids[ragged(start, sizes)].astype(np.int64), sizes
+
+
+def _room(a: np.ndarray, size: int) -> np.ndarray:
+    return a if size <= len(a) else np.concatenate((a, np.zeros(max(size, 2 * len(a)) - len(a), a.dtype)))
+
+
 class Encoder:
     """Ids of the words of blocks of texts; remembers words it has met."""
 
     def __init__(self, vocab: Vocabulary, words: Lexicon | None) -> None:
-        self.vocab, self.lexicon, self.memo = vocab, words, {}
+        self.vocab, self.lexicon, self.memo = vocab, words, Memo()
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of the first id of each document (n + 1 values)."""
@@ -342,34 +380,40 @@ class Encoder:
         names, at, back = np.unique(name, return_index=True, return_inverse=True)
         other = unlike(data, start, end, start[at][back], end[at][back])
         fixed = {int(s): int(k) for s, k in zip(edges, kind, strict=True) if k >= 0}
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo.place) > MEMO_WORDS:
             self.memo.clear()
         raw = data.tobytes()
         keys = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-        known = [self.memo.get(x) for x in keys]
-        new = np.array([i for i, x in enumerate(known) if x is None], np.int64)
+        found = np.array([self.memo.place.get(x, -1) for x in keys], np.int64)
+        old, new = np.flatnonzero(found >= 0), np.flatnonzero(found < 0)
+        parts, places = [self.memo.ids_of(found[old])], [old]
         if len(new):
             s, e = start[at[new]], end[at[new]]
             number = self.lexicon.find(data, s, e) if self.lexicon else np.full(len(new), -1)
-            unseen = np.flatnonzero(number < 0)
-            merged = self.vocab.merge([keys[new[i]] for i in unseen.tolist()])
-            for i in np.flatnonzero(number >= 0).tolist():
-                known[new[i]] = self.lexicon.ids_of(int(number[i]))
-            for i, x in zip(unseen.tolist(), merged, strict=True):
-                known[new[i]] = x
-            self.memo.update((keys[i], known[i]) for i in new.tolist() if len(keys[i]) <= MEMO_BYTES)
+            if (listed := np.flatnonzero(number >= 0)).size:
+                parts.append(self.lexicon.ids_of(number[listed]))
+                places.append(new[listed])
+            if (unseen := new[number < 0]).size:
+                parts.append(_flat(self.vocab.merge([keys[i] for i in unseen.tolist()])))
+                places.append(unseen)
+            for (ids, sizes), place in zip(parts[1:], places[1:], strict=True):
+                short = np.array([len(keys[i]) <= MEMO_BYTES for i in place.tolist()])
+                self.memo.add([keys[i] for i in place[short].tolist()], ids[np.repeat(short, sizes)], sizes[short])
+        extra: list[np.ndarray] = []
         if len(other):  # words that share a hash with another word of the block
-            for i, ids in zip(other.tolist(), self.vocab.merge([raw[start[i] : end[i]] for i in other.tolist()]), strict=True):
-                known.append(ids)
-                back[i] = len(known) - 1
+            extra += self.vocab.merge([raw[start[i] : end[i]] for i in other.tolist()])
+            back[other] = len(keys) + np.arange(len(other))
         if fixed:
-            place = np.searchsorted(start, np.array(sorted(fixed), np.int64))
-            for p, s in zip(place.tolist(), sorted(fixed), strict=True):
-                known.append(np.array([fixed[s]], np.int64))
-                back[p] = len(known) - 1
-        sizes = np.array([len(x) for x in known], np.int64)
-        flat = np.concatenate(known) if known else np.zeros(0, np.int64)
-        begin = np.concatenate(([0], np.cumsum(sizes)[:-1])) if known else sizes
+            where = sorted(fixed)
+            back[np.searchsorted(start, np.array(where, np.int64))] = len(keys) + len(extra) + np.arange(len(where))
+            extra += [np.array([fixed[s]], np.int64) for s in where]
+        if extra:
+            parts.append(_flat(extra))
+            places.append(len(keys) + np.arange(len(extra)))
+        flat, size = (np.concatenate([part[k] for part in parts]) for k in (0, 1))
+        begin, sizes = np.zeros(len(keys) + len(extra), np.int64), np.zeros(len(keys) + len(extra), np.int64)
+        order = np.concatenate(places)
+        begin[order], sizes[order] = np.cumsum(size) - size, size
         ids = flat[ragged(begin[back], sizes[back])]
         first = np.concatenate(([0], np.cumsum(sizes[back])))
         return ids, first[np.searchsorted(start, offsets)]
@@ -389,7 +433,7 @@ def frequent_words(docs: DataFrame, path: str, share: int) -> list[bytes]:
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             names, words, counts = [], [], []
-            for _, _, d, o in blocks(data, offsets):
+            for _, _, d, o in blocks(data, offsets, BLOCK_BYTES):
                 edges, kind = segments(d, o, special)
                 start = word_starts(d, edges, kind)
                 end = np.append(start[1:], len(d)) if len(start) else start
@@ -403,7 +447,7 @@ def frequent_words(docs: DataFrame, path: str, share: int) -> list[bytes]:
                 total = np.bincount(back, np.concatenate(counts).astype(float)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in at.tolist()], pa.binary()), pa.array(total)], names=["word", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(tidy(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stored(counts, "bpe-words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     return sorted(bytes(r["word"]) for r in counts.where(F.col("n") * share >= total).where("n > 1").select("word").collect())
@@ -437,7 +481,7 @@ def encode_documents(docs: DataFrame, path: str, share: int = LEXICON_SHARE) ->
                  pa.array([raw[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), pa.array(ok, pa.bool_())],
                 names=["doc_id", "ids", "decoded", "text_ok"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary, text_ok boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded binary, text_ok boolean")
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, name: str) -> Iterator[tuple]:
@@ -445,7 +489,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, name: str) -> Iterator
     encoder = Encoder(vocabulary(path), lexicon(name))
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
-        for i, j, d, o in blocks(data, offsets):
+        for i, j, d, o in blocks(data, offsets, BLOCK_BYTES):
             ids, first = encoder.encode(d, o)
             raw, ends = encoder.decode(ids)
             cuts = np.concatenate(([0], ends))[first]
@@ -470,7 +514,7 @@ def token_digests(docs: DataFrame, path: str, share: int = LEXICON_SHARE) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(digest), pa.array(back)],
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def vocabulary_path() -> str:

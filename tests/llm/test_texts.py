@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -332,6 +333,19 @@ def test_encoder_trusts_no_hash(library, monkeypatch):
             assert ids[at[i] : at[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_holds_little_of_what_it_met():
+    """What a word costs once its block is done: no views that keep the arrays of a block alive."""
+    encoder = bpe.Encoder(bpe.vocabulary(bpe.vocabulary_path()), None)
+    encode = lambda n: encoder.encode(*buffers(pa.array([" ".join(f"w{i * 7919:x}q{i}" for i in range(n, n + 5000))])))
+    encode(0)
+    tracemalloc.start()
+    for n in range(5000, 30_000, 5000):
+        encode(n)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 300 * 25_000, held
+
+
 def test_runs_that_differ():
     data = np.frombuffer(b"abcabdabcab", np.uint8)
     start, end = np.array([0, 3, 6, 9]), np.array([3, 6, 9, 11])
