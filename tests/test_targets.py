@@ -44,6 +44,18 @@ def test_trough_and_peak_are_the_earliest(spark):
     assert r["future_1y_total_return"] == pytest.approx(0.5) and r["future_bar_count"] == 6
 
 
+def test_columns_nobody_reads_cost_nothing(spark):
+    """Features and severity need neither the day of a peak nor the closes of a path."""
+    from ledgerline.plans.risk import risk_dataset
+
+    b = spark.createDataFrame([("A", dt.date(2020, 1, 1), 1.0, 1.0, 1.0, 1.0, 1.0)], "ticker string, date date, close double, high double, low double, volume double, transactions double")
+    o = obs(spark, [("A", "2020-01-01")]).withColumns({"fiscal_year": F.lit(2020), "timeframe": F.lit("annual")})
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    pruned = plan(risk_dataset(o, b).select("ticker", "drawdown_severity", *X.MARKET_FEATURES))
+    assert "unix_date" not in pruned and "_trough" not in pruned
+    assert "unix_date" in plan(L.future_drawdowns(o, b)) and "_trough" in plan(L.future_drawdowns(o, b))
+
+
 def test_rolling_features_against_pandas(spark):
     import numpy as np
     import pandas as pd
