@@ -4,9 +4,11 @@ Sets fall into bands of size, each at least `1 / threshold` times the one below,
 In a band with largest size U, two linked sets differ in at most D = 2 U (1 - t) / (1 + t) elements. The hash range is cut
 into D + 1 + E tiles; linked sets agree in at least 1 + E whole tiles, so a key for each non-empty tile (band, tile, sum of
 its hashes) finds every link, and a set with more than E empty tiles adds keys for the empty ones. Keys meet in shards,
-where each key's sets are tied to the smallest (a star, never pairs). Families of tied sets are then searched in blocks:
-hashed bitmaps bound the overlap from above by bit counts, what passes is intersected exactly. Equal sets are one node
-throughout. Hashes have 64 bits.
+where each key's sets are tied to the smallest (a star, never pairs). Texts that quote the same passages agree in a tile now and
+then and grow into one family, so large families are tied once more, by the rare shingles of their sets: in any order of all
+shingles, linked sets of n elements share one of their first n - ceil(t n) + 1. The order puts shingles that stand in few sets first.
+Families are then searched in blocks: hashed bitmaps bound the overlap from above by bit counts, what passes is intersected exactly.
+Equal sets are one node throughout. Hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000
 #: Tile keys that a task holds before it sends them on.
 KEYS_AT_ONCE = 1_000_000
 PIVOTS = 4
+#: The table that orders shingles has 2**24 slots of two bytes.
+SLOT_BITS = 24
 
 
 def node_of(s: np.ndarray) -> int:
@@ -110,7 +114,11 @@ def star_ties(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def tile_keys(width: int, percent: int, shards: int, bits: int):
-    """Per task: sets to keys of `bits` bits, stars inside the task, then one packed row for each shard."""
+    """Per task: sets to tile keys of `bits` bits, stars inside the task, then one packed row for each shard."""
+    return _sent(width, shards, bits, lambda s: keys_of(s, percent))
+
+
+def _sent(width: int, shards: int, bits: int, keys_in):
     mask = U((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +128,7 @@ def tile_keys(width: int, percent: int, shards: int, bits: int):
             for s in _sets(batch, width):
                 if len(s) and (n := node_of(s)) not in seen:
                     seen.add(n)
-                    k = keys_of(s, percent) & mask
+                    k = keys_in(s) & mask
                     keys.append(k)
                     nodes.append(np.full(len(k), n, np.int64))
                     held += len(k)
@@ -160,6 +168,84 @@ def ties_of_shard(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": np.concatenate([u, *us]), "v": np.concatenate([v, *vs])}).drop_duplicates()
 
 
+def _ranges(shards: int) -> list[int]:
+    """First slot of each shard, a range of hashes, and the end of the last one."""
+    return [(i << SLOT_BITS) // shards for i in range(shards + 1)]
+
+
+def shingle_counts(width: int, shards: int, bits: int):
+    """Per task: in how many sets each shingle stands, by the upper `bits` bits of its hash; one packed row for each shard."""
+    cuts = np.array([x << (bits - SLOT_BITS) for x in _ranges(shards)[:-1]], U)
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        key = np.sort(np.concatenate(sets))
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        times, key = np.diff(np.append(first, len(key))).astype(np.uint32), key[first]
+        at = np.append(np.searchsorted(key, cuts), len(key)).tolist()
+        full = [i for i in range(shards) if at[i + 1] > at[i]]
+        parts = [packed(deltas(key[at[i] : at[i + 1]] - cuts[i]), times[at[i] : at[i + 1]]) for i in full]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(parts, pa.binary())], names=["shard", "payload"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, held = [], 0
+        for batch in batches:
+            for s in _sets(batch, width):
+                if len(s):
+                    sets.append(s >> U(64 - bits))
+                    held += len(s)
+                if held > KEYS_AT_ONCE:
+                    yield counted(sets)
+                    sets, held = [], 0
+                    give_back(0.25)
+        if sets:
+            yield counted(sets)
+
+    return run
+
+
+def _least(values: np.ndarray, places: int) -> int:
+    """The smallest value above 0 that at most half of the places reach; places not named have 0."""
+    reach = np.cumsum(np.bincount(np.minimum(values, 255), minlength=257)[::-1])[::-1]
+    return int(np.flatnonzero(reach[1:] * 2 <= places)[0]) + 1
+
+
+def shard_order(shards: int, bits: int):
+    """Counted shingles of one shard to its slots of the table that orders shingles: a byte with a mark for each eighth of the slot that holds a shingle
+    of several sets, and the binary logarithm of the largest number of sets. Of each, as many as half of the places can hold; the rarer ones count as rare."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        shard = int(rows["shard"].iloc[0])
+        low, high = _ranges(shards)[shard : shard + 2]
+        parts = [unpacked(v) for v in rows["payload"]]
+        key, times = np.concatenate([undeltas(p) for p, _ in parts]), np.concatenate([t for _, t in parts]).astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        key, times = key[order], times[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sets, eighth = np.add.reduceat(times, first), key[first] >> U(bits - SLOT_BITS - 3)
+        first = np.flatnonzero(np.concatenate(([True], eighth[1:] != eighth[:-1])))
+        sets, eighth = np.maximum.reduceat(sets, first), eighth[first].astype(np.int64)
+        marks = np.zeros((high - low) * 8, np.uint8)
+        marks[eighth] = sets >= max(2, _least(sets, len(marks)))
+        level = np.zeros(high - low, np.uint8)
+        np.maximum.at(level, eighth >> 3, (np.frexp(sets.astype(float))[1] - 1).astype(np.uint8))
+        level[level < _least(level, len(level))] = 0
+        return pd.DataFrame({"low": [low], "slots": [packed(np.packbits(marks, bitorder="little"), level)]})
+
+    return run
+
+
+def rare_keys_of(s: np.ndarray, percent: int, marks: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The first elements of a set, rare ones first: so many that linked sets share one of them, whatever the table says."""
+    slot, eighth = (s >> U(64 - SLOT_BITS)).astype(np.int64), (s >> U(61 - SLOT_BITS)).astype(np.uint8) & 7
+    place = (marks[slot] >> eighth & 1) * (levels[slot] + 1)
+    return mix(s[np.argsort(place, kind="stable")[: len(s) + percent * -len(s) // 100 + 1]])
+
+
+def rare_keys(width: int, percent: int, shards: int, bits: int, shared):
+    """As `tile_keys`, with the keys of rare shingles; `shared` is the broadcast table of `shard_order`."""
+    return _sent(width, shards, bits, lambda s: rare_keys_of(s, percent, *shared.value))
+
+
 def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     out = np.zeros((len(sets), bits // 8), np.uint8)
     for row, s in zip(out, sets, strict=True):
@@ -292,6 +378,36 @@ def _search(placed: DataFrame, docs: DataFrame, by: list[str], width: int, perce
     return rows.groupBy(*by).applyInPandas(tidy_groups(links_in(width, percent)), "u long, v long").where("u <> v")
 
 
+def _ties(messages: DataFrame) -> DataFrame:
+    return stored(messages.groupBy("shard").applyInPandas(tidy_groups(ties_of_shard), "u long, v long").distinct(), "jaccard-ties")
+
+
+def _cut(members: DataFrame) -> DataFrame:
+    """The members with the number of blocks of their family."""
+    sizes = members.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    cut = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    return members.join(sizes.select("family", cut.alias("blocks")), "family")
+
+
+def _parted(wide: DataFrame, docs: DataFrame, width: int, percent: int, shards: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Large families parted by the ties of their sets' rare shingles, sets without one left out; and these ties."""
+    spark = docs.sparkSession
+    texts = may_hold(docs, "doc_id", wide).select("text")
+    exact = min(64, max(SLOT_BITS + 3, 5 + int(wide.agg(F.sum("n")).first()[0]).bit_length()))
+    counts = texts.mapInArrow(tidy(shingle_counts(width, shards, exact)), "shard int, payload binary")
+    table = np.zeros((2, 1 << SLOT_BITS), np.uint8)
+    for r in counts.groupBy("shard").applyInPandas(tidy_groups(shard_order(shards, exact)), "low int, slots binary").toLocalIterator():
+        for row, part in zip(table, unpacked(bytes(r["slots"])), strict=True):
+            row[r["low"] : r["low"] + len(part)] = part
+    shared = spark.sparkContext.broadcast(table)
+    ties = _ties(texts.mapInArrow(tidy(rare_keys(width, percent, shards, bits, shared)), "shard int, payload binary"))
+    shared.unpersist()
+    sub = components(ties).withColumnRenamed("component", "sub")
+    marked = stored(wide.join(sub, "node"), "jaccard-parts")
+    parts = marked.groupBy("family", "sub").agg(F.count("*").alias("sets"), F.min("node").alias("least")).where("sets > 1")
+    return stored(marked.join(parts, ["family", "sub"]).select(F.col("least").alias("family"), "node", "doc_id", "n"), "jaccard-families"), ties
+
+
 def _classes(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that link with another one."""
     spark = docs.sparkSession
@@ -299,15 +415,17 @@ def _classes(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     # false meetings of keys cost time only; 17 bits beyond the number of shingles keep them rare at any size
     bits = min(64, 17 + int(nodes.agg(F.sum("n_shingles")).first()[0] or 1).bit_length())
     messages = docs.select("text").mapInArrow(tidy(tile_keys(width, percent, shards, bits)), "shard int, payload binary")
-    ties = stored(messages.groupBy("shard").applyInPandas(tidy_groups(ties_of_shard), "u long, v long").distinct(), "jaccard-ties")
+    ties = _ties(messages)
     if ties.isEmpty():
         return spark.createDataFrame([], "node long, component long")
     families = components(ties).withColumnRenamed("component", "family")
     one = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    members = stored(families.join(one, "node"), "jaccard-families")
-    sizes = members.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    cut = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    small = members.join(sizes.select("family", cut.alias("blocks")), "family")
+    small = _cut(stored(families.join(one, "node"), "jaccard-families"))
+    wide = small.where("blocks > 1")
+    if not wide.isEmpty():
+        parts, rare = _parted(stored(wide.drop("blocks"), "jaccard-wide"), docs, width, percent, shards, bits)
+        small, ties = stored(small.where("blocks = 1").unionByName(_cut(parts)), "jaccard-families"), ties.unionByName(rare)
+    members = small.drop("blocks")
     # families of one block meet others in a bucket only in the shuffle; large ones get their best tied sets in each block
     degree = ties.groupBy("v").agg(F.count("*").alias("ties")).select(F.col("v").alias("node"), "ties")
     ranked = small.where("blocks > 1").join(degree, "node")

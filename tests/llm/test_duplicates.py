@@ -130,6 +130,34 @@ def test_tile_keys_find_every_link():
                     assert set(jaccard_join.keys_of(a, percent).tolist()) & set(jaccard_join.keys_of(b, percent).tolist())
 
 
+def test_rare_keys_find_every_link():
+    """Sets that differ as much as the threshold allows share a rare key, whatever the table of common shingles says."""
+    rng = np.random.default_rng(3)
+    marks, levels = rng.integers(0, 256, (2, 1 << jaccard_join.SLOT_BITS), np.uint8)
+    for percent in (80, 90):
+        for n in (1, 5, 9, 10, 19, 33, 150, 700):
+            for _ in range(15):
+                a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+                kept = rng.permutation(a)[int(rng.integers(0, len(a) * (100 - percent) // 100 + 1)) :]
+                room = (100 * len(kept) - percent * len(a)) // percent
+                b = np.unique(np.concatenate((kept, rng.integers(0, 2**63, max(0, room)).astype(np.uint64) * np.uint64(2) + np.uint64(1))))
+                assert set(jaccard_join.rare_keys_of(a, percent, marks, levels).tolist()) & set(jaccard_join.rare_keys_of(b, percent, marks, levels).tolist())
+
+
+def test_families_of_shared_passages_fall_apart(spark, monkeypatch):
+    """Texts that quote the same passages and are no near copies make no blocks that meet each other, and links among them are found."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 8)
+    met, tiles = [], jaccard_join._tiles
+    monkeypatch.setattr(jaccard_join, "_tiles", lambda *a: met.append((out := tiles(*a)).count()) or out)
+    passages = [[f"p{k}_{j}" for j in range(30)] for k in range(4)]
+    docs = [(i, " ".join([f"d{i}_{j}" for j in range(40)] + [w for k in range(4) if k != i % 4 for w in passages[k]])) for i in range(240)]
+    docs += [(1000 + i, docs[i][1] + f" tail{i}") for i in range(0, 240, 30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = Counter(tuple(r) for r in jaccard_join.jaccard_classes(df, 5, 80).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == classes(docs, 5, 80)
+    assert sum(met) < len(docs)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (20, 20), (4, 5), (30, 2)]
     got = {(r["node"], r["component"]) for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
