@@ -154,6 +154,41 @@ def test_ranks_of_a_large_table_by_blocks(spark, monkeypatch):
         assert r["spearman"] is None if k[1] == "flat" else r["spearman"] == pytest.approx(whole[k]["spearman"], abs=1e-9)
 
 
+def test_a_task_that_ranks_two_blocks_holds_little_more_than_its_rows():
+    """Peak of one task beyond its table, in bytes a row, and no rows twice in the table for two blocks of a side."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import re
+import numpy as np, pyarrow as pa
+from ledgerline.operators import significance as Q
+rng, n = np.random.default_rng(1), 1_500_000
+cells = {c: Q._Cells([0.5]) for c in ('y_true', 'a')}
+batches = []
+for _ in range(0, n, 10_000):
+    y = rng.random(10_000)
+    rows = [rng.integers(-2**63, 2**63 - 1, 10_000), y, np.clip(y + rng.normal(0, 0.1, 10_000), 0, 1)]
+    for b in Q._block_rows(cells, ['a'], 2)(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=['h', 'y_true', 'a'])])):
+        batches.append(b.filter(pa.compute.equal(b.column('group'), 0)))
+class Shared:
+    value = {'n': np.full(2, 1.0 * n)} | {c: (np.full((2, 3), n / 2), np.zeros((2, 3))) for c in cells}
+table = pa.Table.from_batches(batches)
+table = pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(b.column(c).to_numpy().copy()) for c in b.schema.names], names=b.schema.names) for b in table.to_batches()])
+del batches, b
+open('/proc/self/clear_refs', 'w').write('5')
+held = lambda k: int(re.search(k + r':\\s+(\\d+) kB', open('/proc/self/status').read())[1]) * 1024
+before = held('VmRSS')
+out = Q._block_sums(cells, ['a'], 2, 1, 2, Shared)((pa.scalar(0), pa.scalar(0)), table)
+print((held('VmHWM') - before) // table.num_rows, table.nbytes // table.num_rows, out.num_rows)
+"""
+    root = Path(__file__).resolve().parents[1]
+    done = subprocess.run([sys.executable, "-c", "import pyarrow.compute\n" + code], cwd=root, env={"PYTHONPATH": str(root), "PATH": "/usr/bin:/bin"}, capture_output=True, text=True, check=True)
+    peak, row, rows = map(int, done.stdout.split())
+    assert peak < 150 and row <= 32 and rows == 2
+
+
 def test_actual_versus_predicted_counts_every_row_once(spark):
     from ledgerline.operators.attribution import actual_vs_predicted
 
