@@ -16,16 +16,25 @@ def found(text: Column, pattern: str, across: bool = False) -> Column:
     The texts between matches come from splitting at the same pattern, so they alternate with the matches.
     With `across` the context on the left reaches into the match before, else it ends there.
     """
-    between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    ends = F.transform(between, lambda p: F.struct(F.char_length(p).alias("gap"), F.substring(p, -LEFT, LEFT).alias("left"), F.substring(p, 1, RIGHT).alias("right")))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.array().cast("array<struct<match:string,gap:int,left:string,right:string>>")
+    return F.when(F.size(hits) > 0, joined(hits, ends(F.split(text, pattern, -1)), across)).otherwise(none)
+
+
+def ends(between: Column) -> Column:
+    """Of each text between matches its length and what of it is context."""
+    return F.transform(between, lambda p: F.struct(F.char_length(p).alias("gap"), F.substring(p, -LEFT, LEFT).alias("left"), F.substring(p, 1, RIGHT).alias("right")))
+
+
+def joined(hits: Column, ends: Column, across: bool) -> Column:
+    """Matches, at least one, and the `ends` around them as `found` has them. Both are read once per match and more, so a text of many
+    matches wants them as columns of a table, not as expressions."""
     left = lambda i: F.get(ends, i)["left"]
     if across:
         left = lambda i: F.substring(F.concat(F.coalesce(F.get(ends, i - 1)["left"], F.lit("")), F.coalesce(F.get(hits, i - 1), F.lit("")), F.get(ends, i)["left"]), -LEFT, LEFT)
-    none = F.array().cast("array<struct<match:string,gap:int,left:string,right:string>>")
-    some = F.transform(F.zip_with(hits, F.sequence(F.lit(0), F.greatest(F.size(hits) - 1, F.lit(0))), lambda m, i: F.struct(m.alias("match"), i.alias("i"))),
+    return F.transform(F.zip_with(hits, F.sequence(F.lit(0), F.greatest(F.size(hits) - 1, F.lit(0))), lambda m, i: F.struct(m.alias("match"), i.alias("i"))),
                        lambda x: F.struct(x["match"].alias("match"), F.get(ends, x["i"])["gap"].alias("gap"), left(x["i"]).alias("left"),
                                           F.get(ends, x["i"] + 1)["right"].alias("right")))
-    return F.when(F.size(hits) > 0, some).otherwise(none)
 
 
 def placed(rows: DataFrame, keys: list[str], family: str = "family", hits: str = "hits") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from ledgerline.llm.matches import found, placed
+from ledgerline.llm.matches import ends, joined, placed
 from ledgerline.llm.shared import stored
 
 #: Words beside a token that speak for a secret and against one.
@@ -64,8 +64,13 @@ def findings(docs: DataFrame, path: str = "source") -> DataFrame:
     """row, doc_id, path, start, end, match, left, right of each proposed token."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"),
-                       F.lit("token").alias("family"), found(text, f"{TOKEN}|{VALUE}", across=True).alias("hits")).where(F.size("hits") > 0)
+    # each text is searched once for its matches and split once; only one with a sign can have values
+    signs, value, token = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")), f"{TOKEN}|{VALUE}", TOKEN
+    matches = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), text.alias("text"),
+                       F.when(signs, matches(value)).otherwise(matches(token)).alias("matches")).where(F.size("matches") > 0)
+    rows = rows.select("row", "doc_id", "path", "matches", ends(F.when(signs, F.split("text", value, -1)).otherwise(F.split("text", token, -1))).alias("ends"))
+    rows = rows.select("row", "doc_id", "path", F.lit("token").alias("family"), joined(F.col("matches"), F.col("ends"), across=True).alias("hits"))
     return placed(stored(rows, "secret-proposals"), ["row", "doc_id", "path"]).drop("family")
 
 
